@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.common import read_table
-from quarry.llm import conversations, pairs, sourcecheck
+from quarry.llm import conversations, functions, handwritten, pairs, sourcecheck
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +32,22 @@ def p3_log_agreement(spark: SparkSession, base: str) -> DataFrame:
     return sourcecheck.recorded_against_found(read_table(spark, base, "source_files"), read_table(spark, base, "parsed_files"))
 
 
+def p4_found(spark: SparkSession, base: str) -> DataFrame:
+    return functions.documented_ids(read_table(spark, base, "chunks"))
+
+
+def p4_pairs(spark: SparkSession, base: str) -> DataFrame:
+    return functions.documented_functions(read_table(spark, base, "chunks"))
+
+
+def p5_found(spark: SparkSession, base: str) -> DataFrame:
+    return handwritten.not_handwritten(read_table(spark, base, "source_files"))
+
+
+def p5_label_counts(spark: SparkSession, base: str) -> DataFrame:
+    return handwritten.label_counts(read_table(spark, base, "source_files"))
+
+
 def p7_found(spark: SparkSession, base: str) -> DataFrame:
     return pairs.defects(read_table(spark, base, "turns"))
 

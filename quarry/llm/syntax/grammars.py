@@ -359,12 +359,16 @@ fval: FSTR | flow
 _PUNCT = " | ".join(f"'{x}'" for x in "... ..= <<= .. :: -> => == != <= && || += -= *= /= %= &= |= ^= << - + * / % & | ^ ! < > = ? : ; , . # @ $ ~".split() if x != "~")
 
 
+def language_rules(language: str) -> str:
+    """The rules of js, ts, rs, go, java, py, json, toml or yaml."""
+    return {
+        "js": lambda: _js_rules(False), "ts": lambda: _js_rules(True), "rs": lambda: _RS.replace("PUNCT", _PUNCT).replace(" | 'ID_'", ""),
+        "go": lambda: _GO.replace("(expr [',' expr]* |", "(arg (',' arg)* |"), "java": lambda: _JAVA.replace(" ['when' expr]", ""),
+        "py": lambda: _PY, "json": lambda: _JSON, "toml": lambda: _TOML, "yaml": lambda: _YAML,
+    }[language]()
+
+
 @cache
 def grammar(language: str) -> Grammar:
-    """The grammar of js, ts, rs, go, java, py, json, toml or yaml."""
-    words = tuple(WORDS.get(language, "").split())
-    rules = {
-        "js": _js_rules(False), "ts": _js_rules(True), "rs": _RS.replace("PUNCT", _PUNCT).replace(" | 'ID_'", ""), "go": _GO.replace("(expr [',' expr]* |", "(arg (',' arg)* |"), "java": _JAVA.replace(" ['when' expr]", ""),
-        "py": _PY, "json": _JSON, "toml": _TOML, "yaml": _YAML,
-    }[language]
-    return Grammar(rules, "prog", words)
+    """The grammar of a whole file."""
+    return Grammar(language_rules(language), "prog", tuple(WORDS.get(language, "").split()))
