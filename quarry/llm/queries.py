@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.common import read_table
-from quarry.llm import conversations, functions, handwritten, pairs, sourcecheck
+from quarry.llm import conversations, functions, handwritten, leaks, pairs, sourcecheck, subjects
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -52,6 +52,26 @@ def p7_found(spark: SparkSession, base: str) -> DataFrame:
     return pairs.defects(read_table(spark, base, "turns"))
 
 
+def p9_found(spark: SparkSession, base: str) -> DataFrame:
+    return leaks.leaks(read_table(spark, base, "documents"), read_table(spark, base, "eval_items")).select("doc_id", "item_id")
+
+
+def p9_items(spark: SparkSession, base: str) -> DataFrame:
+    return leaks.leaked_items(read_table(spark, base, "documents"), read_table(spark, base, "eval_items"))
+
+
+def _subject_tables(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return read_table(spark, base, "documents"), read_table(spark, base, "subject_labels"), read_table(spark, base, "subjects")
+
+
+def p10_found(spark: SparkSession, base: str) -> DataFrame:
+    return subjects.document_subjects(*_subject_tables(spark, base)).select("doc_id", "subject_id")
+
+
+def p10_composition(spark: SparkSession, base: str) -> DataFrame:
+    return subjects.composition(*_subject_tables(spark, base))
+
+
 def queries() -> dict[str, Query]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
