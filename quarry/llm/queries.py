@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.common import read_table
-from quarry.llm import conversations, functions, handwritten, leaks, pairs, sourcecheck, subjects
+from quarry.llm import conversations, functions, handwritten, leaks, neighbours, packing, pairs, sourcecheck, subjects
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -48,10 +48,26 @@ def p5_label_counts(spark: SparkSession, base: str) -> DataFrame:
     return handwritten.label_counts(read_table(spark, base, "source_files"))
 
 
+def p6_found(spark: SparkSession, base: str) -> DataFrame:
+    return neighbours.similar_pairs(read_table(spark, base, "chunks"))
+
+
+def p6_greedy_search(spark: SparkSession, base: str) -> DataFrame:
+    return neighbours.search_queries(read_table(spark, base, "chunks"))
+
+
 def p7_found(spark: SparkSession, base: str) -> DataFrame:
     return pairs.defects(read_table(spark, base, "turns"))
 
 
+def p8_packing(spark: SparkSession, base: str) -> DataFrame:
+    return packing.pack(read_table(spark, base, "documents"), read_table(spark, base, "container_kinds"))
+
+
+def p8_fill_report(spark: SparkSession, base: str) -> DataFrame:
+    return packing.fill_report(read_table(spark, base, "documents"), read_table(spark, base, "container_kinds"))
+
+
 def p9_found(spark: SparkSession, base: str) -> DataFrame:
     return leaks.leaks(read_table(spark, base, "documents"), read_table(spark, base, "eval_items")).select("doc_id", "item_id")
 
