@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.common import read_table
-from quarry.llm import conversations, functions, handwritten, leaks, neighbours, packing, pairs, sourcecheck, subjects
+from quarry.llm import conversations, credentials, functions, handwritten, leaks, neighbours, packing, pairs, sourcecheck, subjects
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,14 @@ def p1_session_report(spark: SparkSession, base: str) -> DataFrame:
     return conversations.session_report(read_table(spark, base, "turns"))
 
 
+def p2_found(spark: SparkSession, base: str) -> DataFrame:
+    return credentials.found_lines(read_table(spark, base, "chunks"))
+
+
+def p2_redacted(spark: SparkSession, base: str) -> DataFrame:
+    return credentials.redacted(read_table(spark, base, "chunks"))
+
+
 def p3_found(spark: SparkSession, base: str) -> DataFrame:
     return sourcecheck.broken_files(read_table(spark, base, "source_files"))
 
