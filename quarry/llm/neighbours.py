@@ -10,6 +10,7 @@ pairs are listed but the k best of each vector. Rounds end when few neighbours c
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -119,27 +120,31 @@ def _in_blocks(rows: DataFrame, key: str, block: int, dimensions: int) -> DataFr
 
 
 def _merged(lists: DataFrame) -> DataFrame:
-    """One list of the KEPT best a vector of several; ties to the smaller id."""
+    """One list of the KEPT best a vector of several (id, nbrs, sims, old); ties to the smaller id.
+
+    `fresh` is the share of the K best that no list marked `old` had.
+    """
     pairs = F.flatten(F.collect_list(F.arrays_zip(F.transform("sims", lambda s: -s).alias("s"), F.col("nbrs").alias("n"))))
-    best = lists.groupBy("id").agg(pairs.alias("p"))
+    best = lists.groupBy("id").agg(pairs.alias("p"), F.flatten(F.collect_list(F.when(F.col("old"), F.slice("nbrs", 1, K)))).alias("had"))
     p = F.slice(F.array_sort(F.array_distinct(F.filter("p", lambda x: x["n"] >= 0))), 1, KEPT)
-    return best.select("id", p.alias("p")).select("id", F.transform("p", lambda x: x["n"]).alias("nbrs"), F.transform("p", lambda x: -x["s"]).alias("sims"))
+    out = best.select("id", p.alias("p"), "had").select("id", F.transform("p", lambda x: x["n"]).alias("nbrs"), F.transform("p", lambda x: -x["s"]).alias("sims"), "had")
+    return out.select("id", "nbrs", "sims", (F.size(F.array_except(F.slice("nbrs", 1, K), "had")) / K).alias("fresh"))
 
 
 def build_graph(prepared: DataFrame, stage: Stage, dimensions: int = DIMENSIONS, block: int = BLOCK, rounds: int = ROUNDS) -> DataFrame:
     """The neighbour graph (id, nbrs, sims) of prepared distinct vectors by NN-descent."""
-    lists = None
+    parts: list[DataFrame] = []
     for t in range(TABLES):
         part = stage.write(_in_blocks(prepared, f"code{t}", block, dimensions), f"table{t}")
-        lists = part if lists is None else lists.unionByName(part)
-    graph = stage.write(_merged(lists), "graph")
+        parts.append(part)
+    graph = stage.write(_merged(reduce(DataFrame.unionByName, parts).withColumn("old", F.lit(False))), "graph")
+    stage.drop(*parts)
     for r in range(rounds):
         around = F.concat(F.array("id"), F.slice("nbrs", 1, K))
         hubs = graph.select("id", _least_mixed(around, r).alias("hub"))
         met = stage.write(_in_blocks(prepared.select("id", "vec").join(hubs, "id"), "hub", block, dimensions), f"met{r}")
-        after = stage.write(_merged(graph.unionByName(met)), "graph")
-        new = F.size(F.array_except(F.slice("a.nbrs", 1, K), F.slice("b.nbrs", 1, K)))
-        changed = after.alias("a").join(graph.alias("b"), "id").agg(F.avg(new / K)).first()[0] or 0.0
+        after = stage.write(_merged(graph.drop("fresh").withColumn("old", F.lit(True)).unionByName(met.withColumn("old", F.lit(False)))), "graph")
+        changed = after.agg(F.avg("fresh")).first()[0] or 0.0
         stage.drop(met, graph)
         graph = after
         if changed < SETTLED:
