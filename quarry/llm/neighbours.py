@@ -23,8 +23,8 @@ from quarry.common import Stage, shuffle_partitions, stage_of
 DIMENSIONS, K = 64, 5
 #: Random-projection tables and bits of a code; vectors compared at once; neighbours kept in the graph.
 TABLES, BITS, BLOCK, KEPT = 3, 40, 2048, 6
-#: Rounds of descent at most, and the share of changed neighbours below which they end.
-ROUNDS, SETTLED = 6, 0.015
+#: Rounds of descent at least and at most, and the share of changed neighbours below which they end.
+LEAST_ROUNDS, ROUNDS, SETTLED = 2, 6, 0.015
 _EMPTY = -1
 
 
@@ -147,7 +147,7 @@ def build_graph(prepared: DataFrame, stage: Stage, dimensions: int = DIMENSIONS,
         changed = after.agg(F.avg("fresh")).first()[0] or 0.0
         stage.drop(met, graph)
         graph = after
-        if changed < SETTLED:
+        if r + 1 >= LEAST_ROUNDS and changed < SETTLED:
             break
     return graph
 
