@@ -7,6 +7,7 @@ from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 _TOKEN = re.compile(r"[^\W_]+")
 # Suffixes and their replacements in steps 2, 3 and 4.
@@ -90,6 +91,6 @@ def tokens(text: str) -> list[str]:
     return [stem(t) for t in _TOKEN.findall(text.lower())]
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def stemmed_tokens(text: pd.Series) -> pd.Series:
     return text.map(lambda t: tokens(t or ""))

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, FloatType
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -29,12 +30,12 @@ def clamped_score(similarity: Column, penalty: Column) -> Column:
     return F.least(F.greatest(similarity, F.lit(0.0)), F.lit(1.0)) * penalty
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def to_bytes(v: pd.Series) -> pd.Series:
     """Little-endian 32-bit floats."""
     return v.map(lambda x: None if x is None else np.asarray(x, dtype="<f4").tobytes())
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(ArrayType(FloatType()))
 def from_bytes(b: pd.Series) -> pd.Series:
     return b.map(lambda x: None if x is None else np.frombuffer(x[: len(x) // 4 * 4], dtype="<f4"))

@@ -37,7 +37,8 @@ def find_references(refs: DataFrame, wanted: DataFrame, calls_only: bool = False
 
 
 def enclosing(places: DataFrame, chunks: DataFrame) -> DataFrame:
-    """places(file_path, line, ...) plus symbol and symbol_id: the smallest chunk that holds the line (ties: smaller id), null if none."""
+    """places(file_path, line, ...) plus symbol and symbol_id: the smallest chunk that holds the line (ties: smaller id), null if none. Columns of these names are replaced."""
+    places = places.drop("symbol", "symbol_id")
     distinct = places.select("file_path", "line").where("file_path is not null and line is not null").distinct()
     c = symbols(chunks).select(F.col("file_path").alias("f"), F.col("start_line").alias("s"), F.col("end_line").alias("e"), F.col("id").alias("cid"), qualified_name(F.col("parent"), F.col("name")).alias("q"))
     held = distinct.join(c, (F.col("file_path") == F.col("f")) & F.col("line").between(F.col("s"), F.col("e")))
@@ -86,11 +87,11 @@ def definitions_called_by(results: DataFrame, chunks: DataFrame, refs: DataFrame
 
 def callers_of(names: DataFrame, refs: DataFrame, chunks: DataFrame, limit: int = MAX_CALLERS) -> DataFrame:
     """names(symbol_id, name, file_path) -> (symbol_id, file_path, line, caller, place): calls from other files, the first `limit`."""
-    n = names.select("symbol_id", F.col("name").alias("symbol_name"), F.col("file_path").alias("own"))
+    n = names.select(F.col("symbol_id").alias("asked"), F.col("name").alias("symbol_name"), F.col("file_path").alias("own"))
     calls = refs.where("kind = 'call'").join(n, "symbol_name").where(F.col("file_path") != F.col("own"))
-    w = Window.partitionBy("symbol_id").orderBy("file_path", "line")
-    first = calls.select("symbol_id", "file_path", "line").distinct().withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit)
-    return enclosing(first, chunks).select("symbol_id", "file_path", "line", F.col("symbol").alias("caller"), "place")
+    w = Window.partitionBy("asked").orderBy("file_path", "line")
+    first = calls.select("asked", "file_path", "line").distinct().withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit)
+    return enclosing(first, chunks).select(F.col("asked").alias("symbol_id"), "file_path", "line", F.col("symbol").alias("caller"), "place")
 
 
 def impacted_callers(hunks: DataFrame, chunks: DataFrame, refs: DataFrame) -> DataFrame:
