@@ -60,11 +60,11 @@ def bm25(chunks: DataFrame, queries: DataFrame, limit: int = 50, stem: bool = Tr
     begins = relevant.join(steps, "term").groupBy("phrase", "width", "id", "col", (F.col("pos") - F.col("at")).alias("begin")).agg(F.count("*").alias("k"))
     weight = F.create_map(*(F.lit(x) for kv in WEIGHTS.items() for x in kv))
     freq = begins.where("k = width").groupBy("phrase", "id").agg(F.sum(F.element_at(weight, F.col("col"))).alias("f"))
-    stats = lengths.agg(F.count("*").alias("total"), F.avg("n").alias("avgdl"))
+    total, avgdl = lengths.agg(F.count("*"), F.avg("n")).first()
     n_p = freq.groupBy("phrase").agg(F.count("*").alias("n_p"))
-    raw = F.ln((F.col("total") - F.col("n_p") + 0.5) / (F.col("n_p") + 0.5))
-    idf = n_p.crossJoin(F.broadcast(stats)).select("phrase", F.when(raw > 0, raw).otherwise(F.lit(LEAST_IDF)).alias("idf"), "avgdl")  # stats is one row
-    part = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("n") / F.col("avgdl")))
+    raw = F.ln((F.lit(total) - F.col("n_p") + 0.5) / (F.col("n_p") + 0.5))
+    idf = n_p.select("phrase", F.when(raw > 0, raw).otherwise(F.lit(LEAST_IDF)).alias("idf"))
+    part = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("n") / F.lit(avgdl or 1.0)))
     scored = freq.join(idf, "phrase").join(lengths, "id").join(asked, "phrase").groupBy("query_id", "id").agg(F.sum(part * F.col("mentions")).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
