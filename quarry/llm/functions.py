@@ -152,9 +152,9 @@ def documented_functions(chunks: DataFrame, keep_code: bool = True) -> DataFrame
     found = stage_of(chunks, "functions").write(
         found.withColumn("key", F.xxhash64(F.lower(F.regexp_replace("description", r"[\W\d_]+", " ")))), "described"
     )
-    named = functions.select(F.col("name")).distinct().agg(F.count("*").alias("all"))
+    named = functions.select(F.countDistinct("name")).first()[0]
     counts = found.select("key", "name").distinct().groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= STOCK_LEAST)
-    stock = counts.crossJoin(F.broadcast(named)).where(F.col("n") > STOCK_SHARE * F.col("all")).select("key")  # one row
+    stock = counts.where(F.col("n") > STOCK_SHARE * named).select("key")
     return found.join(stock, "key", "left_anti").drop("key")
 
 

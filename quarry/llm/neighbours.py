@@ -223,8 +223,18 @@ def greedy_search(queries: DataFrame, vectors: DataFrame, graph: DataFrame, k: i
         x, y = np.stack(q.to_numpy()).astype(np.float64), np.stack(v.to_numpy()).astype(np.float64)
         return pd.Series(np.einsum("ij,ij->i", x, y) / np.linalg.norm(x, axis=1) / np.linalg.norm(y, axis=1))
 
-    entries = base.join(graph.select(F.col("id").alias("node")), "node", "left_semi").orderBy(F.xxhash64("node")).limit(ENTRIES)
-    first = asked.crossJoin(F.broadcast(entries)).select("id", "node", cosine("q", "v").alias("s"), F.lit(False).alias("opened"))  # ENTRIES rows
+    entries = base.join(graph.select(F.col("id").alias("node")), "node", "left_semi").orderBy(F.xxhash64("node")).limit(ENTRIES).collect()
+    nodes = np.array([r.node for r in entries], dtype=np.int64)
+    points = np.array([r.v for r in entries], dtype=np.float64).reshape(-1, dimensions)
+    points /= np.maximum(np.linalg.norm(points, axis=1, keepdims=True), 1e-300)
+
+    def begin(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            q = np.array(f.q.tolist(), dtype=np.float64).reshape(-1, dimensions)
+            s = (q / np.linalg.norm(q, axis=1, keepdims=True)) @ points.T
+            yield pd.DataFrame({"id": np.repeat(f.id.to_numpy(), len(nodes)), "node": np.tile(nodes, len(f)), "s": s.ravel(), "opened": False})
+
+    first = asked.mapInPandas(begin, "id long, node long, s double, opened boolean")
     order = Window.partitionBy("id").orderBy(F.desc("s"), "node")
     beam = stage.write(first.withColumn("p", F.row_number().over(order)).where(F.col("p") <= BEAM), "beam")
     for _ in range(HOPS):

@@ -7,7 +7,7 @@ import heapq
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.common import stage_of
@@ -165,6 +165,19 @@ def _closed(sets: list[list[int]], sizes: list[int], capacity: int) -> list[list
     return sets
 
 
+#: Container kinds at most; they are read into the plan.
+MAX_KINDS = 1000
+
+
+def _kinds(usable: DataFrame) -> Column:
+    """The kinds as an array of literals; more than MAX_KINDS are an error."""
+    rows = usable.orderBy("container_kind").limit(MAX_KINDS + 1).collect()
+    if len(rows) > MAX_KINDS:
+        raise ValueError(f"more than {MAX_KINDS} container kinds")
+    one = [F.struct(F.lit(r.container_kind).alias("container_kind"), F.lit(r.capacity).cast("int").alias("capacity")) for r in rows]
+    return F.array(*one) if one else F.array().cast("array<struct<container_kind:string,capacity:int>>")
+
+
 _PLACED = "container_kind string, container string, doc_id long, piece int, tokens int"
 
 
@@ -180,7 +193,7 @@ def pack(documents: DataFrame, kinds: DataFrame, path: str | None = None) -> Dat
     stage = stage_of(documents, "packing")
     counted = stage.write(token_counts(documents, path), "tokens")
     usable = kinds.where("container_kind is not null and capacity_tokens > 0").groupBy("container_kind").agg(F.min("capacity_tokens").alias("capacity"))
-    every = counted.crossJoin(F.broadcast(usable.limit(1000)))  # container kinds: a handful of rows
+    every = counted.withColumn("k", F.explode(_kinds(usable))).select("doc_id", "tokens", "k.container_kind", "k.capacity")
     whole = F.floor(F.col("tokens") / F.col("capacity")).cast("int")
     cut = every.where(F.col("tokens") > F.col("capacity"))
     full = cut.select("container_kind", "doc_id", F.explode(F.sequence(F.lit(1), whole)).alias("piece"), F.col("capacity").alias("tokens"))
