@@ -9,6 +9,7 @@ pairs are listed but the k best of each vector. Rounds end when few neighbours c
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -85,7 +86,7 @@ def _best(ids: np.ndarray, raw: np.ndarray, kept: int) -> tuple[np.ndarray, np.n
 _LIST = "id long, nbrs array<long>, sims array<double>"
 
 
-def _in_blocks(rows: DataFrame, key: str, block: int, dimensions: int) -> DataFrame:
+def _in_blocks(rows: DataFrame, key: str, block: int, dimensions: int, kept: int = KEPT) -> DataFrame:
     """(id, nbrs, sims): the best of each vector among those next to it in the order of `key`, in blocks."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,8 +97,8 @@ def _in_blocks(rows: DataFrame, key: str, block: int, dimensions: int) -> DataFr
             t = pa.Table.from_batches(parts)
             ids = t.column("id").to_numpy()
             raw = np.frombuffer(b"".join(t.column("vec").to_pylist()), dtype=np.float32).reshape(-1, dimensions)
-            nbrs, sims = _best(ids, raw, KEPT)
-            offsets = pa.array(np.arange(len(ids) + 1, dtype=np.int32) * KEPT)
+            nbrs, sims = _best(ids, raw, kept)
+            offsets = pa.array(np.arange(len(ids) + 1, dtype=np.int32) * kept)
             return pa.RecordBatch.from_arrays(
                 [pa.array(ids), pa.ListArray.from_arrays(offsets, pa.array(nbrs.ravel())), pa.ListArray.from_arrays(offsets, pa.array(sims.ravel()))], names=["id", "nbrs", "sims"]
             )
@@ -119,31 +120,31 @@ def _in_blocks(rows: DataFrame, key: str, block: int, dimensions: int) -> DataFr
     return ordered.mapInArrow(compare, _LIST)
 
 
-def _merged(lists: DataFrame) -> DataFrame:
-    """One list of the KEPT best a vector of several (id, nbrs, sims, old); ties to the smaller id.
+def _merged(lists: DataFrame, kept: int = KEPT) -> DataFrame:
+    """One list of the `kept` best a vector of several (id, nbrs, sims, old); ties to the smaller id.
 
     `fresh` is the share of the K best that no list marked `old` had.
     """
     pairs = F.flatten(F.collect_list(F.arrays_zip(F.transform("sims", lambda s: -s).alias("s"), F.col("nbrs").alias("n"))))
     best = lists.groupBy("id").agg(pairs.alias("p"), F.flatten(F.collect_list(F.when(F.col("old"), F.slice("nbrs", 1, K)))).alias("had"))
-    p = F.slice(F.array_sort(F.array_distinct(F.filter("p", lambda x: x["n"] >= 0))), 1, KEPT)
+    p = F.slice(F.array_sort(F.array_distinct(F.filter("p", lambda x: x["n"] >= 0))), 1, kept)
     out = best.select("id", p.alias("p"), "had").select("id", F.transform("p", lambda x: x["n"]).alias("nbrs"), F.transform("p", lambda x: -x["s"]).alias("sims"), "had")
     return out.select("id", "nbrs", "sims", (F.size(F.array_except(F.slice("nbrs", 1, K), "had")) / K).alias("fresh"))
 
 
-def build_graph(prepared: DataFrame, stage: Stage, dimensions: int = DIMENSIONS, block: int = BLOCK, rounds: int = ROUNDS) -> DataFrame:
-    """The neighbour graph (id, nbrs, sims) of prepared distinct vectors by NN-descent."""
+def build_graph(prepared: DataFrame, stage: Stage, dimensions: int = DIMENSIONS, block: int = BLOCK, rounds: int = ROUNDS, kept: int = KEPT) -> DataFrame:
+    """The neighbour graph (id, nbrs, sims) of prepared distinct vectors by NN-descent, `kept` neighbours each."""
     parts: list[DataFrame] = []
     for t in range(TABLES):
-        part = stage.write(_in_blocks(prepared, f"code{t}", block, dimensions), f"table{t}")
+        part = stage.write(_in_blocks(prepared, f"code{t}", block, dimensions, kept), f"table{t}")
         parts.append(part)
-    graph = stage.write(_merged(reduce(DataFrame.unionByName, parts).withColumn("old", F.lit(False))), "graph")
+    graph = stage.write(_merged(reduce(DataFrame.unionByName, parts).withColumn("old", F.lit(False)), kept), "graph")
     stage.drop(*parts)
     for r in range(rounds):
         around = F.concat(F.array("id"), F.slice("nbrs", 1, K))
         hubs = graph.select("id", _least_mixed(around, r).alias("hub"))
-        met = stage.write(_in_blocks(prepared.select("id", "vec").join(hubs, "id"), "hub", block, dimensions), f"met{r}")
-        after = stage.write(_merged(graph.drop("fresh").withColumn("old", F.lit(True)).unionByName(met.withColumn("old", F.lit(False)))), "graph")
+        met = stage.write(_in_blocks(prepared.select("id", "vec").join(hubs, "id"), "hub", block, dimensions, kept), f"met{r}")
+        after = stage.write(_merged(graph.drop("fresh").withColumn("old", F.lit(True)).unionByName(met.withColumn("old", F.lit(False))), kept), "graph")
         changed = after.agg(F.avg("fresh")).first()[0] or 0.0
         stage.drop(met, graph)
         graph = after
@@ -198,8 +199,10 @@ def similar_pairs(vectors: DataFrame, k: int = K) -> DataFrame:
     return nearest(vectors, k).select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()
 
 
-#: Greedy search: nodes a query starts from, candidates it keeps, and rounds at most.
-ENTRIES, BEAM, HOPS = 48, 24, 12
+#: Greedy search: nodes every query starts from, and of each bucket it falls into, candidates it keeps, and rounds at most.
+ENTRIES, NEAR_ENTRIES, BEAM, HOPS = 128, 12, 64, 16
+#: Neighbours in a graph to search: enough to leave a tight cluster.
+LINKS = 24
 
 
 def greedy_search(queries: DataFrame, vectors: DataFrame, graph: DataFrame, k: int = K, dimensions: int = DIMENSIONS) -> DataFrame:
@@ -207,7 +210,7 @@ def greedy_search(queries: DataFrame, vectors: DataFrame, graph: DataFrame, k: i
 
     All queries walk together: each keeps its BEAM best nodes, opens those not opened yet, and joins their
     neighbours, forwards and back, until none of a query's best k is unopened (HOPS rounds at most). Queries start
-    from ENTRIES nodes of least hash, which every task holds. A query's own row is no answer; unusable vectors
+    from ENTRIES nodes of least hash, which every task holds, and from NEAR_ENTRIES nodes of each bucket they fall into. A query's own row is no answer; unusable vectors
     take no part.
     """
     stage = stage_of(vectors, "search")
@@ -235,6 +238,12 @@ def greedy_search(queries: DataFrame, vectors: DataFrame, graph: DataFrame, k: i
             yield pd.DataFrame({"id": np.repeat(f.id.to_numpy(), len(nodes)), "node": np.tile(nodes, len(f)), "s": s.ravel(), "opened": False})
 
     first = asked.mapInPandas(begin, "id long, node long, s double, opened boolean")
+    # and from nodes that share the beginning of a code, a few of each bucket
+    bits = max(1, math.ceil(math.log2(max(2, base.count()) / NEAR_ENTRIES)))
+    near = _buckets(_prepared(vectors, dimensions), bits).withColumn("p", F.row_number().over(Window.partitionBy("bucket").orderBy(F.xxhash64("id")))).where(F.col("p") <= NEAR_ENTRIES)
+    met = _buckets(_prepared(queries, dimensions), bits).join(near.select("bucket", F.col("id").alias("node")), "bucket").select("id", "node").distinct()
+    near_first = met.join(base, "node").join(asked, "id").select("id", "node", cosine("q", "v").alias("s"), F.lit(False).alias("opened"))
+    first = first.unionByName(near_first).groupBy("id", "node").agg(F.max("s").alias("s"), F.min("opened").alias("opened"))
     order = Window.partitionBy("id").orderBy(F.desc("s"), "node")
     beam = stage.write(first.withColumn("p", F.row_number().over(order)).where(F.col("p") <= BEAM), "beam")
     for _ in range(HOPS):
@@ -252,9 +261,15 @@ def greedy_search(queries: DataFrame, vectors: DataFrame, graph: DataFrame, k: i
     return best.select("id", F.col("node").alias("other"), F.col("s").alias("cosine"))
 
 
+def _buckets(prepared: DataFrame, bits: int) -> DataFrame:
+    """(id, bucket): the beginnings of each table's code, told apart by table."""
+    codes = F.array(*(F.xxhash64(F.lit(t), F.shiftright(f"code{t}", BITS - bits)) for t in range(TABLES)))
+    return prepared.select("id", F.explode(codes).alias("bucket"))
+
+
 def search_queries(vectors: DataFrame, k: int = K) -> DataFrame:
     """greedy_search for every row whose id is divisible by 100, against all rows."""
     stage = stage_of(vectors, "graph")
-    near = stage.write(nearest(vectors, k), "near")
-    graph = near.groupBy("id").agg(F.array_sort(F.collect_list("other")).alias("nbrs"))
+    prepared = stage.write(_prepared(vectors, DIMENSIONS), "vectors")
+    graph = build_graph(prepared, stage, kept=LINKS).select("id", "nbrs")
     return greedy_search(vectors.where(F.col("id") % 100 == 0).select("id", "embedding"), vectors, graph, k)
