@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, StringType, StructField, StructType
 
 from quarry.functions.porter import tokens
 from quarry.functions.text import embed_text
@@ -82,7 +83,7 @@ def embed_chunks(chunks: DataFrame, embedder: Embedder, parallelism: int | None
     """
     text = embed_text(*(F.col(c) for c in ("file_path", "language", "name", "chunk_type", "parent", "start_line", "end_line", "content")))
     source = chunks.repartition(parallelism) if parallelism else chunks
-    schema = source.drop("embedding").schema.add("embedding", "array<float>").add("error", "string")
+    schema = StructType([*source.drop("embedding").schema.fields, StructField("embedding", ArrayType(FloatType())), StructField("error", StringType())])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         failures = 0

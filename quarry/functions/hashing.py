@@ -24,7 +24,7 @@ def fnv1a64(text: Column) -> Column:
         return F.struct(high.bitwiseAND(F.lit(_MASK)).alias("h"), low.bitwiseAND(F.lit(_MASK)).alias("l"))
 
     done = F.aggregate(byte, start, step)
-    return F.lower(F.concat(F.lpad(F.hex(done["h"]), 8, "0"), F.lpad(F.hex(done["l"]), 8, "0")))
+    return F.when(text.isNotNull(), F.lower(F.concat(F.lpad(F.hex(done["h"]), 8, "0"), F.lpad(F.hex(done["l"]), 8, "0"))))
 
 
 def project_key(path: Column) -> Column:

@@ -102,7 +102,7 @@ def same_model(a: Column, b: Column) -> Column:
 
 def first_signature_line(content: Column) -> Column:
     """The first line that shows something and is no // comment; '' if there is none."""
-    kept = F.filter(F.transform(lines(content), F.trim), lambda x: (F.length(x) > 0) & ~x.startswith("//"))
+    kept = F.filter(F.transform(lines(content), lambda x: F.trim(x)), lambda x: (F.length(x) > 0) & ~x.startswith("//"))
     return F.coalesce(F.try_element_at(kept, F.lit(1)), F.lit(""))
 
 

@@ -40,7 +40,9 @@ def watch_events(events: DataFrame, on_burst: Callable[[DataFrame, int], None],
 
     A failing pass is reported and the stream goes on: the next burst plans against what is recorded.
     """
-    closed = bursts(events.withWatermark("ts", LATENESS), relevant(F.col("kind"), F.col("path")), gap)
+    # a stream needs a grouping key beside the window; one index is one group
+    one = events.withWatermark("ts", LATENESS).withColumn("index", F.least(F.length("path"), F.lit(0)))
+    closed = bursts(one, relevant(F.col("kind"), F.col("path")), gap, ("index",))
 
     def run(batch: DataFrame, number: int) -> None:
         if batch.isEmpty():
