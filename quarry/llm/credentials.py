@@ -393,6 +393,11 @@ def _example(line: str, spans: list[tuple[int, int]]) -> tuple[list[list[int]],
 def train(lines: int = LINES, seed: int = 11) -> Crf:
     """The CRF, trained on `lines` generated lines."""
     data = [x for x in (_example(t, s) for t, s in training_lines(lines, seed)) if x[1]]
+    maker = _Maker(seed + 1)
+    for _ in range(max(1, lines // 40)):  # lines inside a private key
+        line = maker.r.choice(("", "    ", "\"", "// ")) + maker.chars(string.ascii_letters + string.digits + "+/", maker.r.choice((24, 44, 64, 64)))
+        us = units(line)
+        data.append((features(line, us, True), [int(b - a > 2) for a, b, _ in us]))
     return Crf().fit(data)
 
 
@@ -413,11 +418,15 @@ def find(crf: Crf, text: str) -> list[tuple[int, int, int]]:
             k = e
             while k > 0 and _BODY.match(lines[k - 1]):
                 k -= 1
-            body |= set(range(k, e + 1))
+            body |= set(range(k, e))
     for no, line in enumerate(lines):
         m = [x for x in _PEM.finditer(line)] if "-----" in line else []
         pem = no in body or private is not None and private
         low = line.lower()
+        if m and m[0].group(1) == "END" and not re.search(r"[A-Za-z0-9+/=]{16,}", line[: m[0].start()]):
+            private = None  # an end mark holds nothing secret
+            at += len(line) + 1
+            continue
         if pem or m and "PRIVATE" in line or ((any(k in low for k in _HINTS) or _LONG.search(line)) and _VALUE.search(line)):
             us = units(line)
             if us:
@@ -459,7 +468,7 @@ def _first_lines(text: str, spans: list[tuple[int, int, int]]) -> list[int]:
         for x in _PEM.finditer(line):
             private = x.group(1) == "BEGIN" and "PRIVATE" in x.group(2)
         if no in seen:
-            goes_on = no - 1 in seen and (inside or _BODY.match(line) is not None or "-----END" in line and "-----BEGIN" not in line or re.search(r"[+\\.]\s*$", lines[no - 2]) is not None and re.match(r"\s*[+.]?\s*[\"'`]", line) is not None)
+            goes_on = inside or no - 1 in seen and (_BODY.match(line) is not None or "-----END" in line and "-----BEGIN" not in line or re.search(r"[+\\.]\s*$", lines[no - 2]) is not None and re.match(r"\s*[+.]?\s*[\"'`]", line) is not None)
             if not goes_on:
                 keep.append(no)
     return keep

@@ -86,7 +86,7 @@ def _best(ids: np.ndarray, raw: np.ndarray, kept: int) -> tuple[np.ndarray, np.n
 _LIST = "id long, nbrs array<long>, sims array<double>"
 
 
-def _in_blocks(rows: DataFrame, key: str, block: int, dimensions: int, kept: int = KEPT) -> DataFrame:
+def _in_blocks(rows: DataFrame, key: str, block: int, dimensions: int, kept: int, parts: int) -> DataFrame:
     """(id, nbrs, sims): the best of each vector among those next to it in the order of `key`, in blocks."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,8 +115,7 @@ def _in_blocks(rows: DataFrame, key: str, block: int, dimensions: int, kept: int
         if held:
             yield flush(held)
 
-    n = shuffle_partitions(rows.sparkSession)
-    ordered = rows.select("id", "vec", key).repartitionByRange(n, key, F.xxhash64("id")).sortWithinPartitions(key)
+    ordered = rows.select("id", "vec", key).repartitionByRange(parts, key, F.xxhash64("id")).sortWithinPartitions(key)
     return ordered.mapInArrow(compare, _LIST)
 
 
@@ -134,16 +133,18 @@ def _merged(lists: DataFrame, kept: int = KEPT) -> DataFrame:
 
 def build_graph(prepared: DataFrame, stage: Stage, dimensions: int = DIMENSIONS, block: int = BLOCK, rounds: int = ROUNDS, kept: int = KEPT) -> DataFrame:
     """The neighbour graph (id, nbrs, sims) of prepared distinct vectors by NN-descent, `kept` neighbours each."""
+    # no more ranges than full blocks, so that few vectors all meet
+    ranges = max(1, min(shuffle_partitions(prepared.sparkSession), math.ceil(prepared.count() / block)))
     parts: list[DataFrame] = []
     for t in range(TABLES):
-        part = stage.write(_in_blocks(prepared, f"code{t}", block, dimensions, kept), f"table{t}")
+        part = stage.write(_in_blocks(prepared, f"code{t}", block, dimensions, kept, ranges), f"table{t}")
         parts.append(part)
     graph = stage.write(_merged(reduce(DataFrame.unionByName, parts).withColumn("old", F.lit(False)), kept), "graph")
     stage.drop(*parts)
     for r in range(rounds):
         around = F.concat(F.array("id"), F.slice("nbrs", 1, K))
         hubs = graph.select("id", _least_mixed(around, r).alias("hub"))
-        met = stage.write(_in_blocks(prepared.select("id", "vec").join(hubs, "id"), "hub", block, dimensions, kept), f"met{r}")
+        met = stage.write(_in_blocks(prepared.select("id", "vec").join(hubs, "id"), "hub", block, dimensions, kept, ranges), f"met{r}")
         after = stage.write(_merged(graph.drop("fresh").withColumn("old", F.lit(True)).unionByName(met.withColumn("old", F.lit(False))), kept), "graph")
         changed = after.agg(F.avg("fresh")).first()[0] or 0.0
         stage.drop(met, graph)

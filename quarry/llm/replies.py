@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 INVISIBLE = "\\u200b\\u200c\\u200d\\u2060\\ufeff\\u00ad\\u00a0\\u180e"
 # Bare stand-ins for a text, compared in lower case and without the punctuation around them.
 STAND_INS = (
-    "null nil none nan na n/a undefined empty missing blank tbd todo pending unknown "
+    "null nil none nan na n/a undefined empty missing blank tbd todo pending unknown|"
     "no answer|none recorded|not recorded|no reply|no response|not answered|no answer recorded|no answer given|"
     "answer missing|not available|nothing recorded|no content|no text|no output|keine antwort|sin respuesta|pas de réponse|aucune réponse"
 )
@@ -40,8 +40,8 @@ def real_reply(answer: Column) -> Column:
     """False for null, blank, punctuation only, a bare stand-in or a recorded failure of the model; else true."""
     seen = visible(answer)
     bare = F.lower(F.regexp_replace(seen, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
-    words = [w for part in STAND_INS.split("|") for w in (part.split() if "null nil" in part else [part])]
-    words += ["no answer"]
+    single, *phrases = STAND_INS.split("|")
+    words = [*single.split(), *phrases]
     failure = (F.length(seen) <= FAILURE_CHARS) & F.lower(seen).rlike(FAILURES)
     return F.coalesce((F.length(bare) > 0) & ~bare.isin(sorted(set(words))) & ~failure, F.lit(False))
 

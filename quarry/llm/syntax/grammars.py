@@ -12,8 +12,9 @@ from quarry.llm.syntax.derivatives import Grammar
 from quarry.llm.syntax.lexers import WORDS
 
 _JS = """
-prog: stmt* [simple]
-block: '{' stmt* [simple] '}'
+prog: stmt* [tail]
+block: '{' stmt* [tail] '}'
+tail: simple | 'if' '(' expr ')' [stmt 'else'] tail | 'for' ['await'] '(' forhead ')' tail | 'while' '(' expr ')' tail | ident ':' tail
 ident: ID | 'of' | 'get' | 'set' | 'from' | 'as' | 'async' | 'static' | 'let' | 'await' | 'yield' | TSIDENT
 simple: 'return' [expr] | 'throw' expr | 'break' [ident] | 'continue' [ident] | 'debugger' | vars | exprstmt | 'do' stmt 'while' '(' expr ')' | importdecl | exportsimple | TSSIMPLE
 exprstmt: !('{' 'function' 'class' 'async') expr | 'async' !('function') asynctail
@@ -23,7 +24,7 @@ stmt: simple ';' | ';' | block [';'] | 'if' '(' expr ')' stmt ['else' stmt] | 'f
   | 'try' block (catch [finally] | finally) [';'] | 'switch' '(' expr ')' '{' case* '}' [';'] | func [';'] | class [';'] | ident ':' stmt | exportdecl [';'] | 'do' block 'while' '(' expr ')' | TSSTMT
 catch: 'catch' ['(' binding [TYPEANN] ')'] block
 finally: 'finally' block
-case: ('case' expr | 'default') ':' stmt* [simple]
+case: ('case' expr | 'default') ':' stmt* [tail]
 forhead: [forinit] ';' [expr] ';' [expr] | fordecl ('of' asg | 'in' expr)
 fordecl: ('const' | 'let' | 'var') binding | post
 forinit: vars | expr
