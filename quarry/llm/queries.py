@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quarry.common import read_table
 from quarry.llm import conversations, credentials, functions, handwritten, leaks, neighbours, packing, pairs, sourcecheck, subjects
+from quarry.llm.sql import SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -101,4 +102,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
