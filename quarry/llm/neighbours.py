@@ -23,9 +23,9 @@ from quarry.common import Stage, shuffle_partitions, stage_of
 
 DIMENSIONS, K = 64, 5
 #: Random-projection tables and bits of a code; vectors compared at once; neighbours kept in the graph.
-TABLES, BITS, BLOCK, KEPT = 3, 40, 2048, 6
+TABLES, BITS, BLOCK, KEPT = 4, 40, 2048, 7
 #: Rounds of descent at least and at most, and the share of changed neighbours below which they end.
-LEAST_ROUNDS, ROUNDS, SETTLED = 2, 6, 0.015
+LEAST_ROUNDS, ROUNDS, SETTLED = 3, 8, 0.01
 _EMPTY = -1
 
 
