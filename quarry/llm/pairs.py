@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.common import stage_of
-from quarry.llm.minhash import classes
+from quarry.llm.minhash import WORDS, classes
 from quarry.llm.replies import has_text, real_reply
 
 # Function words by language.
@@ -53,6 +54,7 @@ FRAME = set("you asked question answer q a the your was is frage antwort sie fra
 DANGLING = set("the a an of and or to for with that which because is are was in on at by from as its der die das und oder mit von zu weil damit dass ein eine le la les de du des et ou que qui pour par dans el los las y o en que por para con un una".split())
 
 _SETS = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
+_COMMON = frozenset().union(*_SETS.values())
 _NAMES = {k: re.compile(rf"\b(?:{v})\b", re.I) for k, v in LANGUAGE_NAMES.items()}
 _WORD = re.compile(r"[^\W\d_]+")
 _CODE = re.compile(r"```.*?(?:```|\Z)|`[^`\n]*`?|\"[^\"\n]{0,80}\"|[\w.\-]+(?:/[\w.\-]+)+(?::\d+(?:-\d+)?)?", re.S)
@@ -126,16 +128,41 @@ def truncated(answer: str) -> bool:
     return True
 
 
+def _split(answer: str) -> list[str]:
+    """The sentences and lines of a reply, with code and places masked."""
+    text = _MASK.sub(" X ", re.sub(r"[​⁠﻿]", "", answer)).replace("’", "'")
+    return re.split(r"(?<=[.!?…;:])\s+|\n+", text.strip())
+
+
+def _said(sentence: str) -> list[str]:
+    return re.findall(r"[^\W\d]+(?:'[^\W\d]+)?|\d+", sentence.lower())
+
+
 def opening(answer: str) -> list[str]:
     """Words of the first sentences after any lead-in, with code and places masked; lower case."""
-    text = _MASK.sub(" X ", re.sub(r"[​⁠﻿]", "", answer)).replace("’", "'")
     kept: list[str] = []
-    for s in re.split(r"(?<=[.!?…;:])\s+|\n+", text.strip()):
+    for s in _split(answer):
         if kept or not _LEAD.match(s.strip()):
             kept.append(s)
         if len(kept) == OPENING_SENTENCES:
             break
-    return re.findall(r"[^\W\d]+(?:'[^\W\d]+)?|\d+", " ".join(kept).lower())[:60]
+    return _said(" ".join(kept))[:60]
+
+
+def statements(answer: str, cut: bool) -> list[str]:
+    """The distinct complete sentences of WORDS words or more anywhere in the reply; of a cut reply not the last."""
+    said = [_said(s) for s in _split(answer)]
+    return sorted({" ".join(w) for w in (said[:-1] if cut else said) if len(w) >= WORDS})
+
+
+def _content(text: str) -> set[str]:
+    return {w for w in _WORD.findall(text.lower()) if len(w) > 2 and w not in _COMMON}
+
+
+def grounded(question: str, answer: str, citations: str) -> bool:
+    """The whole answer shares a word, function words aside, with its own question or with the paths it cites."""
+    cited = " ".join(re.findall(r'file_path"\s*:\s*"([^"]*)', citations))
+    return not _content(answer).isdisjoint(_content(question) | _content(cited))
 
 
 def _features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -146,24 +173,29 @@ def _features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ql, al = language(q), language(a)
             asked = {k for k, p in _NAMES.items() if p.search(_CODE.sub(" ", q))}
             rows.append((
-                i, copies(q, a), truncated(a), bool(ql and al and ql != al and al not in asked), opening(a),
-                re.sub(r"\s+", " ", _MASK.sub("X", q)).strip().lower()[:80], len(re.findall(r"file_path", c or "")) == 0,
-                bool(re.search(r"[\w.\-]+(?:/[\w.\-]+)+:\d", a)),
+                i, copies(q, a), cut := truncated(a), bool(ql and al and ql != al and al not in asked), opening(a),
+                statements(a, cut), re.sub(r"\s+", " ", q).strip().lower(), grounded(q, a, c or ""), bool(re.search(r"[\w.\-]+(?:/[\w.\-]+)+:\d", a)),
             ))
-        yield pd.DataFrame(rows, columns=["id", "copy", "cut", "other", "words", "prompt", "bare", "places"])
+        yield pd.DataFrame(rows, columns=["id", "copy", "cut", "other", "words", "said", "prompt", "grounded", "places"])
 
 
-FEATURES = "id long, copy boolean, cut boolean, other boolean, words array<string>, prompt string, bare boolean, places boolean"
-#: A class of openings recurs if this many different prompts share it.
+FEATURES = "id long, copy boolean, cut boolean, other boolean, words array<string>, said array<string>, prompt string, grounded boolean, places boolean"
+#: A class of sentences recurs if this many different prompts share it.
 RECURRING_PROMPTS = 2
+#: Without the word list a class needs this share of prompts whose whole reply is ungrounded, and so many of them that
+#: chance would bring at most this number of such classes in the corpus.
+UNGROUNDED, CHANCE = 0.75, 0.05
 
 
 def defects(turns: DataFrame) -> DataFrame:
     """Each turn with its one defect: (turn_id, defect); rows without a defect give none.
 
-    Openings of the replies are grouped exactly, classed by verified MinHash (five words, 0.8) and judged as
-    classes: one that recurs across unrelated prompts and declines in most of its replies is a refusal template,
-    and all its members are refusals; an opening seen with one prompt counts as refusal by its own wording. A
+    All sentences of the replies are classed by verified MinHash (five words, 0.8) and judged as classes over the
+    different whole prompts they answer. A class is a refusal template if it recurs and most of it declines by the
+    word list, or if the replies that hold it have nothing to do with their own questions and citations far more often
+    than the other replies of the corpus do. A reply with a sentence of a template is a refusal; so is one whose
+    opening declines by its own wording. A sentence of an answer also stands in replies that name what was asked, so
+    that recurrence alone makes no template; sentences under five words ('Only in tests.') are not classed. A
     reply that names a line of a file is no refusal. Repeated rows are judged each for itself. Null ids are kept
     out; a null answer is `empty`; a null question has no language and nothing to copy.
     """
@@ -172,31 +204,42 @@ def defects(turns: DataFrame) -> DataFrame:
     t = t.withColumn("real", real_reply(F.col("answer")))
     features = stage.write(t.where("real").drop("real").mapInPandas(_features, FEATURES), "features")
     empty = t.where(~F.col("real")).select(F.col("id").alias("turn_id"), F.lit("empty").alias("defect"))
-    groups = stage.write(
-        features.groupBy("words").agg(
-            F.min("id").alias("id"), F.count("*").alias("n"), F.approx_count_distinct("prompt").alias("prompts"),
-            F.avg(F.col("bare").cast("double")).alias("bare"), F.avg(F.col("places").cast("double")).alias("places"),
-        ),
-        "openings",
-    )
-    labelled = groups.join(classes(groups.select("id", "words"), stage), "id")
-    says = F.concat_ws(" ", "words").rlike("|".join(DECLINES))
-    judged = (
-        labelled.withColumn("says", says.cast("double"))
+    members = stage.write(features.select("id", F.explode("said").alias("sentence"), F.xxhash64("prompt").alias("prompt"), "grounded", "places"), "sentences")
+    groups = stage.write(members.select("sentence", F.xxhash64("sentence").alias("id")).distinct(), "groups")
+    labelled = stage.write(groups.join(classes(groups.select("id", F.split("sentence", " ").alias("words")), stage), "id").select("sentence", "class_id"), "classes")
+    n, loose = features.agg(F.count("*"), F.coalesce(F.sum((~F.col("grounded")).cast("long")), F.lit(0))).first()
+    judged = stage.write(
+        members.join(labelled, "sentence")
+        .withColumn("says", F.col("sentence").rlike("|".join(DECLINES)).cast("double"))
+        .groupBy("class_id", "prompt")
+        .agg(
+            F.count("*").alias("n"), F.sum("says").alias("says"), F.sum(F.col("places").cast("double")).alias("places"),
+            F.sum((~F.col("grounded")).cast("long")).alias("loose"), F.min((~F.col("grounded")).cast("long")).alias("unrelated"),
+        )
         .groupBy("class_id")
         .agg(
-            F.sum("prompts").alias("prompts"), (F.sum(F.col("says") * F.col("n")) / F.sum("n")).alias("declines"),
-            (F.sum(F.col("places") * F.col("n")) / F.sum("n")).alias("places"),
+            F.count("*").alias("prompts"), (F.sum("says") / F.sum("n")).alias("declines"), (F.sum("places") / F.sum("n")).alias("places"),
+            F.avg("unrelated").alias("unrelated"), F.sum("n").alias("n"), F.sum("loose").alias("loose"),
         )
-        .withColumn("template", (F.col("prompts") >= RECURRING_PROMPTS) & (F.col("declines") >= 0.5) & (F.col("places") < 0.5))
+        .where(F.col("prompts") >= RECURRING_PROMPTS),
+        "judged",
     )
-    refusing = labelled.join(judged.select("class_id", "template"), "class_id").select("words", (F.col("template") | says).alias("refuses"))
+    # Chernoff's bound on the chance of so many ungrounded prompts at the rate of all other replies
+    rate = (F.greatest(loose - F.col("loose"), F.lit(0)) + 1) / (F.greatest(n - F.col("n"), F.lit(0)) + 2)
+    share = F.col("unrelated")
+    rest = F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - rate))).otherwise(0.0)
+    surprise = F.when(share > F.greatest(rate, F.lit(UNGROUNDED)), F.col("prompts") * (share * F.log(share / rate) + rest)).otherwise(0.0)
+    needed = math.log(max(1, judged.count()) / CHANCE)
+    templates = judged.where(((F.col("declines") >= 0.5) | (surprise >= needed)) & (F.col("places") < 0.5)).select("class_id")
+    held = members.join(labelled.join(templates, "class_id", "left_semi").select("sentence"), "sentence", "left_semi").select("id").distinct().withColumn("template", F.lit(True))
+    says = F.concat_ws(" ", "words").rlike("|".join(DECLINES))
+    refusing = F.coalesce("template", F.lit(False)) | says
     out = (
-        features.join(refusing, "words")
+        features.join(held, "id", "left")
         .select(
             F.col("id").alias("turn_id"),
             F.when(F.col("copy"), "copies_question")
-            .when(F.col("refuses") & ~F.col("places"), "refusal")
+            .when(refusing & ~F.col("places"), "refusal")
             .when(F.col("other"), "wrong_language")
             .when(F.col("cut"), "truncated").alias("defect"),
         )

@@ -84,6 +84,20 @@ def test_defects(spark):
     assert pairs.defects(t.limit(0)).count() == 0
 
 
+def test_a_recurring_refusal_in_no_word_list(spark):
+    things = "anchor basket candle dagger engine falcon garden hammer island jacket kettle ladder".split()
+    ask = "In the part of the project that reads the settings at the very beginning of a run, before anything else happens, what does the {} do?"
+    plain = "A thoughtful point. However, answering this would go against my instructions."
+    stock = "Entries without a key are skipped for good."
+    rows = [(k, "s", "1", ask.format(x), plain) for k, x in enumerate(things)]
+    rows += [(100 + k, "s", "1", ask.format(x), f"The {x} is read once. {stock}") for k, x in enumerate(things)]
+    rows += [(200 + k, "s", "1", ask.format(x), stock) for k, x in enumerate(things[:6])]
+    rows += [(300 + k, "s", "1", ask.format(x), "Only in tests.") for k, x in enumerate(things[:6])]
+    rows += [(400 + k, "s", "1", ask.format(x), f"It belongs to the {x} and to nothing else.") for k, x in enumerate(things)]
+    assert not pairs._DECLINES.search(plain.lower())
+    assert {r.turn_id: r.defect for r in pairs.defects(turns(spark, rows)).collect()} == {k: "refusal" for k in range(12)}
+
+
 def test_minhash_classes(spark):
     rng = random.Random(4)
     words = [f"w{k}" for k in range(400)]
