@@ -118,12 +118,46 @@ def lines(crf, text):
     return credentials._first_lines(text, credentials.find(crf, text))
 
 
-def test_credentials_held_out(crf):
+def found_of(crf, examples):
+    """(hits, misses, false lines) of labelled lines outside blocks."""
     hit = miss = false = 0
-    for line, spans in credentials.training_lines(800, 123):
-        found = bool(credentials.find(crf, line))
-        hit, miss, false = hit + (found and bool(spans)), miss + (not found and bool(spans)), false + (found and not spans)
-    assert hit / (hit + miss) > 0.95 and false <= 4
+    for line, block, spans in examples:
+        if not block:
+            found = bool(credentials.find(crf, line))
+            hit, miss, false = hit + (found and bool(spans)), miss + (not found and bool(spans)), false + (found and not spans)
+    return hit, miss, false
+
+
+def test_credentials_of_forms_never_trained_on():
+    without = frozenset(("{n} := \"{v}\"", "pub const {n}: &str = \"{v}\";", "| staging | https://{w}.internal.example | {u} | {v} |", "sync-tool --user={u} --password={v} --verbose", "curl -u {u}:{v} https://{w}.example/x"))
+    crf = credentials.train(without=without)
+    maker = credentials._Maker(77)
+    maker.forms = {k: [f for f in v if f in without] for k, v in credentials.FORMS.items()}
+    hit, miss, false = found_of(crf, [maker.line() for _ in range(1500)])
+    assert hit / (hit + miss) > 0.9 and false <= 0.02 * 1500
+
+
+def test_chunks_without_credentials(crf):
+    body = ["MFkwEwYHKoZIzj0CAQYIKoZIzj0DAQcDQgAEq7bq1xYz0h3Gk9LmN2pQrStUvWxYz0", "LeJwK3caCRBoJnv1VQI9+JPtcDu67RboaB+hXpgYfsk/W1szIFObocvbz9U8Adaj"]
+    for text in (
+        "Module: services/token-store/src/publish_compaction_v2.rs\nDefines: load_token (function), TokenStore::publish (method)\nuse std::fmt;\n",
+        "-----BEGIN CERTIFICATE-----\n" + "\n".join(body * 3) + "\n-----END CERTIFICATE-----\n", 'KEY = """-----BEGIN PUBLIC KEY-----\n' + "\n".join(body) + '\n-----END PUBLIC KEY-----"""\n', "\n".join(body) + "\n-----END CERTIFICATE-----\n",
+        "function _31(f){var g1=f.token||31;return g1>48?_30(g1):f};var t={secret:1,b:2};if(t.closure||0)b.opcode||9;" * 12, "public class PublishCompactionV1v3 {\n    private final int tokens = 3;\n}\n",
+        "resolved = \"sha512-" + "ab3Z" * 22 + "\"\n# pinned to commit " + "5e" * 20 + "\n", "password = getpass(\"Password: \")\nif password != user.password:\n    raise ValueError(\"wrong password\")\n", "The token is read once, and the password never leaves the vault.\n",
+    ):
+        assert credentials.find(crf, text) == [], text[:40]
+
+
+def test_redaction_keeps_the_option(crf):
+    text = "sync-tool --user=svc --password=Harbor-Cobalt-82 --verbose\n"
+    assert credentials.redact(text, credentials.find(crf, text)) == "sync-tool --user=svc --password=" + "*" * 16 + " --verbose\n"
+
+
+def test_scores_by_group_are_the_sums_of_weights(crf):
+    for line, block, _ in credentials.training_lines(60, 5):
+        us = credentials.units(line)
+        want = [sum(crf.w[k] for k in f) for f in credentials.features(line, us, block)]
+        assert np.allclose(crf.line_scores(line, us, block), want)
 
 
 def test_credentials(crf):
