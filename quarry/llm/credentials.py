@@ -47,12 +47,23 @@ Unit = tuple[int, int, str]  # start, end, part
 def units(line: str) -> list[Unit]:
     """The lexical units of a line: (start, end, part); part says what place a unit has in a pair or an address."""
     out: list[Unit] = []
+    for m in _WORD.finditer(line):
+        at = m.start()
+        for a, b, part in _word_units(m.group()):
+            out.append((at + a, at + b, part))
+    return out
+
+
+@lru_cache(maxsize=200_000)
+def _word_units(text: str) -> tuple[Unit, ...]:
+    """The units of what stands between spaces and brackets."""
+    out: list[Unit] = []
 
     def word(a: int, b: int, part: str) -> None:
-        s = line[a:b]
+        s = text[a:b]
         while b > a + 1 and s[-1] in ";,." and (s[-2].isalnum() or s[-2] in "_;,."):
             b -= 1
-            s = line[a:b]
+            s = text[a:b]
         if "://" in s:
             m = _URL.match(s)
             if m:
@@ -62,7 +73,7 @@ def units(line: str) -> list[Unit]:
                         if n == "query":
                             for q in re.finditer(r"[^&=]+|[&=]", m.group(k)):
                                 p = a + m.start(k) + q.start()
-                                out.append((p, p + len(q.group()), "sign" if q.group() in "&=" else "qvalue" if out and line[out[-1][0]] == "=" else "qname"))
+                                out.append((p, p + len(q.group()), "sign" if q.group() in "&=" else "qvalue" if out and text[out[-1][0]] == "=" else "qname"))
                         else:
                             out.append((a + m.start(k), a + m.end(k), n))
                 return
@@ -71,7 +82,7 @@ def units(line: str) -> list[Unit]:
             out.append((a, a + m.end(1), "name"))
             out.append((a + m.start(2), a + m.end(2), "sign"))
             start = a + m.start(3)
-            for q in re.finditer(r"[^;]+|;", line[start:b]):
+            for q in re.finditer(r"[^;]+|;", text[start:b]):
                 if q.group() == ";":
                     out.append((start + q.start(), start + q.end(), "sign"))
                 else:
@@ -84,34 +95,45 @@ def units(line: str) -> list[Unit]:
             return
         out.append((a, b, part))
 
-    for m in _WORD.finditer(line):
-        s = m.group()
-        if len(s) == 1 and s in "\"'`()[]{}<>,":
-            out.append((m.start(), m.end(), "mark"))
-        else:
-            word(m.start(), m.end(), "word")
-    return out
+    if len(text) == 1 and text in "\"'`()[]{}<>,":
+        return ((0, 1, "mark"),)
+    word(0, len(text), "word")
+    return tuple(out)
 
 
-@lru_cache(maxsize=200_000)
+class _Classes(dict):
+    """Letters and digits by class, for str.translate; other characters stay."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        self[code] = c = "a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else "a" if c.isalpha() else c
+        return c
+
+
+_CLASSES = _Classes()
+_RUN, _ALNUMS, _HEXA = re.compile(r"(.)\1+", re.S), re.compile(r"[aA0]+"), re.compile(r"[0-9a-f]+")
+_UUID, _PLAIN, _IDENT, _DOTTED = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"), re.compile(r"[A-Za-z]?[a-z]+"), re.compile(r"[a-zA-Z_]+"), re.compile(r"\w+\.\w+")
+_LOGS = [0.0] + [k * math.log2(k) for k in range(1, 512)]
+
+
+@lru_cache(maxsize=400_000)
 def _look(w: str) -> tuple[str, ...]:
     """Shape features of a unit."""
     n = len(w)
     if n == 1 and not w.isalnum():
         return ("sign=" + w,)
-    lower, upper, digit = any(c.islower() for c in w), any(c.isupper() for c in w), any(c.isdigit() for c in w)
-    odd = any(not c.isalnum() and c not in "_-" for c in w)
-    counts = Counter(w)
-    entropy = -sum(v / n * math.log2(v / n) for v in counts.values())
-    shape = re.sub(r"(.)\1+", r"\1", re.sub(r"[A-Z]", "A", re.sub(r"[a-z]", "a", re.sub(r"\d", "0", w))))[:8]
-    hexa = re.fullmatch(r"[0-9a-f]+", w) is not None and digit
-    turns = sum(x.isalnum() and y.isalnum() and (x.isdigit() != y.isdigit() or x.isupper() != y.isupper()) for x, y in zip(w, w[1:])) / max(1, n)
+    runs = _RUN.sub(r"\1", w.translate(_CLASSES))
+    kinds = set(runs)
+    lower, upper, digit = "a" in kinds, "A" in kinds, "0" in kinds
+    odd = not kinds <= {"a", "A", "0", "_", "-"}
+    entropy = math.log2(n) - sum(_LOGS[v] if v < 512 else v * math.log2(v) for v in Counter(w).values()) / n
+    turns = sum(len(x) - 1 for x in _ALNUMS.findall(runs)) / n
     return (
-        "len=" + str(min(n, 8) if n < 8 else 8 + min(8, n // 8) if n < 200 else 99), f"class={lower:d}{upper:d}{digit:d}{odd:d}", "entropy=" + str(int(entropy * 2)), "shape=" + shape,
-        f"hex={n if hexa else 0}", "uuid=" + str(re.fullmatch(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", w) is not None), "start=" + str(bool(TOKEN_START.match(w))),
-        "holder=" + str(bool(PLACEHOLDER.search(w))), "turns=" + str(int(turns * 6)), "plain=" + str(re.fullmatch(r"[A-Za-z]?[a-z]+", w) is not None), "ident=" + str(re.fullmatch(r"[a-zA-Z_]+", w) is not None),
-        "callish=" + str(bool(re.search(r"^\w+\.\w+", w)) and not digit), "path=" + str(_PATH.fullmatch(w) is not None), "camel=" + str(_CAMEL.fullmatch(w) is not None),
-        "signs=" + str(min(4, len({c for c in w if not c.isalnum() and c not in "_-./"}))),
+        "len=" + str(min(n, 8) if n < 8 else 8 + min(8, n // 8) if n < 200 else 99), f"class={lower:d}{upper:d}{digit:d}{odd:d}", "entropy=" + str(int(entropy * 2)), "shape=" + runs[:8],
+        f"hex={n if digit and _HEXA.fullmatch(w) else 0}", "uuid=" + str(n == 36 and _UUID.fullmatch(w) is not None), "start=" + str(bool(TOKEN_START.match(w))),
+        "holder=" + str(bool(PLACEHOLDER.search(w))), "turns=" + str(int(turns * 6)), "plain=" + str(_PLAIN.fullmatch(w) is not None), "ident=" + str(_IDENT.fullmatch(w) is not None),
+        "callish=" + str(not digit and _DOTTED.match(w) is not None), "path=" + str("/" in w and _PATH.fullmatch(w) is not None), "camel=" + str(_CAMEL.fullmatch(w) is not None),
+        "signs=" + str(min(4, len(kinds - {"a", "A", "0", "_", "-", ".", "/"}))),
     )
 
 
@@ -130,10 +152,7 @@ def contexts(line: str, us: list[Unit], block: str) -> list[tuple[tuple, ...]]:
     block: "private" or "public" if the line stands inside such a key or certificate, else "".
     """
     texts = [line[a:b] for a, b, _ in us]
-    low = line.lower()
-    flags = tuple(f for f in ("bearer ", "curl", "login", "log in", "header", "x-a") if f in low)
-    bare = line.lstrip()
-    kind = (flags, bare[:1] in "#/*-" and not bare.startswith("-----"), min(4, len(line) // 150), len(us) == 1)
+    kind = _line_kind(line, len(us))
     out: list[tuple[tuple, ...]] = []
     name, gap, named, inside, opened = "none", 9, "none", block, ""
     last = len(us) - 1
@@ -158,6 +177,14 @@ def contexts(line: str, us: list[Unit], block: str) -> list[tuple[tuple, ...]]:
     return out
 
 
+def _line_kind(line: str, units: int) -> tuple:
+    """What a whole line says: words it holds, whether it is a comment, its length and whether it is one unit."""
+    low = line.lower()
+    bare = line.lstrip()
+    return (tuple(f for f in _FLAGS if f in low), bare[:1] in "#/*-" and not bare.startswith("-----"), min(4, len(line) // 150), units == 1)
+
+
+_FLAGS = ("bearer ", "curl", "login", "log in", "header", "x-a")
 _QUOTES = ("\"", "'", "`", '\"\"\"')
 _NAMING = re.compile(r"^[\"'`]?\s*[A-Za-z_][\w.\-]*:?$")
 
@@ -203,22 +230,83 @@ class Crf:
     def __init__(self) -> None:
         self.w = np.zeros(BUCKETS)
         self.t = np.zeros((2, 2))
+        self._forget()
+
+    def _forget(self) -> None:
+        """Empties the tables of what the weights give."""
+        (t00, t01), (t10, t11) = self.t.tolist()
+        #: no unit is a secret if all score this or less: a run of n secrets changes n + 1 transitions at most
+        self.calm = -2 * max(0.0, max(t01, t10, t11) - t00)
         self.part: dict[tuple, float] = {}
+        self.unit: dict[str, tuple] = {}
+        self.weights: list[dict[str, float]] = [{} for _ in range(5)]
+        self.edges = [self._unit("^"), self._unit("$")]
         self.known: dict[tuple[str, str], tuple[tuple[int, int], ...]] = {}
 
+    def _sum(self, group: int, c: tuple) -> float:
+        known, total = self.weights[group], 0.0
+        for f in _named_features(group, c):
+            x = known.get(f)
+            if x is None:
+                x = known[f] = float(self.w[zlib.crc32(f"{group} {f}".encode()) % BUCKETS])
+            total += x
+        return total
+
+    def _unit(self, t: str) -> tuple:
+        """What a unit's text alone says: short forms, class, whether a quote, a name and of which class, and its score as the next unit."""
+        return (_short(t), _short(t)[:10], _cast(t), t in _QUOTES, t in "\"'`", _NAMING.match(t) is not None, _name_class(t.rstrip(":")), _name_class(t) == "secret" or t[-1] == ":", t[:1] in "=:", self._sum(3, (t[:6],)))
+
     def line_scores(self, line: str, us: list[Unit], block: str) -> list[float]:
-        """The scores of a line's units: sums of their features' weights, group by group from a table."""
-        part, out = self.part, []
-        if len(part) > MAX_CACHED:
-            part.clear()
-        for groups in contexts(line, us, block):
-            total = 0.0
-            for g, c in enumerate(groups):
-                x = part.get(c)
-                if x is None:
-                    x = part[c] = float(sum(self.w[zlib.crc32(f"{g} {f}".encode()) % BUCKETS] for f in _named_features(g, c)))
-                total += x
-            out.append(total)
+        """The scores of a line's units: sums of their features' weights (as `contexts` has them), from tables of partial sums."""
+        part_of, unit_of, out = self.part, self.unit, []
+        if len(part_of) > MAX_CACHED or len(unit_of) > MAX_CACHED:
+            part_of.clear()
+            unit_of.clear()
+            for w in self.weights:
+                w.clear()
+        texts = [line[a:b] for a, b, _ in us]
+        seen = []
+        for t in texts:
+            u = unit_of.get(t)
+            if u is None:
+                u = unit_of[t] = self._unit(t)
+            seen.append(u)
+        kind = _line_kind(line, len(us))
+        private = "PRIVATE" in line
+        name, gap, named, inside, opened = "none", 9, "none", block, ""
+        before, before2, last = self.edges[0], self.edges[0], self.edges[1]
+        n = len(us)
+        for k in range(n):
+            t, u, part = texts[k], seen[k], us[k][2]
+            after = seen[k + 1] if k + 1 < n else last
+            if "-----BEGIN" in t:
+                inside = "private" if private else "public"
+            if u[4] and part == "mark":
+                opened = "" if opened == t else opened or t
+            quoted = (opened != "") + 2 * before[3] + 4 * after[3]
+            key = (t, part, name, inside)
+            own = part_of.get(key)
+            if own is None:
+                own = part_of[key] = self._sum(0, key)
+            key = (name, gap if gap < 6 else 6, part, quoted, named, kind, inside, u[2])
+            place = part_of.get(key)
+            if place is None:
+                place = part_of[key] = self._sum(1, key[:5]) + self._sum(4, (kind, inside, quoted, u[2]))
+            key = (before[0], before2[1])
+            led = part_of.get(key)
+            if led is None:
+                led = part_of[key] = self._sum(2, key)
+            out.append(own + place + led + after[9])
+            if inside and "-----END" in t:
+                inside = ""
+            gap += 1
+            if part in ("name", "qname") or part == "word" and u[5] and (after[8] or after[4] or u[7]):
+                c = u[6]
+                if c != "other" or part != "word" or after[8]:
+                    name, gap = c, 0
+                    if named == "none":
+                        named = c
+            before2, before = before, u
         return out
 
     def spans(self, line: str, block: str) -> tuple[tuple[int, int], ...]:
@@ -226,7 +314,8 @@ class Crf:
         found = self.known.get((line, block))
         if found is None:
             us = units(line)
-            marks = self.viterbi(self.line_scores(line, us, block))
+            s = self.line_scores(line, us, block)
+            marks = self.viterbi(s) if s and max(s) > self.calm else []
             edges = [k for k in range(len(us) + 1) if (marks[k] if k < len(us) else 0) != (marks[k - 1] if k else 0)] if any(marks) else []
             found = tuple((us[a][0], us[b - 1][1]) for a, b in zip(edges[::2], edges[1::2]))
             if len(self.known) > MAX_CACHED // 4:
@@ -287,6 +376,8 @@ class Crf:
                 self.t = self.t - rate * (t1 / c1) / (np.sqrt(t2 / c2) + 1e-6)
         self.w = np.zeros(BUCKETS)
         self.w[used] = w
+        self._forget()
+        self.known.clear()
         return self
 
     def viterbi(self, s: list[float]) -> list[int]:
