@@ -3,7 +3,7 @@
 Every file and every directory is a variable over five labels. A file's own text and name give its evidence, a
 directory's name a prior, and each parent-child edge a compatibility: vendored files come in whole directories,
 generated ones often, minified files and blobs seldom. On a tree the two sweeps (leaves to root, root to leaves)
-are exact; each is one aggregation and one join a level.
+are exact; each is one aggregation and one join a level. Messages are computed in numpy over whole batches.
 """
 
 from __future__ import annotations
@@ -13,8 +13,9 @@ import re
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.common import stage_of
@@ -54,9 +55,41 @@ _OWNER = re.compile(r"copyright (?:\(c\)|©)?\s*(?:\d{4}[-, \d]*)?\s*(?:the |by
 _STRING = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`]*`")
 _NUMBERS = re.compile(r"(?:(?:0[xX][0-9a-fA-F]+|-?\d+(?:\.\d+)?)[uUlLiIfF\d]*\s*,\s*){12,}")
 _LONG_STRING = re.compile(r"[\"'`]((?:[A-Za-z0-9+/=_\-]|\\x[0-9a-fA-F]{2}|\\[\\n]){400,})[\"'`]|(?:[\"'][A-Za-z0-9+/=\\x]{40,}[\"'][\s,+\\.)(]*){8,}")
+# Beginnings of lines that may stand before a file's first comment or between its first ones.
+_PREAMBLE = re.compile(r"#!|package\b|import\b|from\b|use\b|using\b|module\b|namespace\b|#\[|#!\[|[\"']use strict|<\?|@charset|%|---|[{}()\[\]]|Object\.defineProperty\(exports|extern crate|var __|\\")
 _COMMENT = re.compile(r"^\s*(?://|/\*|\*|#(?!!)|--|<!--|;;|\"\"\"|''')")
 
 
+def comment_blocks(text: str) -> tuple[list[str], list[str]]:
+    """The comments before the first statement, however long they are, and those after the last one.
+
+    Package and import lines, attributes and mode strings may stand before and between the first; a licence of a
+    hundred lines and what follows it are read whole.
+    """
+    first: list[str] = []
+    doc = block = False
+    lines = text.split("\n")
+    for x in lines:
+        s = x.strip()
+        if not s:
+            continue
+        fences = s.count('"""') + s.count("'''")
+        if doc or block or _COMMENT.match(x) or s.startswith("/*"):
+            first.append(s)
+        elif not _PREAMBLE.match(s):
+            break
+        doc = doc != (fences % 2 == 1)
+        block = (block or s.startswith("/*")) and "*/" not in s
+    last: list[str] = []
+    for x in reversed(lines):
+        s = x.strip()
+        if s and not _COMMENT.match(x):
+            break
+        if s:
+            last.append(s)
+    return first, last
+
+
 def evidence(project: str, path: str, text: str) -> list[float]:
     """Log-likelihoods of the five labels from one file's text and name; handwritten's is 0."""
     out = [0.0, -2.0, -3.0, -0.7, -3.0]
@@ -64,22 +97,10 @@ def evidence(project: str, path: str, text: str) -> list[float]:
     code = ext in ("py", "rs", "js", "ts", "go", "java", "c", "h", "cpp", "jsx", "tsx", "css", "mjs", "cjs")
     if ext == "md":
         return [0.0, -9.0, -9.0, -0.7, -9.0]
-    lines = text.split("\n")
-    head = [x for x in lines[:40] if x.strip()][:14]
-    tail = [x for x in lines[-12:] if x.strip()][-3:]
-    doc, comments = False, []
-    for x in head:
-        if _COMMENT.match(x) or doc or "/*" in x:
-            comments.append(x.strip())
-        if x.count('"""') % 2:
-            doc = not doc
-        elif not _COMMENT.match(x) and not doc and "*/" not in x and len(comments) and x.strip()[:1].isalpha() and not re.match(r"\s*[\"']use strict", x):
-            break
-    closing = [x.strip() for x in tail if _COMMENT.match(x)]
-    said = [x for x in comments + closing if TOOL_SAYS.search(x)]
-    if said:
+    comments, closing = comment_blocks(text)
+    if any(TOOL_SAYS.search(x) for x in comments + closing):
         out[1] += 9
-    if COMPILED.search(text[:4000]) and code:
+    if code and COMPILED.search(text):
         out[1] += 9
     if TOOL_NAMES.search(path):
         out[1] += 8.5
@@ -130,7 +151,8 @@ def _files(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             text, path = text or "", path.replace("\\", "/")
             language = LANGUAGES.get(path.rsplit(".", 1)[-1].lower())
             rows.append((path, path.rsplit("/", 1)[0] if "/" in path else "", language is None or parse_status(language, text)[0] == "ok", *evidence(project or path.split("/")[0], path, text)))
-        yield pd.DataFrame(rows, columns=["path", "dir", "parses", *_cols("e")])
+        out = pd.DataFrame(rows, columns=["path", "dir", "parses", *_cols("b")])
+        yield out.assign(**dict(zip(_cols("u"), message(out[_B].to_numpy(dtype=float), True).T)))
 
 
 def _cols(p: str) -> list[str]:
@@ -155,12 +177,36 @@ def _log_compatibility(directories: bool) -> list[list[float]]:
 PSI = {False: _log_compatibility(False), True: _log_compatibility(True)}
 
 
-def _message(belief: list[Column], upward: bool, directories: bool = False) -> list[Column]:
-    """Sum-product message over an edge, normalised to handwritten: to the parent if upward, else to the child."""
-    n, psi = range(len(LABELS)), PSI[directories]
-    top = F.greatest(*belief)
-    sums = [F.log(reduce(lambda x, y: x + y, (F.exp(belief[b] - top + (psi[a][b] if upward else psi[b][a])) for b in n))) for a in n]
-    return [s - sums[0] for s in sums]
+def message(belief: np.ndarray, upward: bool, directories: bool = False) -> np.ndarray:
+    """Sum-product messages over edges, a row each, normalised to handwritten: to the parent if upward, else to the child."""
+    psi = np.exp(np.array(PSI[directories]))
+    top = belief.max(axis=1, keepdims=True)
+    sums = np.log(np.exp(belief - top) @ (psi.T if upward else psi))
+    return sums - sums[:, :1]
+
+
+_B = _cols("b")
+_MESSAGES = ", ".join(f"{c} double" for c in _cols("u"))
+
+
+def _upward(df: DataFrame, names: list[str], directories: bool) -> DataFrame:
+    """df(names, b0..) -> (names, b0.., u0..): beliefs with the message each sends to its parent."""
+
+    def told(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield f.assign(**dict(zip(_cols("u"), message(f[_B].to_numpy(), True, directories).T)))
+
+    schema = ", ".join([*(f"{c} string" for c in names), *(f"{c} double" for c in _B), _MESSAGES])
+    return df.select(*names, *_B).mapInPandas(told, schema)
+
+
+def _sums(messages: DataFrame, key: str) -> DataFrame:
+    """The messages of all children of each directory, summed before the shuffle."""
+    return messages.groupBy(F.col(key).alias("dir")).agg(*(F.sum(c).alias(c) for c in _cols("u")))
+
+
+def _added(df: DataFrame, sums: DataFrame, names: list[str]) -> DataFrame:
+    return df.join(sums, "dir", "left").select(*names, *((F.col(b) + F.coalesce(u, F.lit(0.0))).alias(b) for b, u in zip(_B, _cols("u"))))
 
 
 def labels(source_files: DataFrame) -> DataFrame:
@@ -172,55 +218,68 @@ def labels(source_files: DataFrame) -> DataFrame:
     """
     stage = stage_of(source_files, "tree")
     files = source_files.where("relative_path is not null").select("project", "relative_path", "content")
-    schema = "path string, dir string, parses boolean, " + ", ".join(f"{c} double" for c in _cols("e"))
+    schema = "path string, dir string, parses boolean, " + ", ".join(f"{c} double" for c in [*_B, *_cols("u")])
     files = stage.write(files.mapInPandas(_files, schema), "files")
-    up = files.select("dir", *(m.alias(c) for m, c in zip(_message([F.col(c) for c in _cols("e")], True), _cols("u"))))
-    from_files = stage.write(up.groupBy("dir").agg(*(F.sum(c).alias(c) for c in _cols("u"))), "leaves")
+    from_files = stage.write(_sums(files, "dir"), "leaves")
     parts = F.split("dir", "/")
-    dirs = from_files.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat_ws("/", F.slice(parts, F.lit(1), i)))).alias("dir")).distinct()
-
-    @F.pandas_udf("array<double>")
-    def prior(names: pd.Series) -> pd.Series:
-        return names.map(lambda d: directory_prior(d.rsplit("/", 1)[-1], d.count("/") + 1))
-
-    dirs = dirs.withColumn("prior", prior("dir"))
-    dirs = dirs.join(from_files, "dir", "left").select(
-        "dir", F.size(F.split("dir", "/")).alias("depth"), F.when(F.col("dir").contains("/"), F.regexp_replace("dir", "/[^/]*$", "")).alias("up_dir"),
-        *((F.col("prior")[i] + F.coalesce(F.col(c), F.lit(0.0))).alias(f"b{i}") for i, c in enumerate(_cols("u"))),
-    )
-    dirs = stage.write(dirs, "dirs")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat_ws("/", F.slice(parts, F.lit(1), i)))
+    dirs = from_files.select(F.explode(above).alias("dir")).distinct()
+
+    def prior(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            depth = f.dir.str.count("/") + 1
+            priors = np.array([directory_prior(d.rsplit("/", 1)[-1], n) for d, n in zip(f.dir, depth)]).reshape(-1, len(LABELS))
+            yield pd.DataFrame({"dir": f.dir, "depth": depth.astype("int32"), "up_dir": [d.rsplit("/", 1)[0] if "/" in d else None for d in f.dir], **dict(zip(_B, priors.T))})
+
+    dirs = dirs.mapInPandas(prior, "dir string, depth int, up_dir string, " + ", ".join(f"{c} double" for c in _B))
+    dirs = stage.write(_added(dirs, from_files, ["dir", "depth", "up_dir"]), "dirs")
+    stage.drop(from_files)
     deepest = dirs.agg(F.max("depth")).first()[0] or 0
-    b = [F.col(c) for c in _cols("b")]
     levels: dict[int, DataFrame] = {}
-    below = None
     for depth in range(deepest, 0, -1):
-        here = dirs.where(F.col("depth") == depth)
-        if below is not None:
-            got = below.groupBy(F.col("up_dir").alias("dir")).agg(*(F.sum(c).alias(c) for c in _cols("u")))
-            here = here.join(got, "dir", "left").select("dir", "up_dir", *((F.col(x) + F.coalesce(F.col(c), F.lit(0.0))).alias(x) for x, c in zip(_cols("b"), _cols("u"))))
-        here = here.select("dir", "up_dir", *b, *(m.alias(c) for m, c in zip(_message(b, True, True), _cols("u"))))
-        below = levels[depth] = stage.write(here, f"up{depth}")
-    done, above = [], None
+        here = dirs.where(F.col("depth") == depth).drop("depth")
+        if depth < deepest:
+            here = _added(here, _sums(levels[depth + 1], "up_dir"), ["dir", "up_dir"])
+        levels[depth] = stage.write(_upward(here, ["dir", "up_dir"], True), f"up{depth}")
+    stage.drop(dirs)
+    done: list[DataFrame] = []
     for depth in range(1, deepest + 1):
         here = levels[depth]
-        if above is not None:
+        if done:
             # what the parent believes without what this directory told it
-            parent = above.select(F.col("dir").alias("up_dir"), *(F.col(c).alias(p) for c, p in zip(_cols("b"), _cols("p"))))
-            here = here.join(parent, "up_dir")
-            told = _message([F.col(p) - F.col(u) for p, u in zip(_cols("p"), _cols("u"))], False, True)
-            here = here.select("dir", "up_dir", *((x + t).alias(c) for x, t, c in zip(b, told, _cols("b"))))
-        above = stage.write(here.select("dir", "up_dir", *b), f"down{depth}")
-        done.append(above)
+            parent = done[-1].select(F.col("dir").alias("up_dir"), *(F.col(c).alias(p) for c, p in zip(_B, _cols("p"))))
+            here = here.join(parent, "up_dir").mapInPandas(_told(True), "dir string, " + ", ".join(f"{c} double" for c in _B))
+        done.append(stage.write(here.select("dir", *_B), f"down{depth}"))
+    stage.drop(*levels.values())
     if not done:
         return files.select(F.col("path").alias("relative_path"), F.lit("").alias("label"), F.lit(0.0).alias("odds"), "parses")
-    beliefs = reduce(DataFrame.unionByName, done).select("dir", *(F.col(c).alias(p) for c, p in zip(_cols("b"), _cols("p"))))
-    e = [F.col(c) for c in _cols("e")]
-    own = _message(e, True)
-    joined = files.join(beliefs, "dir", "left").select("path", "parses", *e, *(F.coalesce(F.col(p) - m, F.lit(0.0)).alias(p) for p, m in zip(_cols("p"), own)))
-    told = _message([F.col(p) for p in _cols("p")], False)
-    final = joined.select("path", "parses", *((x + t).alias(c) for x, t, c in zip(e, told, _cols("f"))))
-    best = F.greatest(*(F.struct(F.col(c).alias("v"), F.lit(n).alias("n")) for c, n in zip(_cols("f"), LABELS)))
-    return final.select(F.col("path").alias("relative_path"), best["n"].alias("label"), (best["v"] - F.col("f0")).alias("odds"), "parses")
+    beliefs = reduce(DataFrame.unionByName, done).select("dir", *(F.col(c).alias(p) for c, p in zip(_B, _cols("p"))))
+    return files.join(beliefs, "dir", "left").mapInPandas(_judged, "relative_path string, label string, odds double, parses boolean")
+
+
+def _down(f: pd.DataFrame, directories: bool) -> np.ndarray:
+    """Beliefs of children (b0.., and u0.. what they told) that hear from their parents (p0..; none for null)."""
+    rest = f[_cols("p")].to_numpy() - f[_cols("u")].to_numpy()
+    heard = message(np.nan_to_num(rest), False, directories)
+    heard[np.isnan(rest).any(axis=1)] = 0.0
+    return f[_B].to_numpy() + heard
+
+
+def _told(directories: bool):
+    def heard(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame({"dir": f.dir, **dict(zip(_B, _down(f, directories).T))})
+
+    return heard
+
+
+def _judged(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for f in frames:
+        belief = _down(f, False)
+        # ties: the label that comes last in the alphabet
+        order = sorted(range(len(LABELS)), key=lambda k: LABELS[k], reverse=True)
+        best = np.array(order)[belief[:, order].argmax(axis=1)] if len(f) else np.zeros(0, dtype=int)
+        yield pd.DataFrame({"relative_path": f.path, "label": np.array(LABELS)[best], "odds": belief.max(axis=1) - belief[:, 0] if len(f) else [], "parses": f.parses})
 
 
 def not_handwritten(source_files: DataFrame) -> DataFrame:

@@ -95,20 +95,50 @@ def test_labels_over_a_tree(spark):
     assert handwritten.not_handwritten(df.limit(0)).count() == 0
 
 
-def test_messages_are_sum_product(spark):
+def test_messages_are_sum_product():
     import itertools
     import math
 
-    from pyspark.sql import functions as F
-
     belief = [0.0, 1.5, -2.0, 0.3, -0.7]
-    got = spark.range(1).select(*(m.alias(f"m{k}") for k, m in enumerate(handwritten._message([F.lit(x) for x in belief], True)))).first()
-    psi = handwritten.PSI[False]
-    want = [math.log(sum(math.exp(belief[b] + psi[a][b]) for b in range(5))) for a in range(5)]
-    assert all(abs(g - (w - want[0])) < 1e-9 for g, w in zip(got, want))
+    for upward, directories in itertools.product((True, False), repeat=2):
+        psi = handwritten.PSI[directories]
+        got = handwritten.message(np.array([belief]), upward, directories)[0]
+        want = [math.log(sum(math.exp(belief[b] + (psi[a][b] if upward else psi[b][a])) for b in range(5))) for a in range(5)]
+        assert np.allclose(got, np.array(want) - want[0])
     assert all(abs(sum(math.exp(x) for x in row) - 1) < 1e-9 for row in itertools.chain(*handwritten.PSI.values()))
 
 
+def test_two_sweeps_are_exact(spark):
+    """Beliefs of a small tree against the sum over all its labellings."""
+    import itertools
+    import math
+
+    paths = ["p/a/x.py", "p/a/y.py", "p/b/z.py"]
+    text = {"p/a/x.py": "# Code generated by foogen v1.2. DO NOT EDIT.\nx = 1\n", "p/a/y.py": "x = 1\n", "p/b/z.py": "x = 1\n"}
+    df = spark.createDataFrame([("p", p, text[p]) for p in paths], "project string, relative_path string, content string")
+    got = {r.relative_path: (r.label, r.odds) for r in handwritten.labels(df).collect()}
+    own = {p: handwritten.evidence("p", p, text[p]) for p in paths}
+    prior = {d: handwritten.directory_prior(d.rsplit("/", 1)[-1], d.count("/") + 1) for d in ("p", "p/a", "p/b")}
+    nodes = ["p", "p/a", "p/b", *paths]
+    totals = {p: [0.0] * 5 for p in paths}
+    for labels in itertools.product(range(5), repeat=6):
+        at = dict(zip(nodes, labels))
+        w = sum(prior[d][at[d]] for d in prior) + sum(own[p][at[p]] for p in paths)
+        w += sum(handwritten.PSI[True][at["p"]][at[d]] for d in ("p/a", "p/b")) + sum(handwritten.PSI[False][at[p.rsplit("/", 1)[0]]][at[p]] for p in paths)
+        for p in paths:
+            totals[p][at[p]] += math.exp(w)
+    for p in paths:
+        best = max(range(5), key=lambda k: totals[p][k])
+        assert got[p][0] == handwritten.LABELS[best] and abs(got[p][1] - math.log(totals[p][best] / totals[p][0])) < 1e-6
+
+
+def test_marks_below_a_long_licence():
+    licence = "".join(f"// Line {k} of the house licence of p.\n" for k in range(90))
+    assert handwritten.evidence("p", "p/a.go", licence + "// Code generated by foogen. DO NOT EDIT.\n\npackage a\n")[1] > 5
+    assert handwritten.evidence("p", "p/a.js", licence + "// x\n" * 900 + "Object.defineProperty(exports, '__esModule', { value: true });\n")[1] > 5
+    assert handwritten.evidence("p", "p/a.go", licence + "package a\n\nfunc F() {\n\t// Code generated by foogen. DO NOT EDIT.\n}\n")[1] < 0
+
+
 @pytest.fixture(scope="module")
 def crf():
     return credentials._trained()
