@@ -294,7 +294,7 @@ stmt: simple (';' simple)* [';'] NL | compound
 simple: 'pass' | 'break' | 'continue' | 'return' [star] | 'raise' [expr ['from' expr]] | 'global' ident (',' ident)* | 'nonlocal' ident (',' ident)* | 'del' star | 'assert' expr [',' expr] | imp | 'type' ident [tparams] '=' expr | exprstmt
 exprstmt: star (asgtail | ('=' yieldstar)*) | annot | yield
 annot: anntarget ':' expr ['=' yieldstar]
-anntarget: (ident | '(' ident ')') trailer*
+anntarget: (ident | '(' ident ')') trailer* | '[' [star] ']' trailer trailer*
 asgtail: ('+=' | '-=' | '*=' | '/=' | '%=' | '**=' | '//=' | '<<=' | '>>=' | '&=' | '|=' | '^=' | '@=') yieldstar
 yieldstar: star | yield
 yield: 'yield' ['from' expr | star]
@@ -303,7 +303,13 @@ impname: ident ['as' ident]
 dotted: ident ('.' ident)*
 compound: 'if' named ':' suite ('elif' named ':' suite)* ['else' ':' suite] | 'while' named ':' suite ['else' ':' suite] | ['async'] 'for' star 'in' star ':' suite ['else' ':' suite]
   | 'try' ':' suite (('except' ['*'] [star ['as' ident]] ':' suite)+ ['else' ':' suite] ['finally' ':' suite] | 'finally' ':' suite) | ['async'] 'with' withitems ':' suite | decorated | 'match' star ':' NL INDENT mcase+ DEDENT
-mcase: 'case' star ['as' ident] ['if' named] ':' suite
+mcase: 'case' pats ['if' named] ':' suite
+pats: pat (',' pat)* [',']
+pat: '*' ident | palt ('|' palt)* ['as' ident]
+palt: pvalue | dotted '(' [parg (',' parg)* [',']] ')' | '(' [pats] ')' | '[' [pats] ']' | '{' [pitem (',' pitem)* [',']] '}'
+pvalue: ['-'] NUM [('+' | '-') NUM] | STR+ | 'None' | 'True' | 'False' | dotted
+parg: [ident '='] pat
+pitem: '**' ident | pvalue ':' pat
 withitems: withitem (',' withitem)* | '(' withitem (',' withitem)* [','] ')'
 withitem: expr ['as' post]
 decorated: ('@' named NL)* (['async'] 'def' ident [tparams] '(' [dparams] ')' ['->' star] ':' suite | 'class' ident [tparams] [args] ':' suite)

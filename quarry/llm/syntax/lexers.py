@@ -17,7 +17,7 @@ WORDS = {
 }
 WORD_SETS = {k: frozenset(v.split()) for k, v in WORDS.items()}
 
-_NUM = r"(?:0[xX][0-9a-fA-F_]+|0[bB][01_]+|0[oO][0-7_]+|(?:\d[\d_]*(?:\.\d[\d_]*)?|\.\d[\d_]*)(?:[eE][+-]?\d+)?)"
+_NUM = r"(?:0[xX][0-9a-fA-F_]+|0[bB][01_]+|0[oO][0-7_]+|(?:\d[\d_]*(?:\.(?!\.)[\d_]*)?|\.\d[\d_]*)(?:[eE][+-]?\d+)?)"
 _ID = r"[^\W\d]\w*"
 _JS = re.compile(
     rf"(?P<ws>[^\S\n]+|//[^\n]*|\#![^\n]*)|(?P<nl>\n)|(?P<bc>/\*)|(?P<id>[$\w#@][$\w]*)|(?P<num>{_NUM}n?)"
@@ -237,6 +237,45 @@ def _java(s: str) -> list[Token]:
     return out
 
 
+_F_START = re.compile(r"(?:[fFtT][rR]?|[rR][fFtT])(\"\"\"|'''|\"|')")
+_PLAIN_STRING = re.compile(r"\"\"\"(?:[^\\]|\\.)*?\"\"\"|'''(?:[^\\]|\\.)*?'''|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'", re.S)
+
+
+def _format_string_end(s: str, i: int) -> int | None:
+    """Where the format string that begins at i ends, strings within its fields passed over; None if there is none or it is not closed so."""
+    m = _F_START.match(s, i)
+    if not m:
+        return None
+    quote, i, n, depth = m.group(1), m.end(), len(s), 0
+    while i < n:
+        c = s[i]
+        if not depth:
+            if s.startswith(quote, i):
+                return i + len(quote)
+            if c == "\\" or s.startswith(("{{", "}}"), i):
+                i += 2
+                continue
+            if c == "\n" and len(quote) == 1:
+                return None
+            depth += c == "{"
+        elif c in "{[(":
+            depth += 1
+        elif c in "}])":
+            depth -= 1
+        elif c in "\"'" or c in "fFtTrR":
+            end = _format_string_end(s, i) if c not in "\"'" else None
+            if end is None and c in "\"'":
+                p = _PLAIN_STRING.match(s, i)
+                end = p.end() if p else None
+                if end is None:
+                    return None
+            if end is not None:
+                i = end
+                continue
+        i += 1
+    return None
+
+
 def _python(s: str) -> list[Token]:
     out: list[Token] = []
     levels, depth, i, n, words = [0], 0, 0, len(s), WORD_SETS["py"]
@@ -267,6 +306,10 @@ def _python(s: str) -> list[Token]:
             if col != levels[-1]:
                 out.append(("ERR", j))
                 return out
+        if s[i] in "fFtTrR" and (end := _format_string_end(s, i)) is not None:
+            out.append(("STR", i))
+            i = end
+            continue
         m = match(s, i)
         if not m:
             out.append(("ERR", i))

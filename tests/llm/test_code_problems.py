@@ -41,6 +41,46 @@ def test_broken(language, text):
     assert sourcecheck.parse_status(language, text)[0] != "ok"
 
 
+def test_python_grammar_against_the_interpreter():
+    """Files of the standard library, whole and cut: the derivatives and the interpreter's own parser agree."""
+    import ast
+    import random
+    import sysconfig
+    import warnings
+    from pathlib import Path
+
+    def valid(text):
+        try:
+            with warnings.catch_warnings():
+                warnings.simplefilter("ignore")
+                ast.parse(text)
+            return True
+        except (SyntaxError, ValueError):
+            return False
+
+    root, rng, differ, n = Path(sysconfig.get_paths()["stdlib"]), random.Random(1), [], 0
+    for path in sorted([*root.glob("[a-h]*.py"), *root.glob("asyncio/*.py"), *root.glob("json/*.py")]):
+        text = path.read_text("utf-8")
+        for x in (text, text[: rng.randrange(1, len(text))] if len(text) > 1 else ""):
+            n += 1
+            if valid(x) != (sourcecheck.parse_status("py", x)[0] == "ok"):
+                differ.append((path.name, len(x)))
+    assert n > 100 and not differ
+
+
+@pytest.mark.parametrize("text, good", [("{\"a\": 1}", True), ("{\"a\": 01}", False), ("[1,]", False), ("\"\\x\"", False), ("[1e5, -0.5]", True), ("nul", False), ("", True), ("{\"a\": [}", False)])
+def test_json_grammar_against_the_library(text, good):
+    import json
+
+    def valid(t):
+        try:
+            return bool(json.loads(t)) or True
+        except ValueError:
+            return not t
+
+    assert valid(text) is good and (sourcecheck.parse_status("json", text)[0] == "ok") is good
+
+
 def test_derivatives_tell_errors_from_truncation():
     p = Parser(Grammar("s: 'a' s 'b' | 'a' 'b'", "s"))
     assert [p.run(list(x)) for x in ("aabb", "aab", "aba", "")] == [("ok", -1), ("truncated", 3), ("error", 2), ("truncated", 0)]
