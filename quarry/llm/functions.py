@@ -10,13 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.common import stage_of
-from quarry.llm.headers import docstring, header
+from quarry.llm.headers import Header, above, docstring, function_name, headers
 
 FUNCTION_TYPES = ("function", "method", "arrow_function")
 # Languages by extension and by the column's notations.
 _LANGUAGES = {"py": "py", "python": "py", "rs": "rs", "rust": "rs", "js": "js", "javascript": "js", "mjs": "js", "jsx": "js", "ts": "ts", "typescript": "ts", "tsx": "ts", "go": "go", "golang": "go", "java": "java"}
-#: A description counts as a stock phrase if this share of all functions, and no fewer than the number, carry it.
-STOCK_SHARE, STOCK_LEAST = 0.001, 3
+#: A description is a stock phrase if more functions of different names carry it than this share of all names, and this many, together.
+STOCK_SHARE, STOCK_MORE = 0.001, 2
 
 # Beginnings of comments that address tools, and reminders and stand-ins in place of a description.
 _DIRECTIVE = re.compile(
@@ -53,13 +53,21 @@ def _comment_text(block: str) -> str:
     return "\n".join(out)
 
 
-def _above(text: str, start: int, stop: int) -> str:
-    """The comments before the header and inside it on lines of their own."""
-    first = text[:start]
-    lines = [x for x in text[start:stop].split("\n") if re.match(r"\s*(//|/\*|\*|#(?!!?\[))", x)]
+def _above(text: str, found: Header) -> str:
+    """The comments before the header (of a text with anything else before it only those directly above) and inside it on lines of their own."""
+    first = text[: found.start] if found.leading else above(text, found.start)
+    lines = [x for x in text[found.start : found.stop].split("\n") if re.match(r"\s*(//|/\*|\*|#(?!!?\[))", x)]
     return first + "\n" + "\n".join(lines)
 
 
+def described(language: str, text: str, found: Header, name: str) -> str:
+    """The function's own description, from its comment or docstring; '' if there is none."""
+    docs = [_comment_text(_above(text, found))]
+    if language == "py":
+        docs.append(docstring(text, found.stop) or "")
+    return next((d for d in (description(x, found.names, name) for x in docs) if d), "")
+
+
 def _words(s: str) -> list[str]:
     return [w.lower() for w in re.findall(r"[^\W\d_]+|\d+", re.sub(r"(?<=[a-z\d])(?=[A-Z])", " ", s))]
 
@@ -117,28 +125,19 @@ def _extract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             name = re.sub(r"-part-\d+-\d+$", "", name or "")
             ext = (path or "").rsplit(".", 1)[-1].strip().lower()
             first = _LANGUAGES.get(ext) or _LANGUAGES.get((lang or "").strip().lower())
-            found = None
-            for language in ([first] if first else ("py", "rs", "go", "java", "ts")):
-                found = header(language, text)
-                if found:
+            for language in [first] if first else ("py", "rs", "go", "java", "ts"):
+                if found := headers(language, text, True):
+                    if said := described(language, text, found[0], name):
+                        rows.append((i, name, said, found[0].repairs, text))
                     break
-            if not found:
-                continue
-            start, stop, names = found
-            docs = [_comment_text(_above(text, start, stop))]
-            if language == "py":
-                docs.append(docstring(text, stop) or "")
-            said = [d for d in (description(x, names, name) for x in docs) if d]
-            if said:
-                rows.append((i, name, said[0], text))
-        yield pd.DataFrame(rows, columns=["chunk_id", "name", "description", "content"])
+        yield pd.DataFrame(rows, columns=["chunk_id", "name", "description", "repairs", "content"])
 
 
-PAIRS = "chunk_id long, name string, description string, content string"
+PAIRS = "chunk_id long, name string, description string, repairs int, content string"
 
 
 def documented_functions(chunks: DataFrame, keep_code: bool = True) -> DataFrame:
-    """chunks(id, name, chunk_type, content, file_path, language, ...) -> (chunk_id, name, description[, content]).
+    """chunks(id, name, chunk_type, content, file_path, language, ...) -> (chunk_id, name, description, repairs[, content]).
 
     One row per function, method or arrow function with a description of its own. Later pieces of cut functions
     and repeated headers give none; null ids and contents are left out; repeated rows are rows of their own, but
@@ -149,15 +148,44 @@ def documented_functions(chunks: DataFrame, keep_code: bool = True) -> DataFrame
     found = functions.mapInPandas(_extract, PAIRS)
     if not keep_code:
         found = found.drop("content")
-    found = stage_of(chunks, "functions").write(
+    return _without_stock(found, functions.select("name"))
+
+
+def _without_stock(found: DataFrame, names: DataFrame) -> DataFrame:
+    """The pairs whose description is no stock phrase; names: those of all functions."""
+    found = stage_of(found, "functions").write(
         found.withColumn("key", F.xxhash64(F.lower(F.regexp_replace("description", r"[\W\d_]+", " ")))), "described"
     )
-    named = functions.select(F.countDistinct("name")).first()[0]
-    counts = found.select("key", "name").distinct().groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= STOCK_LEAST)
-    stock = counts.where(F.col("n") > STOCK_SHARE * named).select("key")
+    named = names.select(F.countDistinct("name")).first()[0]
+    counts = found.select("key", "name").distinct().groupBy("key").agg(F.count("*").alias("n"))
+    stock = counts.where(F.col("n") > STOCK_MORE + STOCK_SHARE * named).select("key")
     return found.join(stock, "key", "left_anti").drop("key")
 
 
 def documented_ids(chunks: DataFrame) -> DataFrame:
     """The ids of documented_functions: (chunk_id)."""
     return documented_functions(chunks, keep_code=False).select("chunk_id")
+
+
+def _extract_files(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for f in frames:
+        rows = []
+        for path, text in zip(f.relative_path, f.content):
+            language = _LANGUAGES.get(path.rsplit(".", 1)[-1].lower())
+            if not language or not text:
+                continue
+            for found in headers(language, text):
+                name = function_name(language, text, found)
+                rows.append((path, name, text.count("\n", 0, found.start) + 1, described(language, text, found, name), found.repairs))
+        yield pd.DataFrame(rows, columns=["relative_path", "name", "line", "description", "repairs"])
+
+
+def documented_in_files(source_files: DataFrame) -> DataFrame:
+    """source_files(relative_path, content, ...) -> (relative_path, name, line, description, repairs): the functions of whole files with descriptions of their own.
+
+    Files that do not parse give the functions whose headers are whole or can be mended; line is the header's
+    first. Null paths and contents and other languages give none; repeated rows are rows of their own.
+    """
+    files = source_files.where("relative_path is not null and content is not null").select("relative_path", "content")
+    every = stage_of(source_files, "files").write(files.mapInPandas(_extract_files, "relative_path string, name string, line int, description string, repairs int"), "functions")
+    return _without_stock(every.where("description <> ''"), every.select("name"))

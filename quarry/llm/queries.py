@@ -49,6 +49,10 @@ def p4_pairs(spark: SparkSession, base: str) -> DataFrame:
     return functions.documented_functions(read_table(spark, base, "chunks"))
 
 
+def p4_file_pairs(spark: SparkSession, base: str) -> DataFrame:
+    return functions.documented_in_files(read_table(spark, base, "source_files"))
+
+
 def p5_found(spark: SparkSession, base: str) -> DataFrame:
     return handwritten.not_handwritten(read_table(spark, base, "source_files"))
 

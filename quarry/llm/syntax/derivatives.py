@@ -193,31 +193,6 @@ class Parser:
                 return False
         return True
 
-    def _after(self, state: int, tok: str) -> int:
-        after = self.derived.get((state, tok))
-        if after is None:
-            cells = self.sets[state]
-            after = self._set(frozenset().union(*(self._step(c, tok) for c in cells)) if cells else frozenset())
-            self.derived[(state, tok)] = after
-        return after
-
-    def prefix(self, tokens: list[str], repairs: int) -> int | None:
-        """Index of the token that first completes the start symbol, leaving out up to `repairs` tokens that fit nowhere."""
-        if len(self.derived) + len(self.steps) > MAX_CACHED:
-            self._reset()
-        state = self.begin
-        for i, tok in enumerate(tokens):
-            after = self._after(state, tok)
-            if not self.sets[after]:
-                repairs -= 1
-                if repairs < 0:
-                    return None
-                continue
-            state = after
-            if 0 in self.sets[state]:
-                return i
-        return None
-
     def run(self, tokens: list[str]) -> tuple[str, int]:
         """('ok', -1), ('error', index of the failing token) or ('truncated', number of tokens)."""
         if len(self.derived) + len(self.steps) > MAX_CACHED:

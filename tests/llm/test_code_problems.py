@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 
 from quarry.llm import credentials, functions, handwritten, neighbours, sourcecheck
-from quarry.llm.headers import header
+from quarry.llm.headers import function_name, header, headers
+from quarry.llm.syntax.gll import Recogniser
 from quarry.llm.syntax.derivatives import Grammar, Parser
 
 GOOD = {
@@ -106,6 +107,28 @@ def test_headers(language, text, names):
     assert set(header(language, text)[2]) == names
 
 
+@pytest.mark.parametrize("language, text, names", [
+    ("py", "def f(a, b:\n    return 1\n", ["f"]), ("py", "x = (1,\n\ndef g(a):\n    pass\n", ["g"]), ("py", "<<<<<<< HEAD\n@d\ndef h(a):\n    pass\n=======\n", ["h"]), ("rs", "fn a( { }\nfn b(x: u32) -> u32 { x }\n", ["a", "b"]), ("rs", "fn b(x: u32 -> u32 {\n", ["b"]),
+    ("js", "function f(a, b {\n  return a\n}\n", ["f"]), ("py", "t = 'half\ndef z(q):\n    pass\n", ["z"]), ("go", "package a\n\nvar x = [\n\nfunc (s *S) F(a int) int {\n", ["F"]), ("ts", "class K {\n  m(a: T[]): number {\n    if (a) {\n      f(a);\n    }\n", ["m"]), ("java", "class K {\n    int f(int a) {\n        g(a);\n        while (a) {\n", ["f"]), ("py", "", []),
+])
+def test_functions_of_broken_texts(language, text, names):
+    assert [function_name(language, text, h) for h in headers(language, text)] == names
+
+
+def test_generalised_ll_follows_ambiguous_and_left_recursive_rules():
+    g = Grammar("s: e ';'\ne: e '+' e | 'x' | 'x' 'x'", "s")
+    p = Recogniser(g, 1, frozenset(";"))
+    assert p.prefix(list("x+xx+x;")) == (6, 0) and p.prefix(list("x+x")) == (0, 1) and Recogniser(g, 1, frozenset()).prefix(list("x+)x;")) == (4, 1) and Recogniser(g, 1, frozenset()).prefix(list("x+))x;")) is None
+    assert p.prefix(list("..x;"), 2) == (3, 0) and p.prefix(list("x+xx+x;;")) == (6, 0)
+
+
+def test_file_pairs(spark):
+    text = "import a\n\n<<<<<<< HEAD\n# Only the newest entry of an owner wins.\ndef merge(rows, limit:\n    return rows\n\n\ndef f(x):\n    # Not a description.\n    return x\n"
+    df = spark.createDataFrame([("p/a.py", text, "c"), ("p/b.py", None, "c"), (None, text, "c"), ("p/c.md", text, "c")], "relative_path string, content string, name string")
+    assert [tuple(r) for r in functions.documented_in_files(df).collect()] == [("p/a.py", "merge", 5, "Only the newest entry of an owner wins.", 1)]
+    assert functions.documented_in_files(df.limit(0)).count() == 0
+
+
 def test_documented_functions(spark):
     def py(name, doc):
         return f'def {name}(rows, limit=3):\n    """{doc}"""\n    return rows\n'
