@@ -1,179 +1,298 @@
 """Problem 10: subject areas of documents by interpolated n-gram language models.
 
-Per subject a model of words and word pairs, interpolated with a background model of the whole corpus. The first
-models come from the labelled documents; they mark sentences in all documents, and the final models are counted
-over all of those. A sentence belongs to the subject whose per-token cross-entropy falls furthest below the
-background's, if it falls far enough and clearly further than the next subject's; a document is about the subjects
-that hold enough of the words of its subject sentences, an acceptance calibrated on the labels.
+Per subject and language a model of words and word pairs, interpolated with a background model of the corpus in that
+language. The first models come from labelled documents; they mark sentences in all documents, and the final models
+are counted over all of those. A sentence belongs to the subject whose per-token cross-entropy, summed over the
+sentence, falls furthest below the background's, if it falls far enough and clearly further than the next subject's;
+a document is about the subjects that hold enough of the words of its subject sentences, each subject's acceptance
+calibrated on labels kept out of training.
+
+Texts are cut into words once; later passes read arrays of hashed words and work on whole batches in numpy. Counts
+live in a table of BUCKETS rows, the same at every size of the corpus: every n-gram is counted, in two rows, and read
+from the emptier one, so a crowded table blurs rare n-grams and drops none. Sentences that many distinct texts share
+word for word are counted in such a table too, and are about nothing.
 """
 
 from __future__ import annotations
 
-import math
 import re
-from collections import Counter
+import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.common import stage_of
-from quarry.llm.pairs import language
-
-#: Labelled documents used to begin with, and n-grams a model keeps (the most frequent; the rest is background).
-MAX_LABELLED, MAX_GRAMS = 20_000, 200_000
-#: Weights of pair, word and background estimates.
-PAIR, WORD, BACK = 0.3, 0.5, 0.2
+from quarry.common import Stage, stage_of
+from quarry.llm.pairs import FUNCTION_WORDS
+
+#: Labelled documents used (the first in the order of a hash of their ids), and of ten parts those kept for calibration.
+MAX_LABELLED, HELD_OUT = 20_000, 2
+#: Rows of the table of counts; subjects at most (both bound what is broadcast); words worked on at once.
+BUCKETS, MAX_SUBJECTS, SLICE = 1 << 20, 64, 400_000
+#: Weights of pair, word and background estimates; words of background each model of a language begins with.
+PAIR, WORD, BACK, PRIOR = 0.3, 0.5, 0.2, 200.0
+#: Pairs seen less often in the background are not told apart from chance.
+LEAST_PAIRS = 3
 #: A sentence needs this fall of cross-entropy: in all, the part by which it leads the second subject, and at its most
 #: telling word. In all and at a word in units of the logarithm of the number of subjects, the most one word can give.
 LEAST_FALL, LEAST_LEAD, LEAST_WORD = 0.48, 0.4, 0.4
-#: The share that makes a subject, and how far calibration may move it.
-SHARE, SHARES = 0.25, (0.2, 0.225, 0.25, 0.275)
-_FLUSH = 400_000
-#: Words of background each subject's model of a language begins with; text read to tell the language.
-PRIOR, LANGUAGE_CHARS = 200.0, 4000
-#: A sentence in this share of all documents, and in no fewer than the number, is a stock sentence.
-COMMON, COMMON_LEAST = 0.01, 20
+#: The share that makes a subject; what calibration may make of it, and held-out documents it must mend to do so.
+SHARE, SHARES, MENDED = 0.25, (0.2, 0.225, 0.25, 0.275), 3
+
+#: A sentence is stock if more distinct texts hold it than this share of the documents and this many, together; a text
+#: with a larger share of copies than HOT counts as one, so that at most 1 / HOT hashes go to the tasks.
+COMMON, COMMON_MORE, HOT = 0.01, 10, 0.001
 
-_SENTENCE = re.compile(r"(?<=[.!?])\s+")
-_WORDS = re.compile(r"[^\W\d_]+")
+_TOKENS = re.compile(r"[^\W\d_]+|[.!?](?=\s)|\n")
+_TONGUES = sorted(FUNCTION_WORDS)
+_FUNCTION = {k: frozenset(FUNCTION_WORDS[k].split()) for k in _TONGUES}
+_TOKENISED = "doc_id long, text_hash long, tongue int, words binary, ends binary"
 
 
-def sentences(text: str) -> list[list[str]]:
-    """The words of each sentence, list item and heading; code blocks are left out."""
+def _prose(text: str) -> str:
+    """The text without fenced code."""
+    if "```" not in text and "~~~" not in text:
+        return text
     out, fenced = [], False
     for line in text.split("\n"):
         if line.lstrip().startswith(("```", "~~~")):
             fenced = not fenced
-            continue
-        if fenced or not line.strip():
-            continue
-        for s in _SENTENCE.split(line):
-            w = _WORDS.findall(s.lower())
-            if w:
-                out.append(w)
-    return out
+        elif not fenced:
+            out.append(line)
+    return "\n".join(out)
+
+
+@lru_cache(maxsize=500_000)
+def _word(w: str) -> tuple[int, int]:
+    """A word's 32-bit hash (never 0), and the languages it is a function word of, as bits."""
+    if w in ".!?\n":
+        return 0, 0
+    return zlib.crc32(w.encode()) or 1, sum(1 << k for k, t in enumerate(_TONGUES) if w in _FUNCTION[t])
+
+
+def tokenise(text: str) -> tuple[int, np.ndarray, np.ndarray]:
+    """(language, hashed words, where sentences end) of a text; sentences, list items and headings end at line ends and stops."""
+    found = [_word(w) for w in _TOKENS.findall(_prose(text).lower())]
+    if not found:
+        return 0, np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int32)
+    pairs = np.array(found, dtype=np.uint32)
+    real = pairs[:, 0] != 0
+    ends = np.unique(np.cumsum(real)[~real])
+    words = pairs[real, 0]
+    ends = np.append(ends, len(words))
+    ends = np.unique(ends[ends > 0]).astype(np.int32)
+    counts = [int((pairs[:, 1] >> k & 1).sum()) for k in range(len(_TONGUES))]
+    order = sorted(range(len(counts)), key=lambda k: -counts[k])
+    sure = counts[order[0]] >= 2 and counts[order[0]] > 1.3 * counts[order[1]]
+    return (order[0] + 1 if sure else 0), words, ends
+
+
+def tokenised(texts: DataFrame) -> DataFrame:
+    """(doc_id, tongue, words, ends): documents as hashed words, once for all passes."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [tokenise(t) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1].tobytes() for r in rows], pa.binary()), pa.array([r[2].tobytes() for r in rows], pa.binary())],
+                names=["doc_id", "text_hash", "tongue", "words", "ends"],
+            )
+
+    return texts.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(cut, _TOKENISED)
+
+
+class Slice:
+    """Some documents as flat arrays: words and n-grams, the sentence of each word, the document of each sentence."""
+
+    def __init__(self, docs: pd.DataFrame):
+        self.docs = docs
+        words = np.frombuffer(b"".join(docs.words), dtype=np.uint32).astype(np.uint64)
+        lengths = np.array([len(w) // 4 for w in docs.words], dtype=np.int64)
+        starts = np.cumsum(lengths) - lengths
+        ends = [np.frombuffer(e, dtype=np.int32) for e in docs.ends]
+        self.doc = np.repeat(np.arange(len(docs)), [len(e) for e in ends])  # of a sentence
+        last = (np.concatenate(ends) if ends else np.zeros(0, dtype=np.int32)) + starts[self.doc]
+        self.first = np.concatenate(([0], last[:-1])).astype(np.int64) if len(last) else np.zeros(0, dtype=np.int64)
+        self.length = last - self.first
+        self.sentence = np.repeat(np.arange(len(last)), self.length)
+        self.tongue = docs.tongue.to_numpy()[self.doc]  # of a sentence
+        self.word = _mix(words ^ (self.tongue[self.sentence].astype(np.uint64) << np.uint64(40)))
+        before = np.roll(self.word, 1)
+        self.pair = _mix(self.word + before * np.uint64(0x9E3779B97F4A7C15))
+        self.opens = np.zeros(len(words), dtype=bool)  # the first word of a sentence has no pair
+        self.opens[self.first] = True
+        place = np.arange(len(words)) - self.first[self.sentence]
+        spread = _mix(self.word + place.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        self.said = np.add.reduceat(spread, self.first) if len(self.first) else np.zeros(0, dtype=np.uint64)  # a hash of each sentence
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[Slice]:
+    for b in batches:
+        f = b.to_pandas()
+        at = np.cumsum(f.words.map(len).to_numpy() // 4) // SLICE if len(f) else np.zeros(0)
+        for k in np.unique(at):
+            yield Slice(f[at == k].reset_index(drop=True))
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    """Well spread 64-bit hashes."""
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(33))
+
+
+def _rows(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two rows of n-grams in the table of counts."""
+    return (h & np.uint64(BUCKETS - 1)).astype(np.int64), ((h >> np.uint64(40)) & np.uint64(BUCKETS - 1)).astype(np.int64)
+
+
+class Stock:
+    """How many distinct texts hold a sentence, and from how many on it is about nothing."""
+
+    def __init__(self, held: np.ndarray, least: float):
+        self.held, self.least = held, least
+
+    def among(self, said: np.ndarray) -> np.ndarray:
+        a, b = _rows(said)
+        return np.minimum(self.held[a], self.held[b]) > self.least
+
+
+def stock_sentences(docs: DataFrame, stage: Stage) -> Stock:
+    """Counts sentences over the distinct texts of tokenised documents."""
+    copies = stage.write(docs.groupBy("text_hash").agg(F.count("*").alias("n")), "copies")
+    documents = copies.agg(F.sum("n")).first()[0] or 0
+    # fewer than 1 / HOT texts can have so many copies
+    hot = {r.text_hash: r.n for r in copies.where((F.col("n") > 1) & (F.col("n") >= HOT * documents)).collect()}
+    texts = copies.count() if not hot else documents - sum(hot.values()) + len(hot)
+    stage.drop(copies)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(BUCKETS)
+        for s in slices(batches):
+            # once for each document
+            _, at = np.unique(s.said ^ _mix(s.doc.astype(np.uint64)), return_index=True)
+            weight = np.array([1.0 / hot.get(h, 1) for h in s.docs.text_hash])[s.doc[at]]
+            for rows in _rows(s.said[at]):
+                held += np.bincount(rows, weight, BUCKETS)
+        rows = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(held[rows])], names=["row", "n"])
+
+    summed = docs.mapInArrow(count, "row long, n double").groupBy("row").agg(F.sum("n").alias("n"))
+    # rows under the limit decide nothing: a sentence needs both of its rows above it
+    least = COMMON_MORE + COMMON * texts
+    held = np.zeros(BUCKETS, dtype=np.float32)
+    for f in _batches(summed.where(F.col("n") > least)):
+        held[f.column("row").to_numpy()] = f.column("n").to_numpy()
+    return Stock(held, least)
+
+
+class Counts:
+    """Counts of n-grams by subject (the last column: background), and of words by language, in tables of fixed size."""
+
+    def __init__(self, subjects: int):
+        self.table = np.zeros((BUCKETS, subjects + 1), dtype=np.float32)
+        self.words = np.zeros((len(_TONGUES) + 1, subjects + 1))
+
+    def add(self, s: Slice, weights: np.ndarray) -> None:
+        """Adds a slice; weights: of every sentence for every subject and the background."""
+        grams, which = np.unique(np.concatenate([s.word, s.pair[~s.opens]]), return_inverse=True)
+        sentence = np.concatenate([s.sentence, s.sentence[~s.opens]])
+        sums = np.zeros((len(grams), weights.shape[1]), dtype=np.float32)
+        for k in range(weights.shape[1]):
+            w = weights[:, k]
+            if w.any():
+                mine = w[sentence]
+                at = np.flatnonzero(mine)
+                sums[:, k] = np.bincount(which[at], mine[at], len(grams))
+            self.words[:, k] += np.bincount(s.tongue, w * s.length, len(self.words))
+        for rows in _rows(grams):
+            np.add.at(self.table, rows, sums)
+
+    def parts(self) -> Iterator[pd.DataFrame]:
+        """Its rows that hold anything, those of languages as negative numbers."""
+        at = np.flatnonzero(self.table.any(axis=1))
+        names = [f"n{k}" for k in range(self.table.shape[1])]
+        yield pd.DataFrame({"row": -1 - np.arange(len(self.words)), **dict(zip(names, self.words.T))})
+        for k in range(0, len(at), 100_000):
+            rows = at[k : k + 100_000]
+            yield pd.DataFrame({"row": rows, **dict(zip(names, self.table[rows].astype(float).T))})
+
+
+def _summed(parts: DataFrame, subjects: list[int], stock: Stock, stage: Stage) -> Model:
+    """The model of the tasks' counts: at most BUCKETS rows and some of languages come to the driver."""
+    names = [f"n{k}" for k in range(len(subjects) + 1)]
+    rows = stage.write(parts.groupBy("row").agg(*(F.sum(n).cast("float").alias(n) for n in names)), "counts")
+    counts = Counts(len(subjects))
+    for f in _batches(rows):
+        at, values = f.column("row").to_numpy(), np.column_stack([f.column(n).to_numpy() for n in names])
+        counts.table[at[at >= 0]] = values[at >= 0]
+        counts.words[-1 - at[at < 0]] = values[at < 0]
+    stage.drop(rows)
+    return Model(subjects, counts, stock)
+
+
+def _batches(rows: DataFrame) -> Iterator[pa.RecordBatch]:
+    yield from rows.toArrow().to_batches(max_chunksize=100_000)
 
 
 class Model:
     """Log-ratios of each subject's interpolated model to the background's."""
 
-    def __init__(self, subjects: list[int], grams: pd.DataFrame, common: frozenset[str] = frozenset()):
-        """grams: gram, subject (-1 background), n; common: sentences that are about nothing."""
-        self.subjects, self.common = subjects, common
-        column = {s: k for k, s in enumerate(subjects)}
-        table = grams[grams.subject.isin(column)].copy()
-        back = grams[grams.subject == -1].set_index("gram").n.to_dict()
-        vectors: dict[str, np.ndarray] = {}
-        for g, s, n in zip(table.gram, table.subject, table.n):
-            v = vectors.get(g)
-            if v is None:
-                v = vectors[g] = np.zeros(len(subjects))
-            v[column[s]] += n
-        words = [g for g in vectors if " " not in g]
-        total: dict[str, np.ndarray] = {}
-        all_words: dict[str, float] = {}
-        for g in words:
-            total[g[:3]] = total.get(g[:3], 0.0) + vectors[g]
-        for g, n in back.items():
-            if " " not in g:
-                all_words[g[:3]] = all_words.get(g[:3], 0.0) + n
-        self.ratio: dict[str, list[float]] = {}
-        p1, b1 = {}, {}
-        for g in words:
-            b1[g] = (back.get(g, 0.0) + 0.5) / (all_words.get(g[:3], 0.0) + 1)
-            p1[g] = (vectors[g] + PRIOR * b1[g]) / (total[g[:3]] + PRIOR)
-            r = np.log(((PAIR + WORD) * p1[g] + BACK * b1[g]) / b1[g])
-            self.ratio[g] = r.tolist()
-        for g, v in vectors.items():
-            if " " in g:
-                a, w = g.split(" ")
-                w = g[:3] + w
-                if a in vectors and w in p1:
-                    ps = np.where(vectors[a] > 0, v / np.maximum(vectors[a], 1.0), p1[w])
-                    pb = back.get(g, 0.0) / max(1.0, back.get(a, 0.0))
-                    down = PAIR * pb + (WORD + BACK) * b1[w]
-                    self.ratio[g] = np.log((PAIR * ps + WORD * p1[w] + BACK * b1[w]) / down).tolist()
-
-    def subject(self, words: list[str], tongue: str) -> int | None:
-        """The subject of a sentence in a text of that language, or None."""
-        if " ".join(words) in self.common:
-            return None
+    def __init__(self, subjects: list[int], counts: Counts, stock: Stock):
+        self.subjects, self.counts, self.stock = subjects, counts, stock
+
+    def _of(self, h: np.ndarray) -> np.ndarray:
+        """The counts of n-grams: of their two rows the one with less background."""
+        a, b = _rows(h)
+        t = self.counts.table
+        return t[np.where(t[a, -1] <= t[b, -1], a, b)]
+
+    def ratios(self, s: Slice) -> np.ndarray:
+        """The fall of cross-entropy at every word, by subject; none where no subject knows the word."""
         n = len(self.subjects)
-        sums, most = [0.0] * n, [0.0] * n
-        ratio, before = self.ratio, ""
-        for w in words:
-            r = ratio.get(f"{tongue}{before} {w}") or ratio.get(tongue + w)
-            if r:
-                for k in range(n):
-                    sums[k] += r[k]
-                    if r[k] > most[k]:
-                        most[k] = r[k]
-            before = w
-        order = sorted(range(n), key=lambda k: -sums[k])
-        unit = math.log(n) if n > 1 else 0.0
-        if not order or sums[order[0]] < LEAST_FALL * unit or most[order[0]] < LEAST_WORD * unit or (n > 1 and sums[order[1]] > (1 - LEAST_LEAD) * sums[order[0]]):
-            return None
-        return self.subjects[order[0]]
-
-    def shares(self, text: str) -> dict[int, float]:
-        """Each subject's share of the words in sentences about any subject."""
-        held: dict[int, int] = {}
-        tongue = _tongue(text)
-        for w in sentences(text):
-            s = self.subject(w, tongue)
-            if s is not None:
-                held[s] = held.get(s, 0) + len(w)
-        total = sum(held.values())
-        return {s: n / total for s, n in held.items()}
-
-
-def _counted(counts: dict, ) -> pd.DataFrame:
-    return pd.DataFrame([(g, s, float(n)) for (g, s), n in counts.items()], columns=["gram", "subject", "n"])
-
-
-def _tongue(text: str) -> str:
-    """The text's language as a prefix of its n-grams: models of one language are compared with its own background."""
-    return (language(text[:LANGUAGE_CHARS]) or "xx") + ":"
-
-
-def _grams(words: list[str], tongue: str) -> Iterator[str]:
-    before = ""
-    for w in words:
-        yield tongue + w
-        if before:
-            yield f"{tongue}{before} {w}"
-        before = w
-
-
-def common_sentences(texts: DataFrame) -> frozenset[str]:
-    """Sentences that stand word for word in COMMON of the documents or more; so at most the sentences of an average document divided by COMMON."""
-
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts: Counter = Counter()
-        for f in frames:
-            for text in f.text:
-                counts.update({" ".join(w) for w in sentences(text)})
-                counts[""] += 1
-            if len(counts) > _FLUSH:
-                yield pd.DataFrame(counts.items(), columns=["s", "n"])
-                counts = Counter()
-        yield pd.DataFrame(counts.items(), columns=["s", "n"])
-
-    summed = texts.select("text").mapInPandas(count, "s string, n long").groupBy("s").agg(F.sum("n").alias("n"))
-    summed = stage_of(texts, "sentences").write(summed.where("n > 2"))
-    every = summed.where("s = ''").first()
-    return frozenset(r.s for r in summed.where(F.col("n") >= max(COMMON * every.n, COMMON_LEAST)).where("s <> ''").collect()) if every else frozenset()
-
-
-def _sum_grams(parts: DataFrame, subjects: list[int], common: frozenset[str]) -> Model:
-    """Sums the tasks' counts and keeps the MAX_GRAMS most frequent n-grams (of pairs those seen more than twice)."""
-    summed = parts.groupBy("gram", "subject").agg(F.sum("n").alias("n"))
-    best = summed.where("subject = -1").where((F.col("n") > 2) | ~F.col("gram").contains(" ")).orderBy(F.desc("n"), "gram").limit(MAX_GRAMS)
-    kept = summed.join(best.select("gram"), "gram", "left_semi")
-    return Model(subjects, kept.toPandas(), common)
+        key = np.where(s.opens, s.word, s.pair)
+        _, at, back = np.unique(key, return_index=True, return_inverse=True)
+        word, tongue, opens = s.word[at], s.tongue[s.sentence[at]], s.opens[at]
+        mine, before, pair = self._of(word), self._of(s.word[at - 1]), self._of(s.pair[at])
+        total = self.counts.words[tongue]
+        b1 = ((mine[:, -1] + 0.5) / (total[:, -1] + 1))[:, None]
+        p1 = (mine[:, :n] + PRIOR * b1) / (total[:, :n] + PRIOR)
+        alone = np.log(((PAIR + WORD) * p1 + BACK * b1) / b1)
+        alone[mine[:, :n].sum(axis=1) == 0] = 0.0
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ps = np.where(before[:, :n] > 0, np.minimum(pair[:, :n] / before[:, :n], 1.0), p1)
+            pb = np.minimum(pair[:, -1:] / np.maximum(before[:, -1:], 1.0), 1.0)
+            both = np.log((PAIR * ps + WORD * p1 + BACK * b1) / (PAIR * pb + (WORD + BACK) * b1))
+        told = ~opens & (pair[:, -1] >= LEAST_PAIRS) & (pair[:, :n].sum(axis=1) > 0) & (mine[:, :n].sum(axis=1) > 0) & (before[:, :n].sum(axis=1) > 0)
+        return np.where(told[:, None], both, alone).astype(np.float32)[back]
+
+    def marked(self, s: Slice) -> np.ndarray:
+        """The index of every sentence's subject, or -1."""
+        n = len(self.subjects)
+        if not n or not len(s.first):
+            return np.full(len(s.first), -1)
+        r = self.ratios(s)
+        sums, most = np.add.reduceat(r, s.first), np.maximum.reduceat(r, s.first)
+        top = sums.argmax(axis=1)
+        rows = np.arange(len(top))
+        best = sums[rows, top]
+        unit = np.log(n) if n > 1 else 0.0
+        good = ~self.stock.among(s.said) & (best >= LEAST_FALL * unit) & (most[rows, top] >= LEAST_WORD * unit) & (best > 0)
+        if n > 1:
+            good &= np.partition(sums, n - 2, axis=1)[:, n - 2] <= (1 - LEAST_LEAD) * best
+        return np.where(good, top, -1)
+
+    def shares(self, s: Slice, marked: np.ndarray) -> np.ndarray:
+        """Of every document each subject's share of the words in sentences about any subject."""
+        n = len(self.subjects)
+        held = np.zeros((len(s.docs), n))
+        about = marked >= 0
+        np.add.at(held, (s.doc[about], marked[about]), s.length[about])
+        return held / np.maximum(held.sum(axis=1, keepdims=True), 1)
 
 
 def _label_sets(labels: DataFrame) -> DataFrame:
@@ -181,105 +300,104 @@ def _label_sets(labels: DataFrame) -> DataFrame:
     return labels.where("doc_id is not null and subject_id is not null").groupBy("doc_id").agg(F.array_sort(F.collect_set("subject_id")).alias("subjects"))
 
 
-def train(documents: DataFrame, labels: DataFrame, subjects: DataFrame) -> tuple[Model, float, DataFrame]:
-    """The models, the calibrated share, and the (bounded) labelled documents.
+def _counted(docs: DataFrame, subjects: list[int], weigh) -> DataFrame:
+    """Counts of all documents' n-grams; weigh(slice) gives each sentence's weights. One table a task, summed before the shuffle."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = Counts(len(subjects))
+        for s in slices(batches):
+            if len(s.first):
+                counts.add(s, weigh(s))
+        for f in counts.parts():
+            yield pa.RecordBatch.from_pandas(f, preserve_index=False)
 
-    The labelled sample is MAX_LABELLED documents in the order of a hash of their ids. All counts of the final
-    models and of the background run over all documents.
+    return docs.mapInArrow(count, "row long, " + ", ".join(f"n{k} double" for k in range(len(subjects) + 1)))
+
+
+def train(docs: DataFrame, labels: DataFrame, subjects: DataFrame, stage: Stage) -> tuple[Model, dict[int, float]]:
+    """The final models and the calibrated shares, from tokenised documents.
+
+    The labelled sample is MAX_LABELLED documents in the order of a hash of their ids, HELD_OUT tenths of it (by
+    another hash) kept for calibration. All counts of the final models and of the background run over all documents.
     """
-    ids = sorted(r.subject_id for r in subjects.where("subject_id is not null").select("subject_id").distinct().collect())
-    texts = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
+    ids = sorted(r.subject_id for r in subjects.where("subject_id is not null").select("subject_id").distinct().limit(MAX_SUBJECTS + 1).collect())
+    if len(ids) > MAX_SUBJECTS:
+        raise ValueError(f"more than {MAX_SUBJECTS} subjects")
+    column = {s: k for k, s in enumerate(ids)}
+    stock = stock_sentences(docs, stage)
     sample = _label_sets(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
-    labelled = texts.join(F.broadcast(sample), "doc_id")  # MAX_LABELLED rows at most
-
-    def first(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts: Counter = Counter()
-        for f in frames:
-            for text, subs in zip(f.text, f.subjects):
-                tongue = _tongue(text)
-                for w in sentences(text):
-                    for g in _grams(w, tongue):
-                        counts[(g, -1)] += 1
-                        for s in subs:
-                            counts[(g, int(s))] += 1 / len(subs)
-            if len(counts) > _FLUSH:
-                yield _counted(counts)
-                counts = Counter()
-        yield _counted(counts)
-
-    common = common_sentences(texts)
-    schema = "gram string, subject int, n double"
-    begin = texts.sparkSession.sparkContext.broadcast(_sum_grams(labelled.mapInPandas(first, schema), ids, common))
-
-    def again(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    labelled = stage.write(docs.join(F.broadcast(sample), "doc_id"), "labelled")  # MAX_LABELLED rows at most
+    part = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(10))
+
+    def of_labels(s: Slice) -> np.ndarray:
+        w = np.zeros((len(s.docs), len(ids) + 1))
+        w[:, -1] = 1.0
+        for k, subs in enumerate(s.docs.subjects):
+            known = [column[x] for x in subs if x in column]
+            w[k, known] = 1.0 / max(1, len(known))
+        return w[s.doc]
+
+    begin = docs.sparkSession.sparkContext.broadcast(_summed(_counted(labelled.where(part >= HELD_OUT), ids, of_labels), ids, stock, stage))
+
+    def of_marks(s: Slice) -> np.ndarray:
         model = begin.value
-        counts: Counter = Counter()
-        for f in frames:
-            for text in f.text:
-                tongue = _tongue(text)
-                marked = [(w, model.subject(w, tongue)) for w in sentences(text)]
-                held: Counter = Counter()
-                for w, s in marked:
-                    if s is not None:
-                        held[s] += len(w)
-                total = sum(held.values())
-                main = {s: n / total for s, n in held.items() if n >= SHARE * total}
-                for w, s in marked:
-                    # any other sentence counts for all subjects of the document, so that no model claims common ones
-                    about = {s: 1.0} if s in main else main
-                    for g in _grams(w, tongue):
-                        counts[(g, -1)] += 1
-                        for k, v in about.items():
-                            counts[(g, k)] += v
-            if len(counts) > _FLUSH:
-                yield _counted(counts)
-                counts = Counter()
-        yield _counted(counts)
-
-    model = _sum_grams(texts.mapInPandas(again, schema), ids, common)
-    return model, calibrate(model, labelled), labelled
-
-
-def calibrate(model: Model, labelled: DataFrame) -> float:
-    """Of SHARES the acceptance with the best F1 on the labelled documents; SHARE wins ties."""
-    shared = labelled.sparkSession.sparkContext.broadcast(model)
-
-    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        marked = model.marked(s)
+        shares = model.shares(s, marked)
+        main = np.where(shares >= SHARE, shares, 0.0)
+        # a sentence of no main subject counts for all of its document, so that no model claims common ones
+        w = np.concatenate([main[s.doc], np.ones((len(s.doc), 1))], axis=1)
+        own = (marked >= 0) & (main[s.doc, marked] > 0)
+        w[own, :-1] = 0.0
+        w[own, marked[own]] = 1.0
+        return w
+
+    model = _summed(_counted(docs, ids, of_marks), ids, stock, stage)
+    begin.unpersist()
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return model, calibrate(shared, labelled.where(part < HELD_OUT), ids)
+
+
+def calibrate(shared, held_out: DataFrame, ids: list[int]) -> dict[int, float]:
+    """Each subject's share among SHARES: the one that errs least on the held-out labels, SHARE unless it errs on MENDED more."""
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        rows = {x: [0, 0, 0] for x in SHARES}
-        for f in frames:
-            for text, subs in zip(f.text, f.subjects):
-                held = m.shares(text)
-                for x in SHARES:
-                    got, want = {s for s, v in held.items() if v >= x}, {int(s) for s in subs}
-                    rows[x][0] += len(got & want)
-                    rows[x][1] += len(got)
-                    rows[x][2] += len(want)
-        yield pd.DataFrame([(x, *v) for x, v in rows.items()], columns=["share", "hit", "got", "want"])
-
-    found = labelled.mapInPandas(score, "share double, hit long, got long, want long").groupBy("share").sum("hit", "got", "want").collect()
-    f1 = {r[0]: 2 * r[1] / max(1, r[2] + r[3]) for r in found}
-    best = max(f1.values(), default=0.0)
-    return SHARE if f1.get(SHARE, 0.0) >= best - 0.002 else max(f1, key=lambda x: (f1[x], -abs(x - SHARE)))
+        wrong = np.zeros((len(SHARES), len(ids)), dtype=np.int64)
+        for s in slices(batches):
+            shares = m.shares(s, m.marked(s))
+            want = np.array([[x in set(subs) for x in ids] for subs in s.docs.subjects]).reshape(len(s.docs), len(ids))
+            for k, x in enumerate(SHARES):
+                wrong[k] += ((shares >= x) != want).sum(axis=0)
+        rows = [(x, i, int(wrong[k, j])) for k, x in enumerate(SHARES) for j, i in enumerate(ids)]
+        yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["share", "subject", "wrong"]).astype({"share": "float64", "subject": "int32", "wrong": "int64"}), preserve_index=False)
+
+    found = held_out.mapInArrow(score, "share double, subject int, wrong long").groupBy("share", "subject").agg(F.sum("wrong").alias("n")).collect()
+    wrong = {(r.share, r.subject): r.n for r in found}
+    best = {i: min(SHARES, key=lambda x: (wrong.get((x, i), 0), abs(x - SHARE))) for i in ids}
+    return {i: x if wrong.get((SHARE, i), 0) - wrong.get((x, i), 0) >= MENDED else SHARE for i, x in best.items()}
 
 
 def document_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFrame) -> DataFrame:
     """documents(doc_id, text), subject_labels(doc_id, subject_id), subjects(subject_id) -> (doc_id, subject_id, share).
 
     One row per subject a document is about; none for general, null or empty texts and null ids. Repeated
-    documents are judged each for itself; repeated labels count once. Without labels or subjects no rows.
+    documents are judged each for itself; repeated labels count once. Without labels or subjects no rows; more
+    than MAX_SUBJECTS subjects are an error.
     """
-    model, least, _ = train(documents, labels, subjects)
+    stage = stage_of(documents, "subjects")
+    docs = stage.write(tokenised(documents.where("doc_id is not null and text is not null")), "words")
+    model, least = train(docs, labels, subjects, stage)
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
-    def judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for f in frames:
-            rows = [(i, s, round(v, 4)) for i, t in zip(f.doc_id, f.text) for s, v in sorted(m.shares(t).items()) if v >= least]
-            yield pd.DataFrame(rows, columns=["doc_id", "subject_id", "share"])
+        needed, ids = np.array([least[i] for i in m.subjects]), np.array(m.subjects, dtype=np.int32)
+        for s in slices(batches):
+            shares = m.shares(s, m.marked(s))
+            doc, subject = np.nonzero((shares >= needed) & (shares > 0))
+            yield pa.RecordBatch.from_arrays([pa.array(s.docs.doc_id.to_numpy()[doc]), pa.array(ids[subject], pa.int32()), pa.array(np.round(shares[doc, subject], 4))], names=["doc_id", "subject_id", "share"])
 
-    texts = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
-    return texts.mapInPandas(judge, "doc_id long, subject_id int, share double")
+    return docs.mapInArrow(judge, "doc_id long, subject_id int, share double")
 
 
 def composition(documents: DataFrame, labels: DataFrame, subjects: DataFrame) -> DataFrame:

@@ -199,3 +199,29 @@ def test_subjects(spark):
     assert sum(got.get(k) == truth[k] for k in held_out) >= 0.9 * len(held_out)
     assert not {900, 901, 902, None} & set(got)
     assert subjects.document_subjects(d, lab.limit(0), sub).count() == 0
+
+
+def test_a_hot_group_of_copies_keeps_its_subjects(spark):
+    """A text that is a third of all rows is no stock: its sentences count once."""
+    rng = random.Random(3)
+    nouns = {1: "court judge verdict appeal lawyer statute".split(), 2: "goal striker league stadium referee medal".split()}
+    say = lambda s: f"The {rng.choice(nouns[s])} is stored beside the {rng.choice(nouns[s])} of the {rng.choice(nouns[s])}."
+    docs = [(k, "Thanks to everyone who sent a fix. " + " ".join(say(1 + k % 2) for _ in range(8)), "c") for k in range(200)]
+    docs += [(1000 + k, docs[1][1], "c") for k in range(100)] + [(2000, "Thanks to everyone who sent a fix.", "c")]
+    lab = spark.createDataFrame([(k, 1 + k % 2) for k in range(0, 200, 2)] + [(k, 1 + k % 2) for k in range(1, 200, 4)], "doc_id long, subject_id int")
+    sub = spark.createDataFrame([(1, "law"), (2, "sport")], "subject_id int, subject_name string")
+    got = {r.doc_id: r.subject_id for r in subjects.document_subjects(spark.createDataFrame(docs, "doc_id long, text string, subject_id string"), lab, sub).collect()}
+    assert all(got.get(1000 + k) == 2 for k in range(100)) and 2000 not in got
+
+
+def test_tokenised_texts():
+    import numpy as np
+
+    tongue, words, ends = subjects.tokenise("The dog is in the house. It is old!\n```\ncode here\n```\n- an item\n\nEnd")
+    assert len(words) == 12 and ends.tolist() == [6, 9, 11, 12] and subjects._TONGUES[tongue - 1] == "en"
+    assert subjects.tokenise("")[0] == 0 and len(subjects.tokenise("123 ...")[1]) == 0
+    import pandas as pd
+
+    docs = pd.DataFrame({"doc_id": [1, 2, 3], "text_hash": [1, 2, 3], "tongue": [1, 1, 1], "words": [words.tobytes(), b"", words[6:9].tobytes()], "ends": [ends.tobytes(), b"", np.array([3], dtype=np.int32).tobytes()]})
+    s = subjects.Slice(docs)
+    assert s.length.tolist() == [6, 3, 2, 1, 3] and s.doc.tolist() == [0, 0, 0, 0, 2] and s.said[1] == s.said[4] and len(set(s.said.tolist())) == 4
