@@ -23,6 +23,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -156,6 +157,15 @@ class Stock:
     def __init__(self, held: np.ndarray, least: float):
         self.held, self.least = held, least
 
+    def __getstate__(self) -> tuple:
+        rows = np.flatnonzero(self.held)
+        return rows, self.held[rows], self.least
+
+    def __setstate__(self, state: tuple) -> None:
+        rows, values, self.least = state
+        self.held = np.zeros(BUCKETS, dtype=np.float32)
+        self.held[rows] = values
+
     def among(self, said: np.ndarray) -> np.ndarray:
         a, b = _rows(said)
         return np.minimum(self.held[a], self.held[b]) > self.least
@@ -197,6 +207,22 @@ class Counts:
         self.table = np.zeros((BUCKETS, subjects + 1), dtype=np.float32)
         self.words = np.zeros((len(_TONGUES) + 1, subjects + 1))
 
+    def __getstate__(self) -> tuple:
+        """What holds anything, packed: which rows, which of their columns, the counts."""
+        rows = np.flatnonzero(self.table.any(axis=1))
+        held = self.table[rows]
+        packed = [np.diff(rows, prepend=0).astype(np.int32).tobytes(), np.packbits(held != 0).tobytes(), held[held != 0].tobytes()]
+        return self.table.shape, self.words, [zlib.compress(x, 1) for x in packed]
+
+    def __setstate__(self, state: tuple) -> None:
+        shape, self.words, packed = state
+        rows, mask, values = (zlib.decompress(x) for x in packed)
+        at = np.cumsum(np.frombuffer(rows, dtype=np.int32), dtype=np.int64)
+        held = np.zeros(len(at) * shape[1], dtype=np.float32)
+        held[np.unpackbits(np.frombuffer(mask, dtype=np.uint8), count=len(held)).astype(bool)] = np.frombuffer(values, dtype=np.float32)
+        self.table = np.zeros(shape, dtype=np.float32)
+        self.table[at] = held.reshape(-1, shape[1])
+
     def add(self, s: Slice, weights: np.ndarray) -> None:
         """Adds a slice; weights: of every sentence for every subject and the background."""
         grams, which = np.unique(np.concatenate([s.word, s.pair[~s.opens]]), return_inverse=True)
@@ -314,8 +340,8 @@ def _counted(docs: DataFrame, subjects: list[int], weigh) -> DataFrame:
     return docs.mapInArrow(count, "row long, " + ", ".join(f"n{k} double" for k in range(len(subjects) + 1)))
 
 
-def train(docs: DataFrame, labels: DataFrame, subjects: DataFrame, stage: Stage) -> tuple[Model, dict[int, float]]:
-    """The final models and the calibrated shares, from tokenised documents.
+def train(docs: DataFrame, labels: DataFrame, subjects: DataFrame, stage: Stage) -> tuple[Broadcast, dict[int, float]]:
+    """The final models, broadcast, and the calibrated shares, from tokenised documents.
 
     The labelled sample is MAX_LABELLED documents in the order of a hash of their ids, HELD_OUT tenths of it (by
     another hash) kept for calibration. All counts of the final models and of the background run over all documents.
@@ -352,12 +378,12 @@ def train(docs: DataFrame, labels: DataFrame, subjects: DataFrame, stage: Stage)
         return w
 
     model = _summed(_counted(docs, ids, of_marks), ids, stock, stage)
-    begin.unpersist()
+    begin.destroy()
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return model, calibrate(shared, labelled.where(part < HELD_OUT), ids)
+    return shared, calibrate(shared, labelled.where(part < HELD_OUT), ids)
 
 
-def calibrate(shared, held_out: DataFrame, ids: list[int]) -> dict[int, float]:
+def calibrate(shared: Broadcast, held_out: DataFrame, ids: list[int]) -> dict[int, float]:
     """Each subject's share among SHARES: the one that errs least on the held-out labels, SHARE unless it errs on MENDED more."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -386,8 +412,7 @@ def document_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFra
     """
     stage = stage_of(documents, "subjects")
     docs = stage.write(tokenised(documents.where("doc_id is not null and text is not null")), "words")
-    model, least = train(docs, labels, subjects, stage)
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+    shared, least = train(docs, labels, subjects, stage)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
