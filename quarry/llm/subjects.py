@@ -18,7 +18,6 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -67,41 +66,62 @@ def _prose(text: str) -> str:
     return "\n".join(out)
 
 
-@lru_cache(maxsize=500_000)
-def _word(w: str) -> tuple[int, int]:
-    """A word's 32-bit hash (never 0), and the languages it is a function word of, as bits."""
-    if w in ".!?\n":
-        return 0, 0
-    return zlib.crc32(w.encode()) or 1, sum(1 << k for k, t in enumerate(_TONGUES) if w in _FUNCTION[t])
+class _Words(dict):
+    """A word's 32-bit hash (never 0; 0 for the end of a sentence), and above it, as bits, the languages it is a function word of."""
 
+    def __missing__(self, w: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        code = 0 if w in ".!?\n" else (zlib.crc32(w.encode()) or 1) | sum(1 << (32 + k) for k, t in enumerate(_TONGUES) if w in _FUNCTION[t])
+        self[w] = code
+        return code
 
-def tokenise(text: str) -> tuple[int, np.ndarray, np.ndarray]:
-    """(language, hashed words, where sentences end) of a text; sentences, list items and headings end at line ends and stops."""
-    found = [_word(w) for w in _TOKENS.findall(_prose(text).lower())]
-    if not found:
-        return 0, np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int32)
-    pairs = np.array(found, dtype=np.uint32)
-    real = pairs[:, 0] != 0
-    ends = np.unique(np.cumsum(real)[~real])
-    words = pairs[real, 0]
-    ends = np.append(ends, len(words))
-    ends = np.unique(ends[ends > 0]).astype(np.int32)
-    counts = [int((pairs[:, 1] >> k & 1).sum()) for k in range(len(_TONGUES))]
-    order = sorted(range(len(counts)), key=lambda k: -counts[k])
-    sure = counts[order[0]] >= 2 and counts[order[0]] > 1.3 * counts[order[1]]
-    return (order[0] + 1 if sure else 0), words, ends
+
+_CODES = _Words()
+
+
+def tokenise(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(language of each text, hashed words of all, words of each, places in its text where sentences end, sentences of each).
+
+    Sentences, list items and headings end at line ends and stops; fenced code is left out. A text is in the
+    language most of its function words belong to, or in none (0).
+    """
+    code, flat, sizes = _CODES.__getitem__, [], []
+    for t in texts:
+        found = _TOKENS.findall(_prose(t).lower())
+        found.append("\n")
+        flat += map(code, found)
+        sizes.append(len(found))
+    codes = np.array(flat, dtype=np.int64)
+    doc = np.repeat(np.arange(len(texts)), sizes)
+    real = (codes & 0xFFFFFFFF) != 0
+    counts = np.stack([np.bincount(doc, codes >> (32 + k) & 1, len(texts)) for k in range(len(_TONGUES))]) if len(texts) else np.zeros((len(_TONGUES), 0))
+    ordered = np.sort(counts, axis=0)
+    tongue = np.where((ordered[-1] >= 2) & (ordered[-1] > 1.3 * ordered[-2]), counts.argmax(axis=0) + 1, 0)
+    words = np.bincount(doc[real], minlength=len(texts))
+    # an end counts if words stand between it and the one before
+    ends = np.flatnonzero(~real)
+    upto = np.cumsum(real)[ends]
+    some = np.diff(upto, prepend=0) > 0
+    ends, upto = ends[some], upto[some]
+    return tongue, (codes[real] & 0xFFFFFFFF).astype(np.uint32), words, (upto - (np.cumsum(words) - words)[doc[ends]]).astype(np.int32), np.bincount(doc[ends], minlength=len(texts))
+
+
+def _binary(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Runs of values of the given sizes as one binary value each."""
+    offsets = np.concatenate(([0], np.cumsum(sizes * values.itemsize)))
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(values.tobytes())]).cast(pa.binary())
 
 
 def tokenised(texts: DataFrame) -> DataFrame:
-    """(doc_id, tongue, words, ends): documents as hashed words, once for all passes."""
+    """(doc_id, text_hash, tongue, words, ends): documents as hashed words, once for all passes."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [tokenise(t) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1].tobytes() for r in rows], pa.binary()), pa.array([r[2].tobytes() for r in rows], pa.binary())],
-                names=["doc_id", "text_hash", "tongue", "words", "ends"],
-            )
+            for k in range(0, b.num_rows, 1000):
+                part = b.slice(k, 1000)
+                tongue, words, n, ends, m = tokenise(part.column(2).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(tongue, pa.int32()), _binary(words, n), _binary(ends, m)], names=["doc_id", "text_hash", "tongue", "words", "ends"])
 
     return texts.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(cut, _TOKENISED)
 
@@ -171,37 +191,42 @@ class Stock:
         return np.minimum(self.held[a], self.held[b]) > self.least
 
 
-def stock_sentences(docs: DataFrame, stage: Stage) -> Stock:
-    """Counts sentences over the distinct texts of tokenised documents."""
+def survey(docs: DataFrame, stage: Stage) -> tuple[Stock, np.ndarray, np.ndarray]:
+    """One pass over tokenised documents: sentences over the distinct texts, and the background's n-grams and words by language."""
     copies = stage.write(docs.groupBy("text_hash").agg(F.count("*").alias("n")), "copies")
-    documents = copies.agg(F.sum("n")).first()[0] or 0
+    documents, texts = copies.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     # fewer than 1 / HOT texts can have so many copies
     hot = {r.text_hash: r.n for r in copies.where((F.col("n") > 1) & (F.col("n") >= HOT * documents)).collect()}
-    texts = copies.count() if not hot else documents - sum(hot.values()) + len(hot)
     stage.drop(copies)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(BUCKETS)
+        held, back, words = np.zeros(BUCKETS), np.zeros(BUCKETS), np.zeros(len(_TONGUES) + 1)
         for s in slices(batches):
             # once for each document
             _, at = np.unique(s.said ^ _mix(s.doc.astype(np.uint64)), return_index=True)
             weight = np.array([1.0 / hot.get(h, 1) for h in s.docs.text_hash])[s.doc[at]]
             for rows in _rows(s.said[at]):
                 held += np.bincount(rows, weight, BUCKETS)
-        rows = np.flatnonzero(held)
-        yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(held[rows])], names=["row", "n"])
-
-    summed = docs.mapInArrow(count, "row long, n double").groupBy("row").agg(F.sum("n").alias("n"))
-    # rows under the limit decide nothing: a sentence needs both of its rows above it
+            for grams in (s.word, s.pair[~s.opens]):
+                for rows in _rows(grams):
+                    back += np.bincount(rows, minlength=BUCKETS)
+            words += np.bincount(s.tongue, s.length, len(words))
+        rows = np.flatnonzero(held + back)
+        rows = np.concatenate([rows, -1 - np.arange(len(words))])
+        yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(np.append(held, words[::-1])[rows]), pa.array(np.append(back, words[::-1])[rows])], names=["row", "held", "back"])
+
+    summed = docs.mapInArrow(count, "row long, held double, back double").groupBy("row").agg(F.sum("held").cast("float").alias("held"), F.sum("back").alias("back"))
+    held, back, words = np.zeros(BUCKETS, dtype=np.float32), np.zeros(BUCKETS), np.zeros(len(_TONGUES) + 1)
+    for f in _batches(summed):
+        at = f.column("row").to_numpy()
+        held[at[at >= 0]], back[at[at >= 0]] = f.column("held").to_numpy()[at >= 0], f.column("back").to_numpy()[at >= 0]
+        words[-1 - at[at < 0]] = f.column("back").to_numpy()[at < 0]
     least = COMMON_MORE + COMMON * texts
-    held = np.zeros(BUCKETS, dtype=np.float32)
-    for f in _batches(summed.where(F.col("n") > least)):
-        held[f.column("row").to_numpy()] = f.column("n").to_numpy()
-    return Stock(held, least)
+    return Stock(np.where(held > least, held, 0), least), back, words
 
 
 class Counts:
-    """Counts of n-grams by subject (the last column: background), and of words by language, in tables of fixed size."""
+    """Counts of n-grams by subject (a last column is for the background), and of words by language, in tables of fixed size."""
 
     def __init__(self, subjects: int):
         self.table = np.zeros((BUCKETS, subjects + 1), dtype=np.float32)
@@ -224,7 +249,7 @@ class Counts:
         self.table[at] = held.reshape(-1, shape[1])
 
     def add(self, s: Slice, weights: np.ndarray) -> None:
-        """Adds a slice; weights: of every sentence for every subject and the background."""
+        """Adds a slice; weights: of every sentence for every subject."""
         grams, which = np.unique(np.concatenate([s.word, s.pair[~s.opens]]), return_inverse=True)
         sentence = np.concatenate([s.sentence, s.sentence[~s.opens]])
         sums = np.zeros((len(grams), weights.shape[1]), dtype=np.float32)
@@ -236,27 +261,28 @@ class Counts:
                 sums[:, k] = np.bincount(which[at], mine[at], len(grams))
             self.words[:, k] += np.bincount(s.tongue, w * s.length, len(self.words))
         for rows in _rows(grams):
-            np.add.at(self.table, rows, sums)
+            np.add.at(self.table[:, :-1], rows, sums)
 
     def parts(self) -> Iterator[pd.DataFrame]:
         """Its rows that hold anything, those of languages as negative numbers."""
         at = np.flatnonzero(self.table.any(axis=1))
-        names = [f"n{k}" for k in range(self.table.shape[1])]
+        names = [f"n{k}" for k in range(self.table.shape[1] - 1)]
         yield pd.DataFrame({"row": -1 - np.arange(len(self.words)), **dict(zip(names, self.words.T))})
         for k in range(0, len(at), 100_000):
             rows = at[k : k + 100_000]
             yield pd.DataFrame({"row": rows, **dict(zip(names, self.table[rows].astype(float).T))})
 
 
-def _summed(parts: DataFrame, subjects: list[int], stock: Stock, stage: Stage) -> Model:
-    """The model of the tasks' counts: at most BUCKETS rows and some of languages come to the driver."""
-    names = [f"n{k}" for k in range(len(subjects) + 1)]
+def _summed(parts: DataFrame, subjects: list[int], surveyed: tuple[Stock, np.ndarray, np.ndarray], stage: Stage) -> Model:
+    """The model of the tasks' counts against the corpus: at most BUCKETS rows and some of languages come to the driver."""
+    names = [f"n{k}" for k in range(len(subjects))]
     rows = stage.write(parts.groupBy("row").agg(*(F.sum(n).cast("float").alias(n) for n in names)), "counts")
     counts = Counts(len(subjects))
+    stock, counts.table[:, -1], counts.words[:, -1] = surveyed
     for f in _batches(rows):
-        at, values = f.column("row").to_numpy(), np.column_stack([f.column(n).to_numpy() for n in names])
-        counts.table[at[at >= 0]] = values[at >= 0]
-        counts.words[-1 - at[at < 0]] = values[at < 0]
+        at, values = f.column("row").to_numpy(), np.column_stack([f.column(n).to_numpy() for n in names] or [np.zeros((len(f), 0))])
+        counts.table[at[at >= 0], :-1] = values[at >= 0]
+        counts.words[-1 - at[at < 0], :-1] = values[at < 0]
     stage.drop(rows)
     return Model(subjects, counts, stock)
 
@@ -337,33 +363,33 @@ def _counted(docs: DataFrame, subjects: list[int], weigh) -> DataFrame:
         for f in counts.parts():
             yield pa.RecordBatch.from_pandas(f, preserve_index=False)
 
-    return docs.mapInArrow(count, "row long, " + ", ".join(f"n{k} double" for k in range(len(subjects) + 1)))
+    return docs.mapInArrow(count, ", ".join(["row long", *(f"n{k} double" for k in range(len(subjects)))]))
 
 
 def train(docs: DataFrame, labels: DataFrame, subjects: DataFrame, stage: Stage) -> tuple[Broadcast, dict[int, float]]:
     """The final models, broadcast, and the calibrated shares, from tokenised documents.
 
     The labelled sample is MAX_LABELLED documents in the order of a hash of their ids, HELD_OUT tenths of it (by
-    another hash) kept for calibration. All counts of the final models and of the background run over all documents.
+    another hash) kept for calibration. All counts of the final models and of the background, the first models' too,
+    run over all documents.
     """
     ids = sorted(r.subject_id for r in subjects.where("subject_id is not null").select("subject_id").distinct().limit(MAX_SUBJECTS + 1).collect())
     if len(ids) > MAX_SUBJECTS:
         raise ValueError(f"more than {MAX_SUBJECTS} subjects")
     column = {s: k for k, s in enumerate(ids)}
-    stock = stock_sentences(docs, stage)
+    surveyed = survey(docs, stage)
     sample = _label_sets(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
     labelled = stage.write(docs.join(F.broadcast(sample), "doc_id"), "labelled")  # MAX_LABELLED rows at most
     part = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(10))
 
     def of_labels(s: Slice) -> np.ndarray:
-        w = np.zeros((len(s.docs), len(ids) + 1))
-        w[:, -1] = 1.0
+        w = np.zeros((len(s.docs), len(ids)))
         for k, subs in enumerate(s.docs.subjects):
             known = [column[x] for x in subs if x in column]
             w[k, known] = 1.0 / max(1, len(known))
         return w[s.doc]
 
-    begin = docs.sparkSession.sparkContext.broadcast(_summed(_counted(labelled.where(part >= HELD_OUT), ids, of_labels), ids, stock, stage))
+    begin = docs.sparkSession.sparkContext.broadcast(_summed(_counted(labelled.where(part >= HELD_OUT), ids, of_labels), ids, surveyed, stage))
 
     def of_marks(s: Slice) -> np.ndarray:
         model = begin.value
@@ -371,13 +397,13 @@ def train(docs: DataFrame, labels: DataFrame, subjects: DataFrame, stage: Stage)
         shares = model.shares(s, marked)
         main = np.where(shares >= SHARE, shares, 0.0)
         # a sentence of no main subject counts for all of its document, so that no model claims common ones
-        w = np.concatenate([main[s.doc], np.ones((len(s.doc), 1))], axis=1)
+        w = main[s.doc]
         own = (marked >= 0) & (main[s.doc, marked] > 0)
-        w[own, :-1] = 0.0
+        w[own] = 0.0
         w[own, marked[own]] = 1.0
         return w
 
-    model = _summed(_counted(docs, ids, of_marks), ids, stock, stage)
+    model = _summed(_counted(docs, ids, of_marks), ids, surveyed, stage)
     begin.destroy()
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return shared, calibrate(shared, labelled.where(part < HELD_OUT), ids)

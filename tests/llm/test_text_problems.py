@@ -217,9 +217,10 @@ def test_a_hot_group_of_copies_keeps_its_subjects(spark):
 def test_tokenised_texts():
     import numpy as np
 
-    tongue, words, ends = subjects.tokenise("The dog is in the house. It is old!\n```\ncode here\n```\n- an item\n\nEnd")
-    assert len(words) == 12 and ends.tolist() == [6, 9, 11, 12] and subjects._TONGUES[tongue - 1] == "en"
-    assert subjects.tokenise("")[0] == 0 and len(subjects.tokenise("123 ...")[1]) == 0
+    tongue, words, n, ends, m = subjects.tokenise(["The dog is in the house. It is old!\n```\ncode here\n```\n- an item\n\nEnd", "", "123 ...", "An item"])
+    assert n.tolist() == [12, 0, 0, 2] and ends.tolist() == [6, 9, 11, 12, 2] and m.tolist() == [4, 0, 0, 1] and subjects._TONGUES[tongue[0] - 1] == "en" and tongue[1] == 0
+    assert [len(x) for x in subjects.tokenise([])] == [0] * 5
+    words, ends = words[:12], ends[:4]
     import pandas as pd
 
     docs = pd.DataFrame({"doc_id": [1, 2, 3], "text_hash": [1, 2, 3], "tongue": [1, 1, 1], "words": [words.tobytes(), b"", words[6:9].tobytes()], "ends": [ends.tobytes(), b"", np.array([3], dtype=np.int32).tobytes()]})
