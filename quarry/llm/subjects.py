@@ -32,7 +32,7 @@ from quarry.llm.pairs import FUNCTION_WORDS
 #: Labelled documents used (the first in the order of a hash of their ids), and of ten parts those kept for calibration.
 MAX_LABELLED, HELD_OUT = 20_000, 2
 #: Rows of the table of counts; subjects at most (both bound what is broadcast); words worked on at once.
-BUCKETS, MAX_SUBJECTS, SLICE = 1 << 20, 64, 400_000
+BUCKETS, MAX_SUBJECTS, SLICE = 1 << 20, 64, 800_000
 #: Weights of pair, word and background estimates; words of background each model of a language begins with.
 PAIR, WORD, BACK, PRIOR = 0.3, 0.5, 0.2, 200.0
 #: Pairs seen less often in the background are not told apart from chance.
@@ -248,29 +248,35 @@ class Counts:
         self.table = np.zeros(shape, dtype=np.float32)
         self.table[at] = held.reshape(-1, shape[1])
 
+
+class Tally:
+    """What one task counts: n-grams and words by language for every subject."""
+
+    def __init__(self, subjects: int):
+        self.sums = np.zeros((subjects, BUCKETS), dtype=np.float32)
+        self.words = np.zeros((len(_TONGUES) + 1, subjects))
+
     def add(self, s: Slice, weights: np.ndarray) -> None:
         """Adds a slice; weights: of every sentence for every subject."""
-        grams, which = np.unique(np.concatenate([s.word, s.pair[~s.opens]]), return_inverse=True)
+        rows = [np.concatenate(x) for x in zip(_rows(s.word), _rows(s.pair[~s.opens]))]
         sentence = np.concatenate([s.sentence, s.sentence[~s.opens]])
-        sums = np.zeros((len(grams), weights.shape[1]), dtype=np.float32)
-        for k in range(weights.shape[1]):
+        for k in range(len(self.sums)):
             w = weights[:, k]
             if w.any():
                 mine = w[sentence]
                 at = np.flatnonzero(mine)
-                sums[:, k] = np.bincount(which[at], mine[at], len(grams))
-            self.words[:, k] += np.bincount(s.tongue, w * s.length, len(self.words))
-        for rows in _rows(grams):
-            np.add.at(self.table[:, :-1], rows, sums)
+                for r in rows:
+                    self.sums[k] += np.bincount(r[at], mine[at], BUCKETS)
+                self.words[:, k] += np.bincount(s.tongue, w * s.length, len(self.words))
 
     def parts(self) -> Iterator[pd.DataFrame]:
         """Its rows that hold anything, those of languages as negative numbers."""
-        at = np.flatnonzero(self.table.any(axis=1))
-        names = [f"n{k}" for k in range(self.table.shape[1] - 1)]
+        at = np.flatnonzero(self.sums.any(axis=0))
+        names = [f"n{k}" for k in range(len(self.sums))]
         yield pd.DataFrame({"row": -1 - np.arange(len(self.words)), **dict(zip(names, self.words.T))})
         for k in range(0, len(at), 100_000):
             rows = at[k : k + 100_000]
-            yield pd.DataFrame({"row": rows, **dict(zip(names, self.table[rows].astype(float).T))})
+            yield pd.DataFrame({"row": rows, **dict(zip(names, self.sums[:, rows].astype(float)))})
 
 
 def _summed(parts: DataFrame, subjects: list[int], surveyed: tuple[Stock, np.ndarray, np.ndarray], stage: Stage) -> Model:
@@ -356,11 +362,11 @@ def _counted(docs: DataFrame, subjects: list[int], weigh) -> DataFrame:
     """Counts of all documents' n-grams; weigh(slice) gives each sentence's weights. One table a task, summed before the shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = Counts(len(subjects))
+        tally = Tally(len(subjects))
         for s in slices(batches):
             if len(s.first):
-                counts.add(s, weigh(s))
-        for f in counts.parts():
+                tally.add(s, weigh(s))
+        for f in tally.parts():
             yield pa.RecordBatch.from_pandas(f, preserve_index=False)
 
     return docs.mapInArrow(count, ", ".join(["row long", *(f"n{k} double" for k in range(len(subjects)))]))
