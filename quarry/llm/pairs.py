@@ -146,7 +146,7 @@ def opening(answer: str) -> list[str]:
             kept.append(s)
         if len(kept) == OPENING_SENTENCES:
             break
-    return _said(" ".join(kept))[:60]
+    return _said(" ".join(kept))
 
 
 def statements(answer: str, cut: bool) -> list[str]:
@@ -155,6 +155,11 @@ def statements(answer: str, cut: bool) -> list[str]:
     return sorted({" ".join(w) for w in (said[:-1] if cut else said) if len(w) >= WORDS})
 
 
+def declines(words: str) -> bool:
+    """The wording declines, by the list."""
+    return _DECLINES.search(words) is not None
+
+
 def _content(text: str) -> set[str]:
     return {w for w in _WORD.findall(text.lower()) if len(w) > 2 and w not in _COMMON}
 
@@ -173,13 +178,18 @@ def _features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ql, al = language(q), language(a)
             asked = {k for k, p in _NAMES.items() if p.search(_CODE.sub(" ", q))}
             rows.append((
-                i, copies(q, a), cut := truncated(a), bool(ql and al and ql != al and al not in asked), opening(a),
+                i, copies(q, a), cut := truncated(a), bool(ql and al and ql != al and al not in asked), declines(" ".join(opening(a))),
                 statements(a, cut), re.sub(r"\s+", " ", q).strip().lower(), grounded(q, a, c or ""), bool(re.search(r"[\w.\-]+(?:/[\w.\-]+)+:\d", a)),
             ))
-        yield pd.DataFrame(rows, columns=["id", "copy", "cut", "other", "words", "said", "prompt", "grounded", "places"])
+        yield pd.DataFrame(rows, columns=["id", "copy", "cut", "other", "says", "said", "prompt", "grounded", "places"])
+
+
+def _worded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for f in frames:
+        yield pd.DataFrame({"id": f.id, "words": [x.split(" ") for x in f.sentence], "says": [float(declines(x)) for x in f.sentence]})
 
 
-FEATURES = "id long, copy boolean, cut boolean, other boolean, words array<string>, said array<string>, prompt string, grounded boolean, places boolean"
+FEATURES = "id long, copy boolean, cut boolean, other boolean, says boolean, said array<string>, prompt string, grounded boolean, places boolean"
 #: A class of sentences recurs if this many different prompts share it.
 RECURRING_PROMPTS = 2
 #: Without the word list a class needs this share of prompts whose whole reply is ungrounded, and so many of them that
@@ -204,18 +214,20 @@ def defects(turns: DataFrame) -> DataFrame:
     t = t.withColumn("real", real_reply(F.col("answer")))
     features = stage.write(t.where("real").drop("real").mapInPandas(_features, FEATURES), "features")
     empty = t.where(~F.col("real")).select(F.col("id").alias("turn_id"), F.lit("empty").alias("defect"))
-    members = stage.write(features.select("id", F.explode("said").alias("sentence"), F.xxhash64("prompt").alias("prompt"), "grounded", "places"), "sentences")
-    groups = stage.write(members.select("sentence", F.xxhash64("sentence").alias("id")).distinct(), "groups")
-    labelled = stage.write(groups.join(classes(groups.select("id", F.split("sentence", " ").alias("words")), stage), "id").select("sentence", "class_id"), "classes")
-    n, loose = features.agg(F.count("*"), F.coalesce(F.sum((~F.col("grounded")).cast("long")), F.lit(0))).first()
+    members = features.select("id", F.explode("said").alias("sentence"), F.xxhash64("prompt").alias("prompt"), "grounded", "places")
+    loose_one = (~F.col("grounded")).cast("long")
+    uses = stage.write(
+        members.groupBy("sentence", "prompt").agg(F.count("*").alias("n"), F.sum(F.col("places").cast("double")).alias("places"), F.sum(loose_one).alias("loose"), F.min(loose_one).alias("unrelated"))
+        .withColumn("id", F.xxhash64("sentence")),
+        "uses",
+    )
+    groups = stage.write(uses.select("id", "sentence").distinct().mapInPandas(_worded, "id long, words array<string>, says double"), "groups")
+    labelled = stage.write(groups.select("id", "says").join(classes(groups.select("id", "words"), stage), "id"), "classes")
+    n, loose = features.agg(F.count("*"), F.coalesce(F.sum(loose_one), F.lit(0))).first()
     judged = stage.write(
-        members.join(labelled, "sentence")
-        .withColumn("says", F.col("sentence").rlike("|".join(DECLINES)).cast("double"))
+        uses.join(labelled, "id")
         .groupBy("class_id", "prompt")
-        .agg(
-            F.count("*").alias("n"), F.sum("says").alias("says"), F.sum(F.col("places").cast("double")).alias("places"),
-            F.sum((~F.col("grounded")).cast("long")).alias("loose"), F.min((~F.col("grounded")).cast("long")).alias("unrelated"),
-        )
+        .agg(F.sum("n").alias("n"), F.sum(F.col("says") * F.col("n")).alias("says"), F.sum("places").alias("places"), F.sum("loose").alias("loose"), F.min("unrelated").alias("unrelated"))
         .groupBy("class_id")
         .agg(
             F.count("*").alias("prompts"), (F.sum("says") / F.sum("n")).alias("declines"), (F.sum("places") / F.sum("n")).alias("places"),
@@ -231,9 +243,9 @@ def defects(turns: DataFrame) -> DataFrame:
     surprise = F.when(share > F.greatest(rate, F.lit(UNGROUNDED)), F.col("prompts") * (share * F.log(share / rate) + rest)).otherwise(0.0)
     needed = math.log(max(1, judged.count()) / CHANCE)
     templates = judged.where(((F.col("declines") >= 0.5) | (surprise >= needed)) & (F.col("places") < 0.5)).select("class_id")
-    held = members.join(labelled.join(templates, "class_id", "left_semi").select("sentence"), "sentence", "left_semi").select("id").distinct().withColumn("template", F.lit(True))
-    says = F.concat_ws(" ", "words").rlike("|".join(DECLINES))
-    refusing = F.coalesce("template", F.lit(False)) | says
+    refusing_ids = labelled.join(templates, "class_id", "left_semi").select(F.col("id").alias("key"))
+    held = members.select("id", F.xxhash64("sentence").alias("key")).join(refusing_ids, "key", "left_semi").select("id").distinct().withColumn("template", F.lit(True))
+    refusing = F.coalesce("template", F.lit(False)) | F.col("says")
     out = (
         features.join(held, "id", "left")
         .select(
