@@ -65,10 +65,20 @@ _PATH_END = re.compile(r"(?:[\w.\-]+/)+[\w.\-]+\.\w+(?::\d+(?:-\d+)?)?$")
 OPENING_SENTENCES = 1
 
 
+_PACKED = {w: sum(1 << (20 * k) for k, x in enumerate(_SETS.values()) if w in x) for w in _COMMON}
+_ANY_NAME = re.compile(r"\b(?:" + "|".join(LANGUAGE_NAMES.values()) + r")\b", re.I)
+
+
 def language(text: str) -> str:
     """en, de, fr or es by function words outside code and quotations; '' if there are too few or it is even."""
-    words = [w.lower() for w in _WORD.findall(_CODE.sub(" ", text))]
-    n = {k: sum(w in s for w in words) for k, s in _SETS.items()}
+    return _language(_CODE.sub(" ", text), text)
+
+
+def _language(plain: str, text: str) -> str:
+    packed, get = 0, _PACKED.get
+    for w in _WORD.findall(plain.lower()):
+        packed += get(w, 0)
+    n = {k: packed >> (20 * i) & 0xFFFFF for i, k in enumerate(_SETS)}
     if "¿" in text or "¡" in text:
         n["es"] += 2
     if "ß" in text:
@@ -138,10 +148,10 @@ def _said(sentence: str) -> list[str]:
     return re.findall(r"[^\W\d]+(?:'[^\W\d]+)?|\d+", sentence.lower())
 
 
-def opening(answer: str) -> list[str]:
-    """Words of the first sentences after any lead-in, with code and places masked; lower case."""
+def opening(parts: list[str]) -> list[str]:
+    """Words of the first of a reply's sentences after any lead-in; lower case."""
     kept: list[str] = []
-    for s in _split(answer):
+    for s in parts:
         if kept or not _LEAD.match(s.strip()):
             kept.append(s)
         if len(kept) == OPENING_SENTENCES:
@@ -149,9 +159,9 @@ def opening(answer: str) -> list[str]:
     return _said(" ".join(kept))
 
 
-def statements(answer: str, cut: bool) -> list[str]:
+def statements(parts: list[str], cut: bool) -> list[str]:
     """The distinct complete sentences of WORDS words or more anywhere in the reply; of a cut reply not the last."""
-    said = [_said(s) for s in _split(answer)]
+    said = [_said(s) for s in parts]
     return sorted({" ".join(w) for w in (said[:-1] if cut else said) if len(w) >= WORDS})
 
 
@@ -173,15 +183,22 @@ def grounded(question: str, answer: str, citations: str) -> bool:
 def _features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
         rows = []
-        for i, q, a, c in zip(f.id, f.question, f.answer, f.citations):
+        for i, q, a, c, real in zip(f.id, f.question, f.answer, f.citations, f.real):
+            if not real:
+                rows.append((i, False, False, False, False, False, [], "", False, False))
+                continue
             q, a = q or "", a or ""
-            ql, al = language(q), language(a)
-            asked = {k for k, p in _NAMES.items() if p.search(_CODE.sub(" ", q))}
+            plain = _CODE.sub(" ", q)
+            ql, al = _language(plain, q), language(a)
+            asked = {k for k, p in _NAMES.items() if p.search(plain)} if _ANY_NAME.search(plain) else ()
             rows.append((
-                i, copies(q, a), cut := truncated(a), bool(ql and al and ql != al and al not in asked), declines(" ".join(opening(a))),
-                statements(a, cut), re.sub(r"\s+", " ", q).strip().lower(), grounded(q, a, c or ""), bool(re.search(r"[\w.\-]+(?:/[\w.\-]+)+:\d", a)),
+                i, True, copies(q, a), cut := truncated(a), bool(ql and al and ql != al and al not in asked), declines(" ".join(opening(parts := _split(a)))),
+                statements(parts, cut), re.sub(r"\s+", " ", q).strip().lower(), grounded(q, a, c or ""), _PLACE.search(a) is not None,
             ))
-        yield pd.DataFrame(rows, columns=["id", "copy", "cut", "other", "says", "said", "prompt", "grounded", "places"])
+        yield pd.DataFrame(rows, columns=["id", "real", "copy", "cut", "other", "says", "said", "prompt", "grounded", "places"])
+
+
+_PLACE = re.compile(r"[\w.\-]+(?:/[\w.\-]+)+:\d")
 
 
 def _worded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -189,7 +206,7 @@ def _worded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"id": f.id, "words": [x.split(" ") for x in f.sentence], "says": [float(declines(x)) for x in f.sentence]})
 
 
-FEATURES = "id long, copy boolean, cut boolean, other boolean, says boolean, said array<string>, prompt string, grounded boolean, places boolean"
+FEATURES = "id long, real boolean, copy boolean, cut boolean, other boolean, says boolean, said array<string>, prompt string, grounded boolean, places boolean"
 #: A class of sentences recurs if this many different prompts share it.
 RECURRING_PROMPTS = 2
 #: Without the word list a class needs this share of prompts whose whole reply is ungrounded, and so many of them that
@@ -212,8 +229,9 @@ def defects(turns: DataFrame) -> DataFrame:
     stage = stage_of(turns, "pairs")
     t = turns.select("id", "question", "answer", F.col("citations").cast("string").alias("citations")).where("id is not null")
     t = t.withColumn("real", real_reply(F.col("answer")))
-    features = stage.write(t.where("real").drop("real").mapInPandas(_features, FEATURES), "features")
-    empty = t.where(~F.col("real")).select(F.col("id").alias("turn_id"), F.lit("empty").alias("defect"))
+    every = stage.write(t.mapInPandas(_features, FEATURES), "features")
+    features = every.where("real")
+    empty = every.where("not real").select(F.col("id").alias("turn_id"), F.lit("empty").alias("defect"))
     members = features.select("id", F.explode("said").alias("sentence"), F.xxhash64("prompt").alias("prompt"), "grounded", "places")
     loose_one = (~F.col("grounded")).cast("long")
     uses = stage.write(
