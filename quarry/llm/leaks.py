@@ -1,9 +1,9 @@
 """Problem 9: evaluation texts leaking into training text, by suffix arrays over shards of the corpus.
 
-Every task builds suffix arrays over its documents' words (of bounded size, one after the other), finds each
-suffix of each item by binary search and extends the matches to their full length. Verbatim matches that carry a
-word rare among the items are seeds; around them item and document are aligned, misspelt and exchanged words
-included, and the coverage is measured.
+Every task builds suffix arrays over its documents' words (of bounded size, one after the other), finds every suffix
+of every item in them by binary search and joins the matches to their full length. A document whose verbatim matches
+hold enough of an item's weight (words rare among the items weigh most) is aligned with it around the matches,
+misspelt and exchanged words included, and the coverage is measured.
 """
 
 from __future__ import annotations
@@ -21,12 +21,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words of a seed; least verbatim or nearly verbatim run; least share of an item's words.
-SEED_WORDS, LEAST_RUN, LEAST_SHARE = 4, 12, 0.4
+from quarry.common import stage_of
+
+#: Words of a verbatim match (fewer in items that have fewer); share of an item's weight the matches must hold; least verbatim or nearly
+#: verbatim run; least share of an item's words, of whose weight the words that agree must hold nine tenths as much.
+SEED_WORDS, SEEDED, LEAST_RUN, LEAST_SHARE = 4, 0.12, 12, 0.4
 #: Weighted agreement of a stretch; words rare among the items weigh most.
 LEAST_AGREEMENT = 0.75
-#: Words of one suffix array, and items searched in one pass over the corpus.
-SHARD_WORDS, ITEMS_A_PASS = 1_500_000, 4_000
+#: Words of one suffix array, items searched in one pass over the corpus, and words by which suffixes are ordered.
+SHARD_WORDS, ITEMS_A_PASS, DEPTH = 1_500_000, 4_000, 16
 _GAP = 4
 
 _TAG = re.compile(r"</?[a-zA-Z][^<>\n]{0,200}>|<!--.*?-->|\[([^\]\n]*)\]\([^)\n]*\)", re.S)
@@ -63,54 +66,38 @@ def words(text: str) -> list[str]:
 
 
 class Items:
-    """The items to look for: their words, the weights of the words, and the suffixes that are worth a search."""
+    """The items to look for: their words, what each word weighs, and all their suffixes as arrays."""
 
-    def __init__(self, rows: list[tuple[int, str]]):
+    def __init__(self, rows: list[tuple[int, str]], frequency: dict[str, int], total: int):
+        """frequency: in how many of the `total` distinct item texts each word stands, over all items, not these only."""
         self.ids = [i for i, _ in rows]
         self.words = [words(t or "") for _, t in rows]
-        df: dict[str, int] = defaultdict(int)
-        for w in self.words:
-            for x in set(w):
-                df[x] += 1
-        n = max(1, len(rows))
-        self.vocabulary = {w: k + 1 for k, w in enumerate(sorted(df))}
-        self.weight = {w: 0.15 + math.log((n + 1) / c) / math.log(n + 1) if n > 1 else 1.0 for w, c in df.items()}
-        rare = max(1.0, 0.1 * n)
-        self.base = len(self.vocabulary) + 2
-        self.seed = min(SEED_WORDS, int(62 / math.log2(self.base)))
-        keys, at = [], []
-        for k, w in enumerate(self.words):
-            v = [self.vocabulary[x] for x in w]
-            for p in range(len(w) - self.seed + 1):
-                if any(df[x] <= rare for x in w[p : p + self.seed]):
-                    keys.append(self._key(v[p : p + self.seed]))
-                    at.append((k, p))
-        self.keys = np.array(keys, dtype=np.int64)
-        self.at = np.array(at, dtype=np.int64).reshape(-1, 2)
-
-    def _key(self, v: list[int]) -> int:
-        key = 0
-        for x in v:
-            key = key * self.base + x
-        return key
-
-
-def suffix_array(codes: np.ndarray, base: int, seed: int, depth: int = 16) -> tuple[np.ndarray, np.ndarray]:
-    """Positions in the order of their suffixes' first `depth` words or more, and the keys of the first `seed` words.
-
-    Prefix doubling; code 0 (a word of no item, or the end of a document) matches nothing.
-    """
+        self.vocabulary = {w: k + 1 for k, w in enumerate(sorted({x for w in self.words for x in w}))}
+        top = math.log(total + 1)
+        self.weight = {w: 0.15 + math.log((total + 1) / frequency[w]) / top if total > 1 else 1.0 for w in self.vocabulary}
+        sizes = np.array([len(w) for w in self.words], dtype=np.int64)
+        codes = np.array([self.vocabulary[x] for w in self.words for x in w] + [0] * DEPTH, dtype=np.int64)
+        self.starts = np.cumsum(sizes) - sizes
+        weights = np.array([0.0] + [self.weight[x] for w in self.words for x in w])
+        self.upto = np.cumsum(weights)  # of the words before a position
+        item = np.repeat(np.arange(len(rows)), sizes)
+        at = np.arange(len(item)) - self.starts[item] if len(item) else np.zeros(0, dtype=np.int64)
+        self.seed = np.minimum(SEED_WORDS, sizes)
+        keep = at <= (sizes - self.seed)[item] if len(item) else np.zeros(0, dtype=bool)
+        self.item, self.at = item[keep], at[keep]
+        self.suffix = codes[(self.starts[self.item] + self.at)[:, None] + np.arange(SEED_WORDS)] if keep.any() else np.zeros((0, SEED_WORDS), dtype=np.int64)
+
+    def weighs(self, item: np.ndarray | int, at: np.ndarray | int, length: np.ndarray | int) -> np.ndarray:
+        """The weight of `length` words of an item."""
+        first = self.starts[item] + at
+        return self.upto[first + length] - self.upto[first]
+
+
+def suffix_array(codes: np.ndarray, depth: int = DEPTH) -> np.ndarray:
+    """Positions in the order of their suffixes' first `depth` words or more, by prefix doubling."""
     n = len(codes)
-    key = np.zeros(n, dtype=np.int64)
-    for j in range(seed):
-        part = np.zeros(n, dtype=np.int64)
-        part[: n - j] = codes[j:]
-        key = key * base + part
-    order = np.argsort(key, kind="stable")
-    first = key
-    rank = np.zeros(n, dtype=np.int64)
-    rank[order] = np.cumsum(np.concatenate(([0], np.diff(key[order]) != 0)))
-    width = seed
+    rank = np.unique(codes, return_inverse=True)[1].astype(np.int64) if n else np.zeros(0, dtype=np.int64)
+    order, width = np.argsort(rank, kind="stable"), 1
     while width < depth:
         after = np.zeros(n, dtype=np.int64)
         after[: max(0, n - width)] = rank[width:] + 1
@@ -118,33 +105,52 @@ def suffix_array(codes: np.ndarray, base: int, seed: int, depth: int = 16) -> tu
         order = np.argsort(both, kind="stable")
         rank[order] = np.cumsum(np.concatenate(([0], np.diff(both[order]) != 0)))
         width *= 2
-    return order, first[order]
+    return order
 
 
-def seeds(codes: np.ndarray, items: Items) -> list[tuple[int, int, int, int]]:
-    """(position, item, position in the item, length in words) of the longest verbatim matches that carry a rare word."""
-    keep = np.flatnonzero(codes)
-    if not len(keep) or not len(items.keys):
-        return []
-    order, keys = suffix_array(codes, items.base, items.seed)
-    lo, hi = np.searchsorted(keys, items.keys, "left"), np.searchsorted(keys, items.keys, "right")
+def find_suffixes(codes: np.ndarray, order: np.ndarray, suffix: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each suffix (a row of `suffix`, its first `length` words) the range of `order` whose suffixes begin with it, by binary search."""
+    padded = np.concatenate([codes, np.zeros(suffix.shape[1], dtype=np.int64)])
+    columns = np.arange(suffix.shape[1])
+    within = columns[None, :] < length[:, None]
+    out = []
+    for right in (False, True):
+        lo, hi = np.zeros(len(suffix), dtype=np.int64), np.full(len(suffix), len(order), dtype=np.int64)
+        while (open_ := lo < hi).any():
+            mid = (lo + hi) // 2
+            here = padded[order[np.minimum(mid, len(order) - 1)][:, None] + columns]
+            differ = np.where(within, np.sign(here - suffix), 0)
+            first = np.where(differ.any(axis=1), differ[np.arange(len(differ)), (differ != 0).argmax(axis=1)], 0)
+            below = (first <= 0) if right else (first < 0)
+            lo, hi = np.where(open_ & below, mid + 1, lo), np.where(open_ & ~below, mid, hi)
+        out.append(lo)
+    return out[0], out[1]
+
+
+def seeds(codes: np.ndarray, items: Items) -> np.ndarray:
+    """Rows (position, item, position in the item, length): the longest verbatim matches of the items' suffixes.
+
+    Code 0 (a word of no item, or the end of a document) matches nothing.
+    """
+    none = np.zeros((0, 4), dtype=np.int64)
+    if not codes.any() or not len(items.item):
+        return none
+    order = suffix_array(codes)
+    lo, hi = find_suffixes(codes, order, items.suffix, items.seed[items.item])
     n = hi - lo
     which = np.repeat(np.arange(len(n)), n)
     if not len(which):
-        return []
-    start = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-    pos, item, at = order[start], items.at[which, 0], items.at[which, 1]
-    # of the suffixes of one match only the longest: the one whose left neighbour does not match
-    out = []
-    done = set(zip((pos - at).tolist(), item.tolist(), at.tolist()))
-    for p, i, q in zip(pos.tolist(), item.tolist(), at.tolist()):
-        if (p - q, i, q - 1) in done:
-            continue
-        length = items.seed
-        while (p - q, i, q + length - items.seed + 1) in done:
-            length += 1
-        out.append((p, i, q, length))
-    return out
+        return none
+    pos = order[np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)]
+    item, at = items.item[which], items.at[which]
+    # matches of neighbouring suffixes at neighbouring places are one
+    sort = np.lexsort((at, pos - at, item))
+    pos, item, at = pos[sort], item[sort], at[sort]
+    opens = np.ones(len(pos), dtype=bool)
+    opens[1:] = (item[1:] != item[:-1]) | ((pos - at)[1:] != (pos - at)[:-1]) | (at[1:] != at[:-1] + 1)
+    first = np.flatnonzero(opens)
+    runs = np.diff(np.append(first, len(pos)))
+    return np.stack([pos[first], item[first], at[first], runs - 1 + items.seed[item[first]]], axis=1)
 
 
 def _near(a: str, b: str) -> bool:
@@ -158,8 +164,8 @@ def _near(a: str, b: str) -> bool:
     return x[1:] == y[1:] or x[1:] == y or x == y[1:] or (x[:2] == y[1::-1] and x[2:] == y[2:]) or (min(len(a), len(b)) >= 8 and len(x) == len(y) and sum(c != d for c, d in zip(x, y)) <= 2)
 
 
-def coverage(item: list[str], doc: list[str], weight: dict[str, float]) -> tuple[float, int]:
-    """(share of the item's words in the two longest stretches the document carries, words of the longest)."""
+def stretches_of(item: list[str], doc: list[str], weight: dict[str, float]) -> list[tuple[int, float]]:
+    """(words, weight of those that agree) of the item's stretches that the document carries."""
     have = set(item)
     by_letter = defaultdict(list)
     for w in have:
@@ -184,10 +190,9 @@ def coverage(item: list[str], doc: list[str], weight: dict[str, float]) -> tuple
         good = sum(weight.get(item[k], 1.0) for k in matched)
         if good < LEAST_AGREEMENT * total:
             first, last = _best_span(item, matched, first, last, weight)
-        if last - first + 1 >= 5:
-            spans.append(last - first + 1)
-    spans.sort(reverse=True)
-    return (sum(spans[:2]) / max(1, len(item)), spans[0]) if spans else (0.0, 0)
+        if last - first + 1 >= min(5, len(item)):
+            spans.append((last - first + 1, sum(weight.get(item[k], 1.0) for k in matched if first <= k <= last)))
+    return spans
 
 
 def _best_span(item: list[str], matched: set[int], first: int, last: int, weight: dict[str, float]) -> tuple[int, int]:
@@ -214,14 +219,19 @@ def _shard(ids: list, docs: list[list[str]], items: Items) -> list[tuple]:
     found: dict[tuple[int, int], list] = defaultdict(list)
     all_starts = np.array(starts)
     hits = seeds(np.array(codes, dtype=np.int64), items)
-    where = np.searchsorted(all_starts, [h[0] for h in hits], "right") - 1 if hits else []
-    for d, (p, i, q, length) in zip(where, hits):
-        found[(int(d), i)].append((p - starts[int(d)], q, length))
+    where = np.searchsorted(all_starts, hits[:, 0], "right") - 1
+    if len(hits):
+        # pairs whose matches hold enough of the item's weight
+        pair, which = np.unique(np.stack([where, hits[:, 1]], axis=1), axis=0, return_inverse=True)
+        held = np.bincount(which.ravel(), items.weighs(hits[:, 1], hits[:, 2], hits[:, 3]), len(pair))
+        sizes = np.array([len(w) for w in items.words])
+        enough = held >= SEEDED * items.weighs(pair[:, 1], 0, sizes[pair[:, 1]])
+        for k in np.flatnonzero(enough[which.ravel()]):
+            d, (p, i, q, length) = int(where[k]), hits[k].tolist()
+            found[(d, i)].append((p - starts[d], q, length))
     out = []
     for (d, i), runs in found.items():
         item, doc = items.words[i], docs[d]
-        if sum(r[2] for r in runs) < min(2 * items.seed - 1, LEAST_SHARE * len(item)):
-            continue
         # the document's words around the seeds, parts far from any seed left out
         marks = sorted((max(0, p - q - 3 - len(item) // 4), min(len(doc), p - q + len(item) + 3 + len(item) // 4)) for p, q, _ in runs)
         windows: list[list[int]] = []
@@ -230,38 +240,52 @@ def _shard(ids: list, docs: list[list[str]], items: Items) -> list[tuple]:
                 windows[-1][1] = max(b, windows[-1][1])
             else:
                 windows.append([a, b])
-        best, run = 0.0, 0
-        parts = [coverage(item, doc[a:b], items.weight) for a, b in windows]
-        for share, longest in parts:
-            best, run = max(best, share), max(run, longest)
-        if len(parts) > 1 and best < 1:
-            top = sorted((longest / len(item) for _, longest in parts), reverse=True)[:2]
-            best = max(best, min(1.0, sum(top)))
-        if run >= min(LEAST_RUN, len(item)) and best >= LEAST_SHARE - 0.5 / len(item):
-            out.append((ids[d], items.ids[i], round(best, 4), run))
+        spans = sorted((x for a, b in windows for x in stretches_of(item, doc[a:b], items.weight)), reverse=True)[:2]
+        share = min(1.0, sum(n for n, _ in spans) / len(item))
+        carried = sum(w for _, w in spans) / items.weighs(i, 0, len(item))
+        if spans and spans[0][0] >= min(LEAST_RUN, len(item)) and share >= LEAST_SHARE - 0.5 / len(item) and carried >= 0.9 * LEAST_SHARE:
+            out.append((ids[d], items.ids[i], round(share, 4), spans[0][0]))
     return out
 
 
-def leaks(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
+def _frequencies(items: DataFrame) -> tuple[DataFrame, int]:
+    """In how many distinct item texts each word stands: (word, n); and how many such texts there are."""
+
+    def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            found = [words(t) for t in f.text]
+            yield pd.DataFrame({"text": [" ".join(w) for w in found], "words": [sorted(set(w)) for w in found]})
+
+    texts = stage_of(items, "items").write(items.select("text").mapInPandas(split, "text string, words array<string>").where("text <> ''").dropDuplicates(["text"]), "texts")
+    return texts.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n")), texts.count()
+
+
+def leaks(documents: DataFrame, eval_items: DataFrame, items_a_pass: int = ITEMS_A_PASS) -> DataFrame:
     """documents(doc_id, text, ...), eval_items(item_id, text, ...) -> (doc_id, item_id, share, longest_run).
 
     One row per document and item it gives away. Null ids are left out and null or empty texts match nothing;
-    repeated documents are searched each for itself. The items are read in blocks of ITEMS_A_PASS, each of which
+    repeated documents are searched each for itself. The items are read in blocks of items_a_pass, each of which
     goes once over the corpus, so what a task holds is bounded: a block and one shard of SHARD_WORDS words (a
-    longer text makes a shard of its own). No shuffle.
+    longer text makes a shard of its own). Words are weighed over all distinct items, so blocks change no result.
+    No shuffle of the corpus.
     """
     spark = documents.sparkSession
     corpus = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
-    rows = iter(eval_items.where("item_id is not null and text is not null").select("item_id", "text").orderBy("item_id").toLocalIterator())
+    every = eval_items.where("item_id is not null and text is not null").select("item_id", "text")
+    frequencies, total = _frequencies(every)
+    frequencies = stage_of(eval_items, "items").write(frequencies, "words")
+    rows = iter(every.orderBy("item_id").toLocalIterator())
     out = None
     while True:
-        block = [(r.item_id, r.text) for _, r in zip(range(ITEMS_A_PASS), rows)]
+        block = [(r.item_id, r.text) for _, r in zip(range(items_a_pass), rows)]
         if not block and out is not None:
             return out
-        shared = spark.sparkContext.broadcast(block)
+        mine = sorted({w for _, t in block for w in words(t)})
+        asked = spark.createDataFrame([(w,) for w in mine], "word string")
+        shared = spark.sparkContext.broadcast((block, {r.word: r.n for r in frequencies.join(asked, "word").toLocalIterator()}, total))
 
         def search(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            items = Items(shared.value)
+            items = Items(*shared.value)
             ids, docs, size = [], [], 0
             names = ["doc_id", "item_id", "share", "longest_run"]
             for f in frames:
@@ -277,10 +301,15 @@ def leaks(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
 
         part = corpus.mapInPandas(search, "doc_id long, item_id long, share double, longest_run int")
         out = part if out is None else out.unionByName(part)
-        if len(block) < ITEMS_A_PASS:
+        if len(block) < items_a_pass:
             return out
 
 
+def without_leaks(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
+    """The documents that give no item away, with all their columns; rows without an id are kept out."""
+    return documents.where("doc_id is not null").join(leaks(documents, eval_items).select("doc_id").distinct(), "doc_id", "left_anti")
+
+
 def leaked_items(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
     """How often each item leaked: (item_id, documents, most); items that did not leak have 0."""
     found = leaks(documents, eval_items).groupBy("item_id").agg(F.count("*").alias("documents"), F.max("share").alias("most"))

@@ -89,6 +89,10 @@ def p9_items(spark: SparkSession, base: str) -> DataFrame:
     return leaks.leaked_items(read_table(spark, base, "documents"), read_table(spark, base, "eval_items"))
 
 
+def p9_kept(spark: SparkSession, base: str) -> DataFrame:
+    return leaks.without_leaks(read_table(spark, base, "documents"), read_table(spark, base, "eval_items")).select("doc_id")
+
+
 def _subject_tables(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     return read_table(spark, base, "documents"), read_table(spark, base, "subject_labels"), read_table(spark, base, "subjects")
 

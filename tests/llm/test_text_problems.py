@@ -169,10 +169,27 @@ def test_suffix_array_against_brute_force():
 
     rng = random.Random(8)
     codes = np.array([rng.randrange(0, 5) for _ in range(300)])
-    order, keys = leaks.suffix_array(codes, 6, 4)
+    order = leaks.suffix_array(codes)
     padded = list(codes) + [0] * 20
     assert [tuple(padded[i : i + 16]) for i in order] == sorted(tuple(padded[i : i + 16]) for i in range(300))
-    assert list(keys) == sorted(keys)
+    suffix = np.array([[rng.randrange(1, 6) for _ in range(4)] for _ in range(60)])
+    length = np.array([rng.randrange(1, 5) for _ in range(60)])
+    lo, hi = leaks.find_suffixes(codes, order, suffix, length)
+    for a, b, x, n in zip(lo, hi, suffix, length):
+        assert sorted(order[a:b].tolist()) == [i for i in range(300) if padded[i : i + n] == x[:n].tolist()]
+
+
+def test_leaks_do_not_depend_on_blocks_or_copies_of_items(spark):
+    rng = random.Random(5)
+    vocabulary = [f"w{k}" for k in range(60)]
+    items = [(k, " ".join(rng.choice(vocabulary) for _ in range(30)), "s") for k in range(12)]
+    items += [(100 + k, items[0][1], "s") for k in range(5)] + [(200, "", "s"), (201, None, "s"), (None, items[1][1], "s")]
+    docs = [(k, "before " + items[k][1] + " after", "x") for k in range(12)] + [(50, " ".join(rng.choice(vocabulary) for _ in range(300)), "x")]
+    d = spark.createDataFrame(docs, "doc_id long, text string, item_id string")
+    i = spark.createDataFrame(items, "item_id long, text string, suite string")
+    got = [sorted(tuple(r) for r in leaks.leaks(d, i, n).collect()) for n in (1000, 5)]
+    assert got[0] == got[1] and {(r[0], r[1]) for r in got[0]} == {(k, k) for k in range(12)} | {(0, 100 + k) for k in range(5)}
+    assert [r.doc_id for r in leaks.without_leaks(d, i).collect()] == [50]
 
 
 def test_subjects(spark):
