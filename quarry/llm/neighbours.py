@@ -1,8 +1,8 @@
 """Problem 6: the most similar vectors for every vector, by NN-descent in Spark.
 
 The first graph comes from vectors that share a random-projection code. Each round of descent then joins
-neighbours of neighbours: every vector goes to a hub among its neighbours (the least of them under a mixing that
-changes by round), so that vectors with common neighbours meet, and all that meet are compared exactly. Vectors are
+neighbours of neighbours: every vector goes to a hub among its neighbours and their neighbours (the least of them under
+a mixing that changes by round), so that vectors with common surroundings meet, and all that meet are compared exactly. Vectors are
 brought together by sorting and cut into blocks of bounded size, so no code and no hub makes a large group, and no
 pairs are listed but the k best of each vector. Rounds end when few neighbours change.
 """
@@ -142,9 +142,7 @@ def build_graph(prepared: DataFrame, stage: Stage, dimensions: int = DIMENSIONS,
     graph = stage.write(_merged(reduce(DataFrame.unionByName, parts).withColumn("old", F.lit(False)), kept), "graph")
     stage.drop(*parts)
     for r in range(rounds):
-        around = F.concat(F.array("id"), F.slice("nbrs", 1, K))
-        hubs = graph.select("id", _least_mixed(around, r).alias("hub"))
-        met = stage.write(_in_blocks(prepared.select("id", "vec").join(hubs, "id"), "hub", block, dimensions, kept, ranges), f"met{r}")
+        met = stage.write(_in_blocks(prepared.select("id", "vec").join(_hubs(graph, r), "id"), "hub", block, dimensions, kept, ranges), f"met{r}")
         after = stage.write(_merged(graph.drop("fresh").withColumn("old", F.lit(True)).unionByName(met.withColumn("old", F.lit(False))), kept), "graph")
         changed = after.agg(F.avg("fresh")).first()[0] or 0.0
         stage.drop(met, graph)
@@ -154,11 +152,20 @@ def build_graph(prepared: DataFrame, stage: Stage, dimensions: int = DIMENSIONS,
     return graph
 
 
-def _least_mixed(ids: Column, r: int) -> Column:
+def _hubs(graph: DataFrame, r: int) -> DataFrame:
+    """(id, hub): of each vector the least, under a mixing that changes by round, of itself, its neighbours and their neighbours.
+
+    Two vectors have the same hub as often as their surroundings agree. Of a neighbour only its own least is
+    joined, so no list of neighbours of neighbours is made, and a vector goes to one hub however popular that is.
+    """
+
     def mixed(x: Column) -> Column:
-        return F.xxhash64(x, F.lit(r))
+        return F.struct(F.xxhash64(x, F.lit(r)).alias("h"), x.alias("hub"))
 
-    return F.array_min(F.transform(ids, mixed))
+    around = F.concat(F.array("id"), F.slice("nbrs", 1, K))
+    least = graph.select("id", F.array_min(F.transform(around, mixed)).alias("least"), around.alias("around"))
+    further = least.select("id", F.explode("around").alias("via")).join(least.select(F.col("id").alias("via"), "least"), "via")
+    return further.groupBy("id").agg(F.min("least").alias("least")).select("id", "least.hub")
 
 
 def nearest(vectors: DataFrame, k: int = K, dimensions: int = DIMENSIONS, block: int = BLOCK, rounds: int = ROUNDS) -> DataFrame:
@@ -171,14 +178,24 @@ def nearest(vectors: DataFrame, k: int = K, dimensions: int = DIMENSIONS, block:
     """
     stage = stage_of(vectors, "neighbours")
     prepared = stage.write(_prepared(vectors, dimensions), "vectors")
-    keyed = prepared.select("id", F.xxhash64("vec").alias("h"), F.xxhash64("vec", F.lit(1)).alias("g"))
-    groups = keyed.groupBy("h", "g").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1")
-    copies = stage.write(keyed.join(groups.drop("n"), ["h", "g"]).select("id", "rep"), "copies")
-    distinct = prepared.join(copies.where("id <> rep").select("id"), "id", "left_anti")
+    distinct, copies = _distinct(prepared, stage)
     graph = build_graph(distinct, stage, dimensions, block, rounds)
     edges = graph.select(F.col("id").alias("rep"), F.explode(F.arrays_zip(F.slice("nbrs", 1, k).alias("n"), F.slice("sims", 1, k).alias("s"))).alias("e")).select(
         "rep", F.col("e.n").alias("other_rep"), F.col("e.s").alias("cosine")
     )
+    return _with_copies(edges, copies, k)
+
+
+def _distinct(prepared: DataFrame, stage: Stage) -> tuple[DataFrame, DataFrame]:
+    """The prepared vectors without copies, and the copies as (id, rep), rep being the smallest id with that vector."""
+    keyed = prepared.select("id", F.xxhash64("vec").alias("h"), F.xxhash64("vec", F.lit(1)).alias("g"))
+    groups = keyed.groupBy("h", "g").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1")
+    copies = stage.write(keyed.join(groups.drop("n"), ["h", "g"]).select("id", "rep"), "copies")
+    return prepared.join(copies.where("id <> rep").select("id"), "id", "left_anti"), copies
+
+
+def _with_copies(edges: DataFrame, copies: DataFrame, k: int) -> DataFrame:
+    """edges(rep, other_rep, cosine) between distinct vectors -> (id, other, cosine): the k best rows of each row with that vector."""
     # a group's first k + 1 ids; the window's limit is applied before the shuffle, so a hot group never gathers
     place = F.row_number().over(Window.partitionBy("rep").orderBy("id"))
     few = copies.withColumn("place", place).where(F.col("place") <= k + 1).groupBy("rep").agg(F.array_sort(F.collect_list("id")).alias("few"))
@@ -200,8 +217,8 @@ def similar_pairs(vectors: DataFrame, k: int = K) -> DataFrame:
     return nearest(vectors, k).select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()
 
 
-#: Greedy search: nodes every query starts from, and of each bucket it falls into, candidates it keeps, and rounds at most.
-ENTRIES, NEAR_ENTRIES, BEAM, HOPS = 128, 12, 64, 16
+#: Greedy search: nodes every query starts from, and of each bucket it falls into, and candidates it keeps.
+ENTRIES, NEAR_ENTRIES, BEAM = 128, 12, 64
 #: Neighbours in a graph to search: enough to leave a tight cluster.
 LINKS = 24
 
@@ -210,14 +227,16 @@ def greedy_search(queries: DataFrame, vectors: DataFrame, graph: DataFrame, k: i
     """queries(id, embedding), vectors(id, embedding), graph(id, nbrs) -> (id, other, cosine): the k best by greedy graph search.
 
     All queries walk together: each keeps its BEAM best nodes, opens those not opened yet, and joins their
-    neighbours, forwards and back, until none of a query's best k is unopened (HOPS rounds at most). Queries start
-    from ENTRIES nodes of least hash, which every task holds, and from NEAR_ENTRIES nodes of each bucket they fall into. A query's own row is no answer; unusable vectors
+    neighbours, forwards and back (of the links back to a popular node LINKS, by hash), until none of a query's
+    best k is unopened. Queries start from ENTRIES nodes of least hash, which every task holds, and from NEAR_ENTRIES nodes of each bucket they fall into. A query's own row is no answer; unusable vectors
     take no part.
     """
     stage = stage_of(vectors, "search")
     base = stage.write(vectors.where(F.col("id").isNotNull() & usable(F.col("embedding"), dimensions)).select(F.col("id").alias("node"), F.col("embedding").alias("v")), "base")
     links = graph.select(F.col("id").alias("a"), F.explode("nbrs").alias("b"))
-    links = stage.write(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    few = F.row_number().over(Window.partitionBy("a").orderBy(F.xxhash64("b"), "b"))
+    back = links.select(F.col("b").alias("a"), F.col("a").alias("b")).withColumn("p", few).where(F.col("p") <= LINKS).drop("p")
+    links = stage.write(links.unionByName(back).distinct(), "links")
     asked = stage.write(queries.where(F.col("id").isNotNull() & usable(F.col("embedding"), dimensions)).select("id", F.col("embedding").alias("q")), "asked")
 
     @F.pandas_udf("double")
@@ -247,7 +266,7 @@ def greedy_search(queries: DataFrame, vectors: DataFrame, graph: DataFrame, k: i
     first = first.unionByName(near_first).groupBy("id", "node").agg(F.max("s").alias("s"), F.min("opened").alias("opened"))
     order = Window.partitionBy("id").orderBy(F.desc("s"), "node")
     beam = stage.write(first.withColumn("p", F.row_number().over(order)).where(F.col("p") <= BEAM), "beam")
-    for _ in range(HOPS):
+    while True:
         opening = beam.where((F.col("p") <= k + 3) & ~F.col("opened"))
         if opening.isEmpty():
             break
@@ -269,8 +288,17 @@ def _buckets(prepared: DataFrame, bits: int) -> DataFrame:
 
 
 def search_queries(vectors: DataFrame, k: int = K) -> DataFrame:
-    """greedy_search for every row whose id is divisible by 100, against all rows."""
+    """greedy_search for every row whose id is divisible by 100, against all rows: (id, other, cosine).
+
+    The graph and the search know each vector once; its copies are answers and queries of their own.
+    """
     stage = stage_of(vectors, "graph")
     prepared = stage.write(_prepared(vectors, DIMENSIONS), "vectors")
-    graph = build_graph(prepared, stage, kept=LINKS).select("id", "nbrs")
-    return greedy_search(vectors.where(F.col("id") % 100 == 0).select("id", "embedding"), vectors, graph, k)
+    distinct, copies = _distinct(prepared, stage)
+    distinct = stage.write(distinct, "distinct")
+    graph = build_graph(distinct, stage, kept=LINKS).select("id", "nbrs")
+    query = (F.col("id") % 100) == 0
+    reps = distinct.where(query).select("id").unionByName(copies.where(query).select(F.col("rep").alias("id"))).distinct()
+    once = vectors.select("id", "embedding").join(distinct.select("id"), "id", "left_semi")
+    found = greedy_search(once.join(reps, "id", "left_semi"), once, graph, k)
+    return _with_copies(found.select(F.col("id").alias("rep"), F.col("other").alias("other_rep"), "cosine"), copies, k).where(query)
