@@ -97,72 +97,15 @@ def difference(sizes: list[int], k: int) -> list[list[int]]:
 
 
 def fill(sizes: list[int], capacity: int) -> list[list[int]]:
-    """Windows of item indices, none over the capacity: the count of windows rises until differencing fits.
-
-    Then windows with much space take items of the emptiest ones while that frees a whole window.
-    """
-    total = sum(sizes)
+    """Windows of item indices, none over the capacity: from the least count that could do, the count rises until differencing fits."""
     if not sizes:
         return []
-    k = max(1, -(-total // capacity), sum(2 * s > capacity for s in sizes))
+    k = max(1, -(-sum(sizes) // capacity), sum(2 * s > capacity for s in sizes))
     while True:
         sets = difference(sizes, k)
-        sums = [sum(sizes[i] for i in x) for x in sets]
-        if max(sums) <= capacity:
-            break
-        # windows over capacity give up their smallest items first to windows with space
-        fixed = _mended(sets, sizes, capacity)
-        if fixed is not None:
-            sets = fixed
-            break
-        k += max(1, k // 64)
-    sets = [x for x in sets if x]
-    return _closed(sets, sizes, capacity)
-
-
-def _mended(sets: list[list[int]], sizes: list[int], capacity: int) -> list[list[int]] | None:
-    """The sets with what exceeds the capacity moved to where it fits best, or None."""
-    sets = [list(x) for x in sets]
-    sums = [sum(sizes[i] for i in x) for x in sets]
-    loose = []
-    for j, x in enumerate(sets):
-        x.sort(key=lambda i: sizes[i])
-        while sums[j] > capacity:
-            # the smallest item that brings it under, else the largest
-            over = sums[j] - capacity
-            pick = next((i for i in x if sizes[i] >= over), x[-1])
-            x.remove(pick)
-            sums[j] -= sizes[pick]
-            loose.append(pick)
-    for i in sorted(loose, key=lambda i: -sizes[i]):
-        room = [(capacity - sums[j], j) for j in range(len(sets)) if capacity - sums[j] >= sizes[i]]
-        if not room:
-            return None
-        j = min(room)[1]
-        sets[j].append(i)
-        sums[j] += sizes[i]
-    return sets
-
-
-def _closed(sets: list[list[int]], sizes: list[int], capacity: int) -> list[list[int]]:
-    """Empties windows whose items all fit elsewhere, from the emptiest on."""
-    sets = [list(x) for x in sets]
-    while len(sets) > 1:
-        sums = [sum(sizes[i] for i in x) for x in sets]
-        j = min(range(len(sets)), key=lambda q: sums[q])
-        left = {q: capacity - sums[q] for q in range(len(sets)) if q != j}
-        moves = []
-        for i in sorted(sets[j], key=lambda i: -sizes[i]):
-            fits = [(r, q) for q, r in left.items() if r >= sizes[i]]
-            if not fits:
-                return sets
-            _, q = min(fits)
-            left[q] -= sizes[i]
-            moves.append((i, q))
-        for i, q in moves:
-            sets[q].append(i)
-        del sets[j]
-    return sets
+        if max(sum(sizes[i] for i in x) for x in sets) <= capacity:
+            return [x for x in sets if x]
+        k += 1
 
 
 #: Container kinds at most; they are read into the plan.
@@ -220,8 +163,8 @@ def pack(documents: DataFrame, kinds: DataFrame, path: str | None = None) -> Dat
 def fill_report(documents: DataFrame, kinds: DataFrame, path: str | None = None) -> DataFrame:
     """(container_kind, containers, tokens, fullness, at_least): how full the containers are, and the fewest that could hold the tokens."""
     p = pack(documents, kinds, path).groupBy("container_kind", "container").agg(F.sum("tokens").alias("t"))
-    c = kinds.groupBy("container_kind").agg(F.min("capacity_tokens").alias("capacity"))
+    c = kinds.where("container_kind is not null and capacity_tokens > 0").groupBy("container_kind").agg(F.min("capacity_tokens").alias("capacity"))
     return (
-        p.join(F.broadcast(c.limit(1000)), "container_kind").groupBy("container_kind")
+        p.join(c, "container_kind").groupBy("container_kind")
         .agg(F.count("*").alias("containers"), F.sum("t").alias("tokens"), F.round(F.sum("t") / F.sum("capacity"), 6).alias("fullness"), F.ceil(F.sum("t") / F.max("capacity")).alias("at_least"))
     )
