@@ -7,6 +7,8 @@ every turn its root and its depth in as many joins as the longest conversation's
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,33 +42,31 @@ def pointer_jump(links: DataFrame, stage: Stage | None = None) -> DataFrame:
         )
     )
     state = own.write(start, "forest")
-    open_rows = state.where(F.col("root").isNull()).limit(1)
+    # only rows that have not arrived are written anew; the others stay in the table of the round they arrived in
+    settled, waiting = [state.where(F.col("root").isNotNull())], state.where(F.col("root").isNull())
     total = None
     for jump in range(MAX_JUMPS):
-        if open_rows.isEmpty():
+        if waiting.isEmpty():
             break
         if total is None:
             total = state.count()
         if (1 << jump) > total:
             break  # longer than any path without a repeat: what is left are cycles
-        via = state.select(
+        via = reduce(DataFrame.unionByName, [*settled, waiting]).select(
             F.col("id").alias("up"), F.col("root").alias("r"), F.col("depth").alias("d"), F.col("orphan").alias("o"),
             F.col("up").alias("u"), F.col("span").alias("s"),
         )
-        waiting = state.where(F.col("root").isNull())
-        moved = waiting.join(via, "up").select(
+        moved = own.write(waiting.join(via, "up").select(
             "id",
             F.col("r").alias("root"),
             (F.col("span") + F.col("d")).alias("depth"),
             F.coalesce(F.col("o"), F.lit(False)).alias("orphan"),
             F.when(F.col("r").isNull(), F.col("u")).alias("up"),
             (F.col("span") + F.col("s")).alias("span"),
-        )
-        done = state.where(F.col("root").isNotNull())
-        new = own.write(done.unionByName(moved), "forest")
-        own.drop(state)
-        state = new
-        open_rows = state.where(F.col("root").isNull()).limit(1)
+        ), "forest")
+        settled.append(moved.where(F.col("root").isNotNull()))
+        waiting = moved.where(F.col("root").isNull())
+    state = reduce(DataFrame.unionByName, [*settled, waiting])
     return state.select(
         "id", "root", F.when(F.col("root").isNotNull(), F.col("depth")).alias("depth"),
         F.when(F.col("root").isNull(), "cycle").when(F.col("orphan"), "orphan").otherwise("rooted").alias("state"),
