@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from quarry.functions.text import language_of, lines
 
 WINDOW, OVERLAP = 30, 5
-MAX_BYTES, MAX_SIGNATURE = 3100, 300
+#: Bytes of a chunk at most, and of the header that later pieces begin with.
+MAX_BYTES, MAX_HEADER = 3100, 300
 
 
 def line_windows(files: DataFrame) -> DataFrame:
@@ -40,48 +41,64 @@ def cut_bytes(text: str, limit: int) -> str:
     return raw[:limit].decode("utf-8", "ignore")
 
 
-def fit_budget(name: str, content: str, start_line: int, signature: str, limit: int = MAX_BYTES) -> list[tuple[str, str, int, int]]:
-    """(name, content, start, end) of the pieces of a chunk: whole lines up to the limit; later pieces say what they continue."""
+def fit_budget(name: str, content: str, start_line: int, limit: int = MAX_BYTES) -> list[tuple[str, str, int, int]]:
+    """(name, content, start, end) of the pieces of a chunk: whole lines up to the limit; later pieces say what they continue.
+
+    A line too long for a piece goes on in the next one, so the pieces without their headers hold the whole text.
+    """
     rows = content.split("\n")
     if len(content.encode()) <= limit:
         return [(name, content, start_line, start_line + len(rows) - 1)]
-    header = f"// ... continued from {name}\n{cut_bytes(signature, MAX_SIGNATURE)}\n"
-    out: list[tuple[str, str, int, int]] = []
-    at = 0
-    while at < len(rows):
-        head = header if out else ""
-        room = max(1, limit - len(head.encode()))
-        piece, size, first = [], 0, at
-        while at < len(rows):
-            more = len(rows[at].encode()) + (1 if piece else 0)
-            if size + more > room:
-                break
-            piece.append(rows[at])
-            size += more
-            at += 1
-        if not piece:  # one line alone is too long
-            piece = [cut_bytes(rows[at], room)]
-            at += 1
-        a, b = start_line + first, start_line + at - 1
-        out.append((f"{name}-part-{a}-{b}", head + "\n".join(piece), a, b))
-    return out
-
-
-_FITTED = "file_path string, language string, name string, chunk_type string, content string, start_line int, end_line int"
+    header = cut_bytes(f"// ... continued from {name}\n{next((x.strip() for x in rows if x.strip()), '')}", min(MAX_HEADER, limit // 2)) + "\n"
+    room = limit - len(header.encode())
+    parts: list[tuple[int, str]] = []
+    for k, row in enumerate(rows):
+        while len(row.encode()) > room:
+            head = cut_bytes(row, room) or row[:1]
+            parts.append((start_line + k, head))
+            row = row[len(head) :]
+        parts.append((start_line + k, row))
+    pieces: list[list[tuple[int, str]]] = []
+    size = 0
+    for line, text in parts:
+        n = len(text.encode())
+        goes_on = pieces and pieces[-1][-1][0] == line
+        if pieces and not goes_on and size + 1 + n <= room:
+            pieces[-1].append((line, text))
+            size += 1 + n
+        else:
+            pieces.append([(line, text)])
+            size = n
+    return [(f"{name}-part-{x[0][0]}-{x[-1][0]}", (header if k else "") + "\n".join(t for _, t in x), x[0][0], x[-1][0]) for k, x in enumerate(pieces)]
+
+
+_FITTED = "file_path string, language string, name string, chunk_type string, content string, start_line int, end_line int, piece int"
 
 
 def fit_chunks(chunks: DataFrame, limit: int = MAX_BYTES) -> DataFrame:
-    """Chunks whose content is over the byte limit in pieces, others as they are; null contents are left out."""
+    """Chunks whose content is over the byte limit in pieces (piece counts from 1), others as they are; null contents are left out."""
     columns = [c.split()[0] for c in _FITTED.split(", ")]
 
     def fit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows = []
             for r in f.itertuples(index=False):
-                signature = next((x.strip() for x in r.content.split("\n") if x.strip() and not x.strip().startswith("//")), "")
-                rows += [(r.file_path, r.language, n, r.chunk_type, c, a, b) for n, c, a, b in fit_budget(r.name or "", r.content, int(r.start_line), signature, limit)]
+                rows += [(r.file_path, r.language, n, r.chunk_type, c, a, b, k) for k, (n, c, a, b) in enumerate(fit_budget(r.name or "", r.content, int(r.start_line), limit), 1)]
             yield pd.DataFrame(rows, columns=columns)
 
-    small = chunks.where(F.octet_length("content") <= limit).select(*columns)
-    large = chunks.where((F.octet_length("content") > limit) & F.col("start_line").isNotNull()).select(*columns).mapInPandas(fit, _FITTED)
+    small = chunks.where(F.octet_length("content") <= limit).select(*columns[:-1], F.lit(1).alias("piece"))
+    large = chunks.where((F.octet_length("content") > limit) & F.col("start_line").isNotNull()).select(*columns[:-1]).mapInPandas(fit, _FITTED)
     return small.unionByName(large)
+
+
+def rejoined(pieces: DataFrame, key: str = "file_path") -> DataFrame:
+    """(key, content): what fit_chunks cut, put together again without the headers of later pieces."""
+    body = F.when(F.col("piece") > 1, F.regexp_replace("content", r"^// \.\.\. continued from [^\n]*\n[^\n]*\n", "")).otherwise(F.col("content"))
+    parts = F.array_sort(F.collect_list(F.struct("piece", "start_line", "end_line", body.alias("body"))))
+    start = F.struct(F.lit("").alias("text"), F.lit(0).alias("line"))
+    joined = F.aggregate(
+        "parts", start,
+        lambda s, x: F.struct(F.concat(s["text"], F.when((x["piece"] > 1) & (x["start_line"] != s["line"]), "\n").otherwise(""), x["body"]).alias("text"), x["end_line"].alias("line")),
+        lambda s: s["text"],
+    )
+    return pieces.groupBy(key).agg(parts.alias("parts")).select(key, joined.alias("content"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 import ast
 import re
 import warnings
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -93,7 +94,8 @@ def _python(text: str, rows: list[str]) -> tuple[list[Found], list[tuple[str, in
 
 def _braced(language: str, text: str, rows: list[str]) -> tuple[list[Found], list[tuple[str, int, str]]]:
     blank = _STRINGS.sub(lambda m: re.sub(r"[^\n]", " ", m.group()), text)
-    line_of = lambda i: blank.count("\n", 0, i) + 1
+    ends = [m.start() for m in re.finditer("\n", blank)]
+    line_of = lambda i: bisect_left(ends, i) + 1
     close: dict[int, int] = {}
     stack: list[int] = []
     for m in re.finditer(r"[{}]", blank):
@@ -118,13 +120,21 @@ def _braced(language: str, text: str, rows: list[str]) -> tuple[list[Found], lis
             continue
         end = close.get(brace, len(blank) - 1)
         found.append((begin, end, Found(name, kind, g.get("parent"), _above(rows, line_of(begin)), line_of(end), line_of(brace), kind in _CONTAINERS)))
-    for begin, end, f in found:
-        holders = [(b, e, h) for b, e, h in found if h.container and b < begin and e >= end]
-        if holders and f.parent is None:
-            f.parent = max(holders)[2].name
-    inside = [(b, e) for b, e, f in found if not f.container]
-    out = [f for b, e, f in found if f.kind != "mod" and not any(x < b and y >= e for x, y in inside)]
-    refs = [(m.group(1), line_of(m.start(1)), "call") for m in _CALL.finditer(blank) if m.group(1) not in _NO_CALL and not re.search(r"\b(fn|func|function|def|class)\s+$", blank[max(0, m.start() - 12) : m.start(1)]) and not any(b <= m.start(1) <= b + 200 and f.name == m.group(1) and line_of(m.start(1)) <= f.body for b, _, f in found)]
+    # nested spans, outermost first: the innermost open container holds, an open function hides
+    out: list[Found] = []
+    open_spans: list[tuple[int, Found]] = []
+    for begin, end, f in sorted(found, key=lambda x: (x[0], -x[1])):
+        while open_spans and open_spans[-1][0] < end:
+            open_spans.pop()
+        if f.parent is None:
+            f.parent = next((h.name for _, h in reversed(open_spans) if h.container), None)
+        if f.kind != "mod" and all(h.container for _, h in open_spans):
+            out.append(f)
+        open_spans.append((end, f))
+    heads: dict[str, list[tuple[int, int]]] = {}
+    for begin, _, f in found:
+        heads.setdefault(f.name, []).append((begin, f.body))
+    refs = [(m.group(1), line_of(m.start(1)), "call") for m in _CALL.finditer(blank) if m.group(1) not in _NO_CALL and not re.search(r"\b(fn|func|function|def|class)\s+$", blank[max(0, m.start() - 12) : m.start(1)]) and not any(b <= m.start(1) <= b + 200 and line_of(m.start(1)) <= body for b, body in heads.get(m.group(1), ()))]
     for m in _IMPORTS[language].finditer(text):
         words = re.findall(r"[A-Za-z_$][\w$]*", m.group(1).rsplit("/", 1)[-1] if language == "go" else re.sub(r"^.*[.:](?=[\w*]+$)", "", m.group(1)) if language == "java" else m.group(1))
         refs += [(w, line_of(m.start(1)), "import") for w in words if w not in ("as", "self", "crate", "super", "type", "static")]
@@ -177,7 +187,7 @@ def parse_source(path: str, content: str) -> tuple[list[tuple], list[tuple]]:
         if f.container:
             skeleton = _skeleton(f, [m for m in found if m.parent == f.name and not m.container and f.start <= m.start and m.end <= f.end], rows, language == "python")
             whole = skeleton if len(skeleton.encode()) <= MAX_BYTES else whole
-        for name, piece, a, b in fit_budget(f.name, whole, f.start, signature):
+        for name, piece, a, b in fit_budget(f.name, whole, f.start):
             chunks.append((language, name, f.kind, f.parent, piece, a, min(b, f.end) if name != f.name else f.end))
     if found:
         first = min(f.start for f in found)
@@ -189,7 +199,7 @@ def parse_source(path: str, content: str) -> tuple[list[tuple], list[tuple]]:
     else:
         for s in range(0, max(1, len(rows) - OVERLAP), WINDOW - OVERLAP):
             e = min(s + WINDOW, len(rows))
-            for name, piece, a, b in fit_budget(f"lines-{s + 1}-{e}", "\n".join(rows[s:e]), s + 1, ""):
+            for name, piece, a, b in fit_budget(f"lines-{s + 1}-{e}", "\n".join(rows[s:e]), s + 1):
                 chunks.append((language, name, "general", None, piece, a, b))
     kept = [r for k, r in enumerate(refs) if k == 0 or refs[k - 1] != r]
     return chunks, kept
@@ -199,24 +209,44 @@ _CHUNKS = "file_path string, language string, name string, chunk_type string, pa
 _REFS = "symbol_name string, file_path string, line int, kind string"
 
 
-def structural_chunks(files: DataFrame) -> DataFrame:
-    """files(relative_path, content) -> chunks, parsed where the files are read; null contents give none."""
+def parse_files(files: DataFrame) -> DataFrame:
+    """files(relative_path, content) -> chunks and references from one parse of each file, told apart by `kind`: null for a chunk.
+
+    Parsed where the files are read; null paths and contents give none.
+    """
+    names = [x.split()[0] for x in f"{_CHUNKS}, symbol_name string, line int, kind string".split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield pd.DataFrame([(p, *c) for p, t in zip(f.relative_path, f.content) for c in parse_source(p, t)[0]], columns=[x.split()[0] for x in _CHUNKS.split(", ")])
+            rows: list[tuple] = []
+            for p, t in zip(f.relative_path, f.content):
+                chunks, refs = parse_source(p, t)
+                rows += [(p, *c, None, None, None) for c in chunks]
+                rows += [(p, None, None, None, None, None, None, None, *r) for r in refs]
+            out = pd.DataFrame(rows, columns=names)
+            for c in ("start_line", "end_line", "line"):
+                out[c] = out[c].astype("Int32")
+            yield out
 
-    return files.where("relative_path is not null and content is not null").select("relative_path", "content").mapInPandas(run, _CHUNKS)
+    return files.where("relative_path is not null and content is not null").select("relative_path", "content").mapInPandas(run, f"{_CHUNKS}, symbol_name string, line int, kind string")
 
 
-def references(files: DataFrame) -> DataFrame:
-    """files(relative_path, content) -> (symbol_name, file_path, line, kind): calls and imports."""
+def chunks_of(parsed: DataFrame) -> DataFrame:
+    return parsed.where("kind is null").select(*[x.split()[0] for x in _CHUNKS.split(", ")])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield pd.DataFrame([(s, p, n, k) for p, t in zip(f.relative_path, f.content) for s, n, k in parse_source(p, t)[1]], columns=[x.split()[0] for x in _REFS.split(", ")])
 
-    return files.where("relative_path is not null and content is not null").select("relative_path", "content").mapInPandas(run, _REFS)
+def references_of(parsed: DataFrame) -> DataFrame:
+    return parsed.where("kind is not null").select(*[x.split()[0] for x in _REFS.split(", ")])
+
+
+def structural_chunks(files: DataFrame) -> DataFrame:
+    """files(relative_path, content) -> chunks; null contents give none."""
+    return chunks_of(parse_files(files))
+
+
+def references(files: DataFrame) -> DataFrame:
+    """files(relative_path, content) -> (symbol_name, file_path, line, kind): calls and imports."""
+    return references_of(parse_files(files))
 
 
 def register(spark) -> None:

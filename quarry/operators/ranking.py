@@ -21,12 +21,13 @@ QUERY_BLOCK = 2000
 def score_all(vectors: DataFrame, query: list[float] | Column) -> DataFrame:
     """vectors(id, file_path, embedding) -> (id, score): cosine with the query, clamped to 0..1, less for test files.
 
-    Vectors of another length or without length score null and are left out.
+    Null vectors and those of length zero are left out; one with other dimensions than the query's is an error.
     """
     q = query if isinstance(query, Column) else F.array(*(F.lit(float(x)) for x in query))
     cosine = dot(F.col("embedding"), q) / (norm(F.col("embedding")) * norm(q))
     penalty = F.when(is_test_file(F.col("file_path")), TEST_PENALTY).otherwise(1.0)
-    usable = (norm(F.col("embedding")) > 0) & (F.size("embedding") == F.size(q))
+    fits = F.when(F.col("embedding").isNull() | (F.size("embedding") == F.size(q)), F.lit(True)).otherwise(F.raise_error(F.lit("the index holds vectors with other dimensions than the question's")))
+    usable = (norm(F.col("embedding")) > 0) & fits
     return vectors.where(usable).select("id", clamped_score(cosine, penalty).alias("score")).where("not isnan(score)")
 
 
@@ -100,8 +101,14 @@ def merge_workspace(results: DataFrame, limit: int) -> DataFrame:
     Matches by score, the first `limit`; then at most MAX_SUPPORTING definitions found through calls. Ties by
     project and id.
     """
-    w = Window.partitionBy("query_id", "found_via_calls").orderBy(F.desc("score"), "project", "id")
-    kept = results.withColumn("place", F.row_number().over(w)).where(F.col("place") <= F.when(F.col("found_via_calls"), MAX_SUPPORTING).otherwise(limit))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "project", "id")
+
+    def first(rows: DataFrame, n: int) -> DataFrame:
+        # a constant limit: every task keeps no more than n rows a query before the shuffle
+        return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
+
+    via = F.coalesce("found_via_calls", F.lit(False))
+    kept = first(results.where(~via), limit).unionByName(first(results.where(via), MAX_SUPPORTING))
     order = Window.partitionBy("query_id").orderBy("found_via_calls", "place")
     return kept.withColumn("rank", F.row_number().over(order)).drop("place")
 

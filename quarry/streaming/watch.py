@@ -12,7 +12,8 @@ from pyspark.sql.streaming import StreamingQuery
 from quarry.operators.plan import plan_index
 from quarry.sources.walker import walk
 
-GAP, LATENESS = "800 milliseconds", "2 seconds"
+#: What ends a burst, how late events may come, and seconds of a slice of time.
+GAP, LATENESS, SLICE = "800 milliseconds", "2 seconds", 3600
 # Kinds of events after which files may differ.
 RELEVANT = ("create", "remove", "modify", "rename")
 
@@ -27,11 +28,20 @@ def bursts(events: DataFrame, is_relevant: Column, gap: str = GAP, keys: tuple[s
     """events(ts, ...) -> (keys, started, ended, events, relevant): sessions closed by a gap.
 
     Any event extends a burst, but one without a relevant event is none; a burst starts at its first relevant
-    event. Works on tables and, with a watermark on ts, on streams.
+    event. Works on tables and, with a watermark on ts, on streams. A table is cut into slices of time first: each
+    slice finds its bursts alone, and only those, a few rows each, meet to be joined across the cuts.
     """
     marked = events.withColumn("hit", F.coalesce(is_relevant, F.lit(False)))
-    g = marked.groupBy(*keys, F.session_window("ts", gap).alias("w"))
-    out = g.agg(F.min(F.when(F.col("hit"), F.col("ts"))).alias("started"), F.max("ts").alias("ended"), F.count("*").alias("events"), F.count_if("hit").alias("relevant"))
+    kept = [F.min(F.when(F.col("hit"), F.col("ts"))).alias("started"), F.min("ts").alias("began"), F.max("ts").alias("ended"), F.count("*").alias("events"), F.count_if("hit").alias("relevant")]
+    if events.isStreaming:
+        out = marked.groupBy(*keys, F.session_window("ts", gap).alias("w")).agg(*kept)
+    else:
+        pieces = marked.groupBy(*keys, F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / (SLICE * 1_000_000)).alias("slice"), F.session_window("ts", gap).alias("w")).agg(*kept)
+        # each piece reaches from its first event to a gap after its last
+        reach = F.concat((F.unix_micros((F.col("ended") + F.expr(f"interval {gap}")).cast("timestamp")) - F.unix_micros(F.col("began").cast("timestamp"))).cast("string"), F.lit(" microseconds"))
+        out = pieces.groupBy(*keys, F.session_window("began", reach).alias("w")).agg(
+            F.min("started").alias("started"), F.max("ended").alias("ended"), F.sum("events").alias("events"), F.sum("relevant").alias("relevant")
+        )
     return out.where("relevant > 0").select(*keys, "started", "ended", "events", "relevant")
 
 

@@ -75,11 +75,15 @@ def test_budget():
     rng = random.Random(1)
     for _ in range(40):
         text = "\n".join(rng.choice("aé漢") * rng.randrange(0, 900) for _ in range(rng.randrange(1, 30)))
-        pieces = chunking.fit_budget("f", text, 7, "fn f()", 1000)
+        pieces = chunking.fit_budget("f", text, 7, 1000)
         assert all(len(c.encode()) <= 1000 for _, c, _, _ in pieces)
         assert pieces[0][2] == 7 and pieces[-1][3] == 7 + text.count("\n")
-        assert all(a[3] + 1 == b[2] for a, b in zip(pieces, pieces[1:]))
-    assert chunking.fit_budget("f", "x", 1, "") == [("f", "x", 1, 1)]
+        assert all(b[2] - a[3] in (0, 1) for a, b in zip(pieces, pieces[1:]))
+        bodies = [c if k == 0 else c.split("\n", 2)[2] for k, (_, c, _, _) in enumerate(pieces)]
+        whole = bodies[0] + "".join(("" if a[3] == b[2] else "\n") + x for a, b, x in zip(pieces, pieces[1:], bodies[1:]))
+        assert whole == text
+    assert chunking.fit_budget("f", "x", 1) == [("f", "x", 1, 1)]
+    assert [c[0] for c in chunking.fit_budget("m", "y" * 7000, 1)] == ["m-part-1-1"] * 3
     assert chunking.cut_bytes("éé", 3) == "é"
 
 
@@ -147,8 +151,11 @@ def test_ranking(spark):
     fused = ranking.fuse([r(10, 20, 30), r(40, 20)], 3)
     assert [(x.id, x.rank) for x in fused.orderBy("rank").collect()] == [(20, 1), (10, 2), (40, 3)]
     v = spark.createDataFrame([(1, "src/a.rs", [1.0, 0.0]), (2, "tests/test_a.rs", [1.0, 0.0]), (3, "b", [-1.0, 0.0]), (4, "c", [0.0, 0.0]), (5, "d", [1.0]), (6, "e", None)], "id long, file_path string, embedding array<float>")
-    assert rows(ranking.score_all(v, [2.0, 0.0])) == [(1, 1.0), (2, 0.8), (3, 0.0)]
-    assert [x.id for x in ranking.top_k(ranking.score_all(v, [2.0, 0.0]), 2).collect()] == [1, 2]
+    fit = v.where("id <> 5")
+    assert rows(ranking.score_all(fit, [2.0, 0.0])) == [(1, 1.0), (2, 0.8), (3, 0.0)]
+    with pytest.raises(Exception, match="other dimensions"):
+        ranking.score_all(v, [2.0, 0.0]).collect()
+    assert [x.id for x in ranking.top_k(ranking.score_all(fit, [2.0, 0.0]), 2).collect()] == [1, 2]
     q = spark.createDataFrame([(7, [1.0, 0.0]), (8, None)], "query_id long, embedding array<float>")
     got = ranking.block_top_k(q, v, 2, 2)
     assert [(x.query_id, x.id, x.rank) for x in got.orderBy("rank").collect()] == [(7, 1, 1), (7, 2, 2)]
