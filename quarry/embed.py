@@ -14,8 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, StringType, StructField, StructType
 
+from quarry.config import Config, may_send
 from quarry.functions.porter import tokens
-from quarry.functions.text import embed_text
+from quarry.functions.text import embed_text, task_prefixes
 
 BATCH, MAX_FAILURES = 8, 10
 
@@ -26,6 +27,14 @@ class Embedder(Protocol):
 
     def embed(self, texts: list[str]) -> list[list[float]]: ...
 
+    def embed_query(self, text: str) -> list[float]: ...
+
+
+class Generator(Protocol):
+    name: str
+
+    def generate(self, prompt: str) -> str: ...
+
 
 class HashingEmbedder:
     """Signed hashes of stems and of pairs of stems: deterministic, without a model or a network."""
@@ -47,20 +56,56 @@ class HashingEmbedder:
                 row /= n
         return out.tolist()
 
+    def embed_query(self, text: str) -> list[float]:
+        return self.embed([text])[0]
+
 
 class HttpEmbedder:
-    """A model server that answers POST /api/embed {model, input} with {embeddings}."""
+    """A model server that answers POST /api/embed {model, input} with {embeddings}; texts get the model's task prefix."""
 
     def __init__(self, url: str, name: str, dimensions: int, timeout: float = 300):
         self.url, self.name, self.dimensions, self.timeout = url, name, dimensions, timeout
 
     def embed(self, texts: list[str]) -> list[list[float]]:
+        return self._send([task_prefixes(self.name)[0] + t for t in texts])
+
+    def embed_query(self, text: str) -> list[float]:
+        return self._send([task_prefixes(self.name)[1] + text])[0]
+
+    def _send(self, texts: list[str]) -> list[list[float]]:
         body = json.dumps({"model": self.name, "input": texts}).encode()
         request = urllib.request.Request(f"{self.url}/api/embed", body, {"Content-Type": "application/json"})
         with urllib.request.urlopen(request, timeout=self.timeout) as reply:
             return json.load(reply)["embeddings"]
 
 
+class HttpGenerator:
+    """A model server that answers POST /api/generate {model, prompt} with lines of {response}."""
+
+    def __init__(self, url: str, name: str, timeout: float = 300):
+        self.url, self.name, self.timeout = url, name, timeout
+
+    def generate(self, prompt: str) -> str:
+        body = json.dumps({"model": self.name, "prompt": prompt, "stream": True}).encode()
+        request = urllib.request.Request(f"{self.url}/api/generate", body, {"Content-Type": "application/json"})
+        with urllib.request.urlopen(request, timeout=self.timeout) as reply:
+            return "".join(x.get("response", "") for x in read_json_lines(iter(lambda: reply.read(4096), b"")))
+
+
+def server_url(config: Config) -> str:
+    """The model server's address; an error if code may not go there."""
+    allowed, why = may_send(config)
+    if not allowed:
+        raise PermissionError(why)
+    return f"{config.model.host}:{config.model.port}"
+
+
+def http_models(config: Config, dimensions: int = 768) -> tuple[HttpEmbedder, HttpGenerator]:
+    """The configured server's models."""
+    url = server_url(config)
+    return HttpEmbedder(url, config.model.embedding_model, dimensions), HttpGenerator(url, config.model.chat_model)
+
+
 def read_json_lines(chunks: Iterator[bytes]) -> Iterator[dict]:
     """Objects of a line-delimited JSON stream cut anywhere; blank lines are skipped, an `error` field raises."""
     held = b""

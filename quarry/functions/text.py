@@ -85,19 +85,18 @@ def embed_text(path: Column, language: Column, name: Column, kind: Column, paren
     )
 
 
-def document_prefix(model: Column) -> Column:
-    """What the embedding model wants before a document; '' for models without task prefixes."""
-    return F.when(model.contains("nomic-embed-text"), "search_document: ").otherwise("")
+# What an embedding model with task prefixes wants before a document and before a query.
+TASK_PREFIXES = {"nomic-embed-text": ("search_document: ", "search_query: ")}
 
 
-def query_prefix(model: Column) -> Column:
-    return F.when(model.contains("nomic-embed-text"), "search_query: ").otherwise("")
+def task_prefixes(model: str) -> tuple[str, str]:
+    """(before a document, before a query); empty for models without task prefixes."""
+    return next((p for m, p in TASK_PREFIXES.items() if m in model), ("", ""))
 
 
-def same_model(a: Column, b: Column) -> Column:
+def same_model(a: str | None, b: str | None) -> bool:
     """Equal up to a trailing :latest."""
-    strip = lambda m: F.regexp_replace(m, r"(:latest)+$", "")
-    return strip(a) == strip(b)
+    return (a or "").removesuffix(":latest") == (b or "").removesuffix(":latest")
 
 
 def first_signature_line(content: Column) -> Column:

@@ -43,14 +43,15 @@ def query_phrases(queries: DataFrame, stem: bool = True) -> DataFrame:
     return p.groupBy("query_id", "phrase").agg(F.count("*").alias("mentions"))
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, limit: int = 50, stem: bool = True) -> DataFrame:
+def bm25(chunks: DataFrame | None, queries: DataFrame, limit: int = 50, stem: bool = True, kept: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """queries(query_id, text) against chunks(id, name, content, file_path) -> (query_id, id, score, rank).
 
     Only the postings of asked terms are joined with the queries; frequencies are aggregated before the shuffle.
+    `kept` are postings and lengths made before (with the same stemming); without them they are made anew.
     Terms in most chunks weigh next to nothing but still match. Ties go to the smaller id. Queries without words
     and empty tables give no rows.
     """
-    posts, lengths = postings(chunks, stem)
+    posts, lengths = kept or postings(chunks, stem)
     asked = query_phrases(queries, stem)
     terms = asked.select(F.explode("phrase").alias("term")).distinct()
     relevant = posts.join(terms, "term")

@@ -12,15 +12,15 @@ from quarry.operators.ranking import block_top_k, fuse
 CANDIDATES = 50
 
 
-def hybrid_search(chunks: DataFrame, refs: DataFrame | None, queries: DataFrame, limit: int = 5, dimensions: int = 64, stem: bool = True) -> DataFrame:
+def hybrid_search(chunks: DataFrame, refs: DataFrame | None, queries: DataFrame, limit: int = 5, dimensions: int = 64, stem: bool = True, kept: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """queries(query_id, text, embedding) -> (query_id, id, rank, score, found_via_calls).
 
     The CANDIDATES nearest chunks and the CANDIDATES best by keywords are fused, the first `limit` kept; with
     refs at most two definitions called by the best three follow. Texts are fetched by the caller for these rows
-    only. A query without an embedding is answered by keywords alone and the other way round.
+    only. `kept` is a keyword index made before. A query without an embedding is answered by keywords alone and the other way round.
     """
     near = block_top_k(queries, chunks, CANDIDATES, dimensions)
-    words = bm25(chunks, queries, CANDIDATES, stem)
+    words = bm25(chunks, queries, CANDIDATES, stem, kept)
     fused = fuse([near, words], limit).withColumn("found_via_calls", F.lit(False))
     if refs is None:
         return fused

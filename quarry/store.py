@@ -16,16 +16,19 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.functions.text import same_model
+from quarry.operators.bm25 import postings
 from quarry.operators.plan import remove_files, replace_rows, untracked
 
 TABLES = {
     "chunks": "id long, file_path string, language string, name string, chunk_type string, parent string, content string, start_line int, end_line int, embedding array<float>",
     "files": "path string, content_hash string",
     "refs": "symbol_name string, file_path string, line int, kind string",
+    "postings": "term string, id long, col string, pos int",
+    "lengths": "id long, n int",
     "turns": "id long, session_id string, asked_at string, question string, answer string, citations string",
 }
-FORMAT = 1
-KEPT_SNAPSHOTS = 2
+FORMAT = 2
 
 
 class Index:
@@ -64,7 +67,7 @@ class Index:
 
     def _write(self, name: str, df: DataFrame) -> str:
         at = f"{name}-{uuid.uuid4().hex[:12]}"
-        key = {"chunks": "file_path", "refs": "symbol_name", "files": "path", "turns": "id"}[name]
+        key = {"chunks": "file_path", "refs": "symbol_name", "files": "path", "turns": "id", "postings": "term", "lengths": "id"}[name]
         columns = [c.split()[0] for c in TABLES[name].split(", ")]
         # sorted by what is looked up, so that scans skip row groups
         df.select(*columns).repartitionByRange(key).sortWithinPartitions(key).write.option("compression", "zstd").parquet(str(self.root / at))
@@ -92,25 +95,51 @@ class Index:
         paths = files.select("path")
         last = self.table("chunks").agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
         fresh = chunks if "id" in chunks.columns else chunks.withColumn("id", F.monotonically_increasing_id() + F.lit(last + 1))
+        # ids are given once: the chunks and the keyword index must agree on them
+        added = self.spark.read.schema(fresh.schema).parquet(self._kept(fresh))
+        posts, lengths = postings(added)
+        stays = self._stays(paths)
         self._change(
-            chunks=remove_files(self.table("chunks"), paths).unionByName(fresh, allowMissingColumns=True),
+            chunks=remove_files(self.table("chunks"), paths).unionByName(added, allowMissingColumns=True),
+            postings=self.table("postings").join(stays, "id", "left_semi").unionByName(posts.select("term", "id", "col", "pos")),
+            lengths=self.table("lengths").join(stays, "id", "left_semi").unionByName(lengths.select("id", F.col("n").cast("int").alias("n"))),
             refs=remove_files(self.table("refs"), paths).unionByName(refs, allowMissingColumns=True),
             files=replace_rows(self.table("files"), files, "path"),
         )
 
-    def replace_references(self, refs: DataFrame, paths: DataFrame | None = None) -> None:
-        """Replaces the references of the files in paths(path), or the whole graph."""
-        self._change(refs=refs if paths is None else remove_files(self.table("refs"), paths).unionByName(refs))
+    def _kept(self, df: DataFrame) -> str:
+        """Writes a table beside the others that the next change sweeps away."""
+        at = str(self.root / f"added-{uuid.uuid4().hex[:12]}")
+        df.write.option("compression", "zstd").parquet(at)
+        return at
+
+    def _stays(self, gone: DataFrame) -> DataFrame:
+        """(id): the chunks outside the files in gone(path)."""
+        return remove_files(self.table("chunks"), gone).select("id")
+
+    def keyword_index(self) -> tuple[DataFrame, DataFrame]:
+        """(postings, lengths) as bm25 reads them: stemmed, kept with every change."""
+        return self.table("postings"), self.table("lengths")
+
+    def has_chunks(self) -> bool:
+        return not self.table("chunks").isEmpty()
+
+    def size_bytes(self) -> int:
+        return sum(p.stat().st_size for p in self.root.rglob("*") if p.is_file())
 
     def remove(self, gone: DataFrame) -> None:
         """Removes the files in gone(path) from all tables."""
-        self._change(chunks=remove_files(self.table("chunks"), gone), refs=remove_files(self.table("refs"), gone), files=remove_files(self.table("files"), gone, "path"))
+        stays = self._stays(gone)
+        words = {t: self.table(t).join(stays, "id", "left_semi") for t in ("postings", "lengths")}
+        self._change(**words, chunks=remove_files(self.table("chunks"), gone), refs=remove_files(self.table("refs"), gone), files=remove_files(self.table("files"), gone, "path"))
 
     def delete_untracked(self) -> int:
         """Deletes chunks of files that are not recorded; how many."""
         lost = untracked(self.table("chunks"), self.table("files")).count()
         if lost:
-            self._change(chunks=self.table("chunks").join(self.table("files").select(F.col("path").alias("file_path")), "file_path", "left_semi"))
+            kept = self.table("chunks").join(self.table("files").select(F.col("path").alias("file_path")), "file_path", "left_semi")
+            words = {t: self.table(t).join(kept.select("id"), "id", "left_semi") for t in ("postings", "lengths")}
+            self._change(**words, chunks=kept)
         return lost
 
     def record_turns(self, turns: DataFrame) -> None:
@@ -124,10 +153,9 @@ class Index:
     def rebuild_reason(self, model: str, force: bool = False) -> str | None:
         """Why everything must be indexed again; None if it need not."""
         meta = self.manifest()["meta"]
-        bare = lambda m: (m or "").removesuffix(":latest")
         if force:
             return "asked for"
-        if meta.get("embedding_model") and bare(meta["embedding_model"]) != bare(model):
+        if meta.get("embedding_model") and not same_model(meta["embedding_model"], model):
             return f"the index was built with {meta['embedding_model']}"
         return "the stored format is older" if meta.get("format") != FORMAT else None
 
@@ -156,7 +184,7 @@ def collect_indexes(home: str | Path, model: str) -> tuple[list[Path], list[tupl
                 skipped.append((p, "cannot be opened"))
             continue
         built = meta.get("embedding_model")
-        reason = "no project root recorded" if not meta.get("project_root") else "no model recorded" if not built else f"built with {built}" if built != model else None
+        reason = "no project root recorded" if not meta.get("project_root") else "no model recorded" if not built else f"built with {built}" if not same_model(built, model) else None
         if reason:
             skipped.append((p, reason))
         else:

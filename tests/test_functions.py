@@ -69,7 +69,8 @@ def test_small_texts(spark):
     assert one(spark, "abcdef", lambda x: T.shorten(x, 3)) == "abc…" and one(spark, "abc", lambda x: T.shorten(x, 3)) == "abc"
     assert [one(spark, s, T.age_text, "long") for s in (5, 60, 7300, 200000)] == ["just now", "1 minute ago", "2 hours ago", "2 days ago"]
     assert one(spark, "function_item", T.chunk_type_of) == "function"
-    assert one(spark, "nomic-embed-text:latest", lambda x: T.same_model(x, F.lit("nomic-embed-text")))
+    assert T.same_model("nomic-embed-text:latest", "nomic-embed-text") and not T.same_model("a", None)
+    assert T.task_prefixes("nomic-embed-text:v1.5") == ("search_document: ", "search_query: ") and T.task_prefixes("other") == ("", "")
     df = spark.createDataFrame([("src/a.rs:12",), ("src/a.rs",)], "x string").select(*T.split_target(F.col("x")))
     assert [tuple(r) for r in df.collect()] == [("src/a.rs", 12), ("src/a.rs", None)]
 
