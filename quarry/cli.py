@@ -4,15 +4,19 @@ from __future__ import annotations
 
 import argparse
 import json
+import subprocess
 import sys
+import tempfile
+import time
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 from quarry import config as settings
+from quarry.embed import http_models
 from quarry.engine import Engine, project_root, search_all
 from quarry.functions.hashing import fnv1a64
-from quarry.health import count_checks, doctor
+from quarry.health import check_server, count_checks, doctor
 from quarry.operators.history import recent_turns, transcripts
 from quarry.operators.scan import extension_histogram
 from quarry.sources.walker import Options, source_files
@@ -37,6 +41,19 @@ def _rows(df) -> list[dict]:
     return [r.asDict(recursive=True) for r in df.collect()]
 
 
+def diff_text(given: str | None, staged: bool, base: str | None) -> str:
+    """The diff to review: a file or standard input, or what git shows (staged, against a base, or of the working tree)."""
+    if given:
+        return sys.stdin.read() if given == "-" else Path(given).read_text()
+    if base and base.startswith("-"):
+        raise ValueError(f"{base!r} is no revision")
+    args = ["--cached"] if staged else [f"{base}...HEAD"] if base else ["HEAD"]
+    done = subprocess.run(["git", "diff", "--no-color", "--no-ext-diff", *args, "--"], capture_output=True, text=True, check=False)
+    if done.returncode:
+        raise ValueError(done.stderr.strip() or "git diff failed")
+    return done.stdout
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser("quarry")
     p.add_argument("--json", action="store_true")
@@ -57,7 +74,13 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("-A", "--all", action="store_true")
     for name in ("def", "refs", "callers"):
         sub.add_parser(name).add_argument("symbol")
+    s.add_argument("--no-answer", action="store_true")
     sub.add_parser("explain").add_argument("target")
+    sub.add_parser("chat")
+    w = sub.add_parser("watch")
+    w.add_argument("path", nargs="?", default=".")
+    w.add_argument("--seconds", type=float, default=2.0)
+    w.add_argument("--for", dest="run_for", type=float, default=None)
     h = sub.add_parser("history")
     h.add_argument("-n", type=int, default=20)
     sub.add_parser("export")
@@ -65,7 +88,11 @@ def parser() -> argparse.ArgumentParser:
     c = sub.add_parser("clean")
     c.add_argument("--all", action="store_true")
     c.add_argument("--yes", action="store_true")
-    sub.add_parser("analyze").add_argument("diff", nargs="?", default="-")
+    d = sub.add_parser("analyze")
+    d.add_argument("diff", nargs="?", default=None)
+    d.add_argument("--staged", action="store_true")
+    d.add_argument("--base", default=None)
+    d.add_argument("--prefix", default="")
     g = sub.add_parser("config")
     g.add_argument("action", choices=("init", "get", "set"))
     g.add_argument("key", nargs="?")
@@ -90,7 +117,8 @@ def run(argv: list[str], spark: SparkSession | None = None) -> tuple[int, object
             settings.save(c, path)
         return 0, getattr(getattr(c, section), key)
     if a.command == "list":
-        return 0, [str(p) for p in index_directories(home / "indexes")]
+        metas = [(p, json.loads((p / "manifest.json").read_text())["meta"]) for p in index_directories(home / "indexes")]
+        return 0, [{"path": str(p), "project": m.get("project_root"), "model": m.get("embedding_model"), "age_seconds": int(time.time() - m.get("updated_at", 0))} for p, m in metas]
     spark = spark or _session()
     root = project_root(getattr(a, "path", "."))
     c = settings.load(root, home / "config.toml")
@@ -110,7 +138,8 @@ def run(argv: list[str], spark: SparkSession | None = None) -> tuple[int, object
         index = Index.open(spark, where, root, "hashing")
     elif not index.exists() and not getattr(a, "all", False):
         return 1, "no index here; run index first"
-    e = Engine(spark, index, config=c)
+    talks = a.command in ("chat", "explain", "analyze") or a.command == "search" and not a.no_answer and not a.all
+    e = Engine(spark, index, None, c, http_models(c)[1] if talks and check_server(c)[1] == "ok" else None)
     if a.command == "index":
         o = Options(a.max_file_size or Options().max_bytes, a.allow_secrets, a.include, a.exclude)
         return 0, e.index_tree(root, o, a.force)
@@ -120,6 +149,8 @@ def run(argv: list[str], spark: SparkSession | None = None) -> tuple[int, object
             usable, skipped = collect_indexes(home / "indexes", "hashing")
             engines = {str(Index(spark, p).meta("project_root")): Engine(spark, Index(spark, p), config=c) for p in usable}
             return 0, {"results": _rows(search_all(spark, engines, a.question, limit)) if engines else [], "skipped": [(str(p), r) for p, r in skipped]}
+        if e.generator and not a.no_answer:
+            return 0, e.answer(a.question, limit=limit)
         return 0, _rows(e.search(a.question, limit).limit(limit).select("file_path", "start_line", "end_line", "name", "score", "low_confidence", "matched_keywords"))
     if a.command == "def":
         return 0, _rows(e.definitions(a.symbol))
@@ -127,15 +158,36 @@ def run(argv: list[str], spark: SparkSession | None = None) -> tuple[int, object
         return 0, _rows(e.references(a.symbol, a.command == "callers"))
     if a.command == "explain":
         path, _, line = a.target.rpartition(":")
-        return 0, _rows(e.explain(path, int(line)) if path and line.isdigit() else e.explain(a.target))
+        return 0, e.explanation(path, int(line)) if path and line.isdigit() else e.explanation(a.target)
+    if a.command == "chat":
+        if e.generator is None:
+            return 1, "chat needs a model server"
+        session = f"chat{int(time.time() * 1000)}"
+        for line in sys.stdin:
+            if line.strip() in ("exit", "quit"):
+                break
+            if line.strip():
+                said = e.answer(line.strip(), session)
+                print(said["answer"] or said["failure"] or "nothing found", flush=True)
+        return 0, ""
+    if a.command == "watch":
+        from quarry.streaming.watch import watch_tree
+
+        def report(x: dict) -> None:
+            print(json.dumps(x), flush=True)
+
+        running = watch_tree(spark, root, lambda: e.index_tree(root), report, tempfile.mkdtemp(prefix="quarry-watch-"), a.seconds)
+        running.awaitTermination(a.run_for) if a.run_for else running.awaitTermination()
+        running.stop()
+        return 0, ""
     if a.command == "history":
         return 0, _rows(recent_turns(index.table("turns"), a.n))
     if a.command == "export":
         return 0, "".join(r.transcript for r in transcripts(index.table("turns")).orderBy("session_id", "part").toLocalIterator())
     if a.command == "analyze":
-        return 0, e.review(sys.stdin.read() if a.diff == "-" else Path(a.diff).read_text())
+        return 0, e.review(diff_text(a.diff, a.staged, a.base), a.prefix)
     if a.command == "status":
-        return 0, e.stats()
+        return 0, e.status(root)
     if a.command == "serve":
         from quarry.rpc import serve
 

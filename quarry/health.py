@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import stat
 import urllib.request
@@ -10,6 +11,7 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from quarry.config import Config, find_project_file, may_send
+from quarry.functions.text import same_model
 from quarry.operators.plan import plan_counts, plan_index
 from quarry.sources.walker import source_files
 from quarry.store import FORMAT, Index
@@ -35,6 +37,17 @@ def check_server(config: Config, timeout: float = 2) -> Check:
         return "server", "warning", f"not reachable: {e}"
 
 
+def check_models(config: Config, timeout: float = 2) -> Check:
+    """Whether the server has the configured models."""
+    try:
+        with urllib.request.urlopen(f"{config.model.host}:{config.model.port}/api/tags", timeout=timeout) as reply:
+            have = [m.get("name") for m in json.load(reply).get("models", [])]
+    except (OSError, ValueError) as e:
+        return "models", "warning", f"unknown: {e}"
+    missing = [m for m in (config.model.embedding_model, config.model.chat_model) if not any(same_model(m, h) for h in have)]
+    return "models", "failed" if missing else "ok", f"missing: {', '.join(missing)}" if missing else "both there"
+
+
 def check_index(index: Index, model: str, dimensions: int) -> list[Check]:
     if not index.exists():
         return [("index", "failed", "there is none; index the project first")]
@@ -42,9 +55,8 @@ def check_index(index: Index, model: str, dimensions: int) -> list[Check]:
     sizes = [r[0] for r in chunks.where("embedding is not null").select(F.size("embedding")).distinct().limit(3).collect()]
     reason = index.rebuild_reason(model)
     mode = stat.S_IMODE(os.stat(index.root).st_mode)
-    n = chunks.count()
     return [
-        ("index", "ok" if n else "warning", f"{n} chunks"),
+        ("index", "ok" if index.has_chunks() else "warning", "holds chunks" if index.has_chunks() else "is empty"),
         ("model", "ok" if not reason else "failed", reason or str(index.meta("embedding_model"))),
         ("vector size", "ok" if sizes in ([], [dimensions]) else "failed", ", ".join(map(str, sizes)) or "no vectors"),
         ("index format", "ok" if index.meta("format") == FORMAT else "failed", str(index.meta("format"))),
@@ -59,7 +71,7 @@ def check_freshness(index: Index, root: str) -> Check:
 
 
 def doctor(index: Index, root: str, config: Config, model: str, dimensions: int) -> list[Check]:
-    checks = [check_configuration(root), check_address(config), check_server(config), *check_index(index, model, dimensions)]
+    checks = [check_configuration(root), check_address(config), check_server(config), check_models(config), *check_index(index, model, dimensions)]
     return [*checks, check_freshness(index, root)] if index.exists() else checks
 
 

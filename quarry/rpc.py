@@ -12,7 +12,7 @@ _TEXT = {"type": "string"}
 TOOLS = [
     {"name": "search_code", "description": "Finds code that helps to answer a question.", "inputSchema": {"type": "object", "properties": {"query": _TEXT, "limit": {"type": "integer"}}, "required": ["query"]}},
     {"name": "find_definition", "description": "Where a symbol is defined.", "inputSchema": {"type": "object", "properties": {"symbol": _TEXT}, "required": ["symbol"]}},
-    {"name": "find_references", "description": "Where a symbol is used.", "inputSchema": {"type": "object", "properties": {"symbol": _TEXT, "calls_only": {"type": "boolean"}}, "required": ["symbol"]}},
+    {"name": "find_references", "description": "Where a symbol is used.", "inputSchema": {"type": "object", "properties": {"symbol": _TEXT, "only_calls": {"type": "boolean"}}, "required": ["symbol"]}},
     {"name": "project_status", "description": "What the index holds.", "inputSchema": {"type": "object", "properties": {}}},
 ]
 
@@ -35,11 +35,12 @@ def _call(engine: Engine, name: str, args: dict) -> object:
         found = rows(engine.search(need("query"), limit), "file_path", "start_line", "end_line", "name", "score", "found_via_calls", "content")
         return [r | {"score": round(r["score"], 2)} for r in found]
     if name == "find_definition":
-        return rows(engine.definitions(need("symbol")), "file_path", "start_line", "end_line", "name", "chunk_type")
+        return rows(engine.definitions(need("symbol")), "file_path", "start_line", "end_line", "name", "parent", "chunk_type", "content")
     if name == "find_references":
-        return rows(engine.references(need("symbol"), bool(args.get("calls_only"))), "file_path", "line", "kind", "symbol")
+        return rows(engine.references(need("symbol"), bool(args.get("only_calls", args.get("calls_only")))), "file_path", "line", "kind", "symbol")
     if name == "project_status":
-        return engine.stats()
+        root = engine.index.meta("project_root")
+        return engine.status(str(root)) if root else engine.stats()
     raise BadParams(f"unknown tool {name}")
 
 

@@ -72,3 +72,24 @@ def snapshot_changes(spark: SparkSession, root: str, recorded: DataFrame) -> Dat
     """
     rows = [(p, f"{n}-{Path(root, p).stat().st_mtime_ns}") for p, n in walk(root)]
     return plan_index(spark.createDataFrame(rows, "path string, content_hash string"), recorded).where("status <> 'unchanged'")
+
+
+def watch_tree(spark: SparkSession, root: str, index_pass: Callable[[], dict], report: Callable[[dict], None], checkpoint: str, seconds: float = 2.0) -> StreamingQuery:
+    """Compares snapshots of the tree at every trigger and runs one pass of the index where they differ."""
+    seen: dict[str, str] = {p: f"{n}-{Path(root, p).stat().st_mtime_ns}" for p, n in walk(root)}
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+
+    def run(batch: DataFrame, number: int) -> None:
+        recorded = spark.createDataFrame(list(seen.items()), "path string, content_hash string")
+        changes = snapshot_changes(spark, root, recorded)
+        if changes.isEmpty():
+            return
+        now = {p: f"{n}-{Path(root, p).stat().st_mtime_ns}" for p, n in walk(root)}
+        try:
+            report(index_pass())
+            seen.clear()
+            seen.update(now)
+        except Exception as e:  # noqa: BLE001 - one failed pass must not end the watch
+            report({"failed": str(e)})
+
+    return ticks.writeStream.trigger(processingTime=f"{seconds} seconds").option("checkpointLocation", checkpoint).foreachBatch(run).start()

@@ -5,13 +5,13 @@ import shutil
 import pytest
 
 from quarry import cli, config, rpc
-from quarry.embed import HashingEmbedder, embed_chunks, read_json_lines
-from quarry.engine import Engine
+from quarry.embed import HashingEmbedder, embed_chunks, http_models, read_json_lines
+from quarry.engine import Engine, check_across
 from quarry.health import check_index, count_checks, doctor
 from quarry.sources.ignore import ignored, rules
 from quarry.sources.walker import Options, looks_indexable, source_files, walk
 from quarry.store import Index, collect_indexes, find_index, index_directories
-from quarry.streaming.watch import snapshot_changes, watch_events
+from quarry.streaming.watch import snapshot_changes, watch_events, watch_tree
 
 
 @pytest.fixture
@@ -58,6 +58,25 @@ def test_index_and_search(spark, tree, tmp_path):
     again = e.index_tree(str(tree))
     assert (again["changed"], again["removed"], again["unchanged"]) == (1, 1, 3)
     assert e.index_tree(str(tree))["stale"] is False
+    e.generator = Parrot()
+    said = e.answer("how is the cart total of prices computed", "s1")
+    assert said["answer"] == "See src/cart.py:4 and src/cart.py:900." and said["unverified"] == ["src/cart.py:900"] and said["sources"][0][0] == "src/cart.py"
+    assert e.answer("and who calls it?", "s1")["question"] == "Who calls total?" and index.table("turns").count() == 2
+    assert "Earlier in this conversation" in e.generator.asked[-1] and "SOURCE FILE src/" in e.generator.asked[-1]
+    told = e.explanation(str(tree / "src/tax.py"))
+    assert told["callers"] == ["src/cart.py:6 in total"] and told["explanation"] == "See src/cart.py:4 and src/cart.py:900." and e.explanation("nowhere.py") == {}
+    assert e.explanation("./src/cart.py", 6)["calls"] == ["rate", "sum"]
+    e.config.search.rerank = True
+    assert e.search("amount rate", 2).where("not found_via_calls").count() == 2 and "Order these pieces" in e.generator.asked[-1]
+    e.config.search.rerank, e.generator = False, None
+    with pytest.raises(ValueError):
+        e.answer("x")
+    assert check_across({"shop": e}, "shop/src/cart.py:4 shop/src/cart.py:99 other/x.py:1") == ["shop/src/cart.py:99", "other/x.py:1"]
+    assert index.table("postings").select("id").distinct().join(index.table("chunks"), "id", "left_anti").isEmpty() and index.table("lengths").count() == index.table("chunks").count()
+    state = e.status(str(tree))
+    assert state["stale"] is False and state["bytes"] > 0 and state["model"] == "hashing"
+    moved = e.review("diff --git a/app/src/old.py b/app/src/tax.py\nrename from app/src/tax.py\nrename to app/src/new.py\n--- a/app/src/tax.py\n+++ b/app/src/new.py\n@@ -1,2 +1,2 @@\n def rate(amount):\n-    return 1\n+    return 2\n", "app")
+    assert moved["impacted"] == {"rate": ["app/src/cart.py:6 in total"]} and e.review("--- a/x.py\n+++ b/x.py\n@@ -1 +1 @@\n-a\n+b\n", "app")["impacted"] == {}
     review = e.review("--- a/src/tax.py\n+++ b/src/tax.py\n@@ -1,2 +1,2 @@\n def rate(amount):\n-    return amount * 1.2\n+    return amount * 1.3\n")
     assert review["impacted"] == {"rate": ["src/cart.py:6 in total"]} and "<diff>" in review["prompt"]
     assert e.stats()["extensions"] == "py,yml"
@@ -76,6 +95,84 @@ def test_index_and_search(spark, tree, tmp_path):
     assert index.table("chunks").count() == 0
 
 
+class Parrot:
+    name = "parrot"
+
+    def __init__(self):
+        self.asked = []
+
+    def generate(self, prompt):
+        self.asked.append(prompt)
+        return "'Who calls total?'\n" if prompt.startswith("Rewrite") else "2, 1" if prompt.startswith("Order") else "See src/cart.py:4 and src/cart.py:900."
+
+
+def test_models_over_http(tmp_path):
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    seen = []
+
+    class Server(BaseHTTPRequestHandler):
+        def do_POST(self):  # noqa: N802
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            seen.append(body)
+            out = b'{"response": "a"}\n{"response": "b"}\n' if "prompt" in body else json.dumps({"embeddings": [[1.0, 0.0]] * len(body["input"])}).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(out)
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Server)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    c = config.Config(model=config.Model(host="http://127.0.0.1", port=server.server_port))
+    embedder, generator = http_models(c, 2)
+    assert embedder.embed(["x"]) == [[1.0, 0.0]] and embedder.embed_query("y") == [1.0, 0.0] and generator.generate("p") == "ab"
+    assert [b["input"] for b in seen[:2]] == [["search_document: x"], ["search_query: y"]]
+    server.shutdown()
+    c.model.host = "http://far.example"
+    with pytest.raises(PermissionError):
+        http_models(c)
+
+
+def test_watch_tree(spark, tree, tmp_path):
+    import time
+
+    passes = []
+    q = watch_tree(spark, str(tree), lambda: {"pass": len(passes)}, passes.append, str(tmp_path / "cp"), 0.5)
+    try:
+        time.sleep(3)
+        (tree / "src/new.py").write_text("x = 1\n")
+        end = time.time() + 40
+        while not passes and time.time() < end:
+            time.sleep(0.3)
+    finally:
+        q.stop()
+    assert passes[:1] == [{"pass": 0}]
+
+
+def test_diff_of_a_repository(tmp_path, monkeypatch):
+    import subprocess
+
+    def git(*a):
+        subprocess.run(["git", "-c", "user.name=a", "-c", "user.email=a@b.c", *a], cwd=tmp_path, check=True, capture_output=True)
+
+    git("init", "-q", "-b", "main")
+    (tmp_path / "a.txt").write_text("1\n")
+    git("add", ".")
+    git("commit", "-qm", "one")
+    (tmp_path / "a.txt").write_text("2\n")
+    monkeypatch.chdir(tmp_path)
+    assert "+2" in cli.diff_text(None, False, None) and cli.diff_text(None, True, None) == ""
+    git("add", ".")
+    assert "+2" in cli.diff_text(None, True, None) and cli.diff_text(None, False, "main") == ""
+    with pytest.raises(ValueError):
+        cli.diff_text(None, False, "nowhere")
+    with pytest.raises(ValueError):
+        cli.diff_text(None, False, "--output=x")
+
+
 def test_cli(spark, tree, tmp_path):
     home = ["--home", str(tmp_path / "h")]
     assert cli.run([*home, "config", "set", "search.top_k", "7"])[1] == 7
