@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions.text import added_removed, change_text
 from quarry.operators.chunking import cut_bytes
 
 TOTAL_BYTES, HUNK_BYTES = 16_000, 4_000
@@ -107,6 +108,13 @@ def diff_hunks(diffs: DataFrame) -> DataFrame:
     return diffs.where("diff_id is not null and text is not null").select("diff_id", "text").mapInPandas(cut, _HUNKS)
 
 
+def diff_summary(hunks: DataFrame) -> DataFrame:
+    """(diff_id, file_no, path, change, added, removed): each file of a diff with its kind of change and its lines."""
+    plus, minus = added_removed(F.coalesce("text", F.lit("")))
+    counted = hunks.select("diff_id", "file_no", "path", change_text(F.col("change"), F.col("renamed_from")).alias("change"), plus.alias("added"), minus.alias("removed"))
+    return counted.groupBy("diff_id", "file_no", "path", "change").agg(F.sum("added").alias("added"), F.sum("removed").alias("removed"))
+
+
 def candidate_paths(hunks: DataFrame) -> DataFrame:
     """(diff_id, path) under which the index may know a diff's files: the new path, and the old one of a rename."""
     return hunks.select("diff_id", F.explode(F.array_compact(F.array("path", "renamed_from"))).alias("path")).distinct()

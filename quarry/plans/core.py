@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.common import read_table
+from quarry.common import Stage, read_table
 from quarry.engine import file_chunks, index_stats
 from quarry.functions import text as T
 from quarry.functions.hashing import fnv1a64
@@ -206,15 +206,28 @@ sc AS (SELECT query_id, id, sum(idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * n / av
 words AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM sc)"""
 
 
+_KEPT: dict[tuple, tuple[DataFrame, DataFrame]] = {}
+
+
+def _keyword_index(spark: SparkSession, base: str, stem: bool) -> tuple[DataFrame, DataFrame]:
+    """Postings sorted by term, and lengths, written once to the shared folder for each session and set of tables."""
+    key = (spark.sparkContext.applicationId, base, stem)
+    if key not in _KEPT:
+        posts, lengths = bm25.postings(_chunks(spark, base), stem)
+        stage = Stage(spark, "keywords")
+        _KEPT[key] = stage.write(posts.repartitionByRange("term").sortWithinPartitions("term"), "postings"), stage.write(lengths, "lengths")
+    return _KEPT[key]
+
+
 @query(f"WITH {_BM25} SELECT query_id, id, round(score, 6) AS score FROM words WHERE rank <= 50")
 def bm25_topk_nostem(spark: SparkSession, base: str) -> DataFrame:
-    found = bm25.bm25(_chunks(spark, base), _subject_queries(spark, base), 50, stem=False)
+    found = bm25.bm25(None, _subject_queries(spark, base), 50, stem=False, kept=_keyword_index(spark, base, False))
     return found.select("query_id", "id", F.round("score", 6).alias("score"))
 
 
 @query()
 def bm25_topk(spark: SparkSession, base: str) -> DataFrame:
-    return bm25.bm25(_chunks(spark, base), _subject_queries(spark, base), 50).select("query_id", "id", F.round("score", 6).alias("score"))
+    return bm25.bm25(None, _subject_queries(spark, base), 50, kept=_keyword_index(spark, base, True)).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
 _GOOD = "len(embedding) = 64 AND NOT list_bool_or(list_transform(embedding, lambda x: x IS NULL OR isnan(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0))"
@@ -240,7 +253,7 @@ def _hybrid_queries(spark: SparkSession, base: str) -> DataFrame:
 
 
 def _hybrid(spark: SparkSession, base: str, refs: DataFrame | None = None, limit: int = 10) -> DataFrame:
-    return search.hybrid_search(_chunks(spark, base), refs, _hybrid_queries(spark, base), limit, stem=False)
+    return search.hybrid_search(_chunks(spark, base), refs, _hybrid_queries(spark, base), limit, stem=False, kept=_keyword_index(spark, base, False))
 
 
 @query(f"WITH {_HYBRID} SELECT query_id, id, round(score, 8) AS score, rank FROM hits WHERE rank <= 10")
@@ -427,7 +440,12 @@ def history_counts(spark: SparkSession, base: str) -> DataFrame:
     return history.count_turns(read_table(spark, base, "turns"))
 
 
-@query()
+_SOURCES = """CASE WHEN json_valid(citations) AND starts_with(trim(citations), '[') AND json_array_length(citations::JSON) > 0 THEN chr(10) || '**Sources:**' || chr(10) || list_aggregate(list_transform(from_json(citations::JSON, '[{"file_path":"VARCHAR","start_line":"INTEGER","end_line":"INTEGER","score":"DOUBLE"}]'),
+lambda c: '- `' || c.file_path || ':' || c.start_line || '-' || c.end_line || '` (score ' || printf('%.2f', round(c.score, 2)) || ')' || chr(10)), 'string_agg', '') ELSE chr(10) || '**Sources:** none' || chr(10) END"""
+
+
+@query(f"""WITH t AS (SELECT id, trim(session_id, ' ') AS session_id, chr(10) || '### ' || coalesce(question, '') || chr(10) || '*' || coalesce(asked_at, '') || '*' || chr(10) || chr(10) || coalesce(answer, '_No answer was recorded for this question._') || chr(10) || {_SOURCES} AS t FROM turns WHERE id IS NOT NULL AND session_id IS NOT NULL)
+SELECT session_id, 0 AS part, count(*) AS turns, chr(10) || '---' || chr(10) || chr(10) || '## Session ' || session_id || chr(10) || string_agg(t, '' ORDER BY id) AS transcript FROM t GROUP BY 1""")
 def history_transcripts(spark: SparkSession, base: str) -> DataFrame:
     return history.transcripts(read_table(spark, base, "turns"))
 
@@ -444,11 +462,17 @@ def watch_debounce(spark: SparkSession, base: str) -> DataFrame:
     return bursts(read_table(spark, base, "events"), F.col("event_type").isin("click", "purchase"), "5 minutes")
 
 
-@query()
-def budget_split(spark: SparkSession, base: str) -> DataFrame:
+def _whole_files(spark: SparkSession, base: str) -> DataFrame:
     f = read_table(spark, base, "source_files")
-    whole = f.where("relative_path is not null and content is not null").select(F.col("relative_path").alias("file_path"), F.coalesce(T.language_of(F.col("relative_path")), F.lit("")).alias("language"), T.file_name(F.col("relative_path")).alias("name"), F.lit("file").alias("chunk_type"), "content", F.lit(1).alias("start_line"), F.size(T.lines(F.col("content"))).alias("end_line"))
-    return chunking.fit_chunks(whole)
+    return f.where("relative_path is not null and content is not null").select(F.col("relative_path").alias("file_path"), F.coalesce(T.language_of(F.col("relative_path")), F.lit("")).alias("language"), T.file_name(F.col("relative_path")).alias("name"), F.lit("file").alias("chunk_type"), "content", F.lit(1).alias("start_line"), F.size(T.lines(F.col("content"))).alias("end_line"))
+
+
+@query("SELECT relative_path AS file_path, content, true AS fits FROM source_files WHERE content IS NOT NULL")
+def budget_split(spark: SparkSession, base: str) -> DataFrame:
+    """What the byte budget cuts, put together again, and whether all pieces keep to it."""
+    pieces = chunking.fit_chunks(_whole_files(spark, base))
+    size = pieces.groupBy("file_path").agg((F.max(F.octet_length("content")) <= chunking.MAX_BYTES).alias("fits"))
+    return chunking.rejoined(pieces).join(size, "file_path")
 
 
 @query()
@@ -461,14 +485,23 @@ def extracted_references(spark: SparkSession, base: str) -> DataFrame:
     return parsing.references(read_table(spark, base, "source_files"))
 
 
-@query()
-def diff_hunks(spark: SparkSession, base: str) -> DataFrame:
+def _added_files(spark: SparkSession, base: str) -> DataFrame:
     """Every source file as the diff that adds it."""
     f = read_table(spark, base, "source_files").where("content is not null")
     ls = T.lines(F.col("content"))
     body = F.array_join(F.transform(ls, lambda x: F.concat(F.lit("+"), x)), "\n")
     text = F.concat(F.lit("diff --git a/"), "relative_path", F.lit(" b/"), "relative_path", F.lit("\nnew file mode 100644\n--- /dev/null\n+++ b/"), "relative_path", F.lit("\n@@ -0,0 +1,"), F.size(ls).cast("string"), F.lit(" @@\n"), body, F.lit("\n"))
-    return diff.diff_hunks(f.select(F.xxhash64("relative_path").alias("diff_id"), text.alias("text"))).select("diff_id", "path", "change", "hunk_no", "new_start", "new_count")
+    return f.select(F.xxhash64("relative_path").alias("diff_id"), text.alias("text"))
+
+
+@query(f"WITH f AS (SELECT relative_path, {_LINES} AS ls FROM source_files WHERE content IS NOT NULL) SELECT relative_path AS path, 'added' AS change, 0 AS hunk_no, 1 AS new_start, len(ls)::INT AS new_count FROM f")
+def diff_hunks(spark: SparkSession, base: str) -> DataFrame:
+    return diff.diff_hunks(_added_files(spark, base)).select("path", "change", "hunk_no", "new_start", "new_count")
+
+
+@query(f"WITH f AS (SELECT relative_path, {_LINES} AS ls FROM source_files WHERE content IS NOT NULL) SELECT relative_path AS path, 'added' AS change, len(ls)::BIGINT AS added, 0::BIGINT AS removed FROM f")
+def diff_summary(spark: SparkSession, base: str) -> DataFrame:
+    return diff.diff_summary(diff.diff_hunks(_added_files(spark, base))).select("path", "change", "added", "removed")
 
 
 @query(f"""WITH {_CHUNKS}, n AS (SELECT name, count(DISTINCT file_path) AS files, count(*) AS definitions FROM chunks WHERE chunk_type NOT IN ('module', 'general') GROUP BY 1) SELECT name, files, definitions FROM n WHERE definitions > 1""")
@@ -481,12 +514,19 @@ def reference_counts(spark: SparkSession, base: str) -> DataFrame:
     return read_table(spark, base, "refs").groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("symbol_name").alias("symbols"), F.countDistinct("file_path").alias("files"))
 
 
-@query()
+_ITEM = "'[' || rank || '] ' || file_path || chr(10) || CASE WHEN length(content) > 400 THEN left(content, 400) || '…' ELSE content END"
+
+
+@query(f"""WITH {_HYBRID}, c AS (SELECT h.query_id, h.rank, {_ITEM} AS b FROM hits h JOIN chunks ON chunks.id = h.id WHERE h.rank <= 10), i AS (SELECT query_id, string_agg(b, chr(10) || chr(10) ORDER BY rank) AS items FROM c GROUP BY 1)
+SELECT query_id, 'Order these pieces of code by how well they help to answer the question. Reply with their numbers only.' || chr(10) || 'Question: ' || description || chr(10) || chr(10) || items AS prompt FROM i JOIN subjects ON subject_id = query_id""")
 def rerank_prompts(spark: SparkSession, base: str) -> DataFrame:
     return prompts.rerank_prompt(_hybrid(spark, base), _chunks(spark, base), _subject_queries(spark, base))
 
 
-@query()
+_BLOCK = "CASE WHEN contains(file_path, '/test') OR contains(file_path, 'test_') OR starts_with(file_path, 'test') THEN 'TEST FILE' ELSE 'SOURCE FILE' END || ' ' || file_path || ':' || start_line || '-' || end_line || chr(10) || '```' || chr(10) || content || chr(10) || '```' || chr(10)"
+
+
+@query(f"""WITH {_HYBRID}, c AS (SELECT h.query_id, h.rank, {_BLOCK} AS b FROM hits h JOIN chunks ON chunks.id = h.id WHERE h.rank <= 5) SELECT query_id, string_agg(b, chr(10) ORDER BY rank) AS context FROM c GROUP BY 1""")
 def answer_contexts(spark: SparkSession, base: str) -> DataFrame:
     return prompts.context_blocks(_hybrid(spark, base, limit=5), _chunks(spark, base))
 
