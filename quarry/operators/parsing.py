@@ -1,7 +1,8 @@
 """Structural chunks and references of source files.
 
-Python is parsed by its own grammar; languages with braces by a scanner of their lines that knows strings and
-comments; all others are cut into line windows. Per language: functions, methods, types with skeletons, a module
+Python is parsed by its own grammar; languages with braces (Rust, Go, Java, JavaScript, TypeScript, C, C++, C#, Kotlin,
+Swift, PHP, shell) and Ruby by a scanner of their lines that knows strings and comments; all others are cut into line
+windows. Per language: functions, methods, types with skeletons, a module
 chunk, calls and imports.
 """
 
@@ -30,7 +31,23 @@ _BRACED = {
 }
 for _k in ("typescript", "tsx"):
     _BRACED[_k] = _BRACED["javascript"]
-_CONTAINERS = {"struct", "enum", "trait", "impl", "union", "class", "interface", "record", "mod"}
+_NO_NAME = r"(?!(?:if|for|while|switch|catch|return|else|do|new|throw|foreach|using|lock|when|guard|defer|case)\b)"
+_C_LIKE = re.compile(
+    rf"^[ \t]*(?:template\s*<[^{{;]*>\s*)?(?:typedef\s+)?(?P<kind>class|struct|enum|union|namespace)\s+(?:class\s+)?(?P<name>\w+)(?=[^;(){{]*\{{)|^[ \t]*{_NO_NAME}(?:[\w:<>,\[\]~]+[\s*&]+)*?(?:(?P<parent>\w+)::)?(?P<mname>~?\w+)\s*\([^;{{}}]*\)\s*(?:const\s*)?(?:noexcept\s*)?(?:override\s*)?(?::[^;{{}}]*)?\{{",
+    re.M,
+)
+_BRACED |= {
+    "c": _C_LIKE, "cpp": _C_LIKE,
+    "csharp": re.compile(rf"^[ \t]*(?:\[[^\]\n]*\]\s*)*(?:(?:public|private|protected|internal|static|sealed|abstract|partial|virtual|override|async|readonly|unsafe|extern|new)\s+)*(?:(?P<kind>class|interface|struct|enum|record|namespace)\s+(?P<name>\w+)|{_NO_NAME}[\w.<>,\[\]?]+\s+(?P<mname>\w+)\s*(?:<[^>(]*>)?\([^;{{}}]*\)\s*(?:where[^{{;]*)?\{{)", re.M),
+    "kotlin": re.compile(r"^[ \t]*(?:(?:public|private|protected|internal|open|override|abstract|final|suspend|inline|data|sealed|enum|companion|operator|infix|tailrec|annotation|inner|@\w+(?:\([^)]*\))?)\s+)*(?P<kind>fun|class|interface|object)\s+(?:<[^>]*>\s*)?(?:[\w<>?]+\.)?(?P<name>\w+)", re.M),
+    "swift": re.compile(r"^[ \t]*(?:(?:public|private|fileprivate|internal|open|static|class|final|override|mutating|async|@\w+(?:\([^)]*\))?)\s+)*(?P<kind>func|class|struct|enum|protocol|extension|actor)\s+(?P<name>\w+)", re.M),
+    "php": re.compile(r"^[ \t]*(?:(?:public|private|protected|static|final|abstract|readonly)\s+)*(?P<kind>function|class|interface|trait|enum)\s+&?(?P<name>\w+)", re.M),
+    "bash": re.compile(r"^[ \t]*(?:(?P<kind>function)\s+(?P<name>[\w\-:.]+)\s*(?:\(\s*\))?|(?P<mname>[\w\-:.]+)\s*\(\s*\))\s*(?=\{)", re.M),
+}
+# What is no code: in languages whose comments begin with a number sign those too.
+_HASH_STRINGS = re.compile(r"(?<![\w$\\{])#[^\n]*|/\*.*?\*/|\"(?:[^\"\\]|\\.)*\"|'[^']*'", re.S)
+_BLANKED = {"php": re.compile(_STRINGS.pattern + r"|(?<![\w$])#(?!\[)[^\n]*|'(?:[^'\\]|\\.)*'", re.S), "bash": _HASH_STRINGS, "ruby": re.compile(r"#[^\n]*|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'")}
+_CONTAINERS = {"struct", "enum", "trait", "impl", "union", "class", "interface", "record", "mod", "namespace", "object", "protocol", "extension", "actor", "module"}
 _CALL = re.compile(r"(?:\b|(?<=[.:]))([A-Za-z_$][\w$]*)(?:::<[^>]*>)?!?\s*\(")
 _NO_CALL = frozenset("if for while switch match return catch fn func function sizeof typeof await async new and or not in is def class lambda with elif print except super".split()) - {"print", "super"}
 _IMPORTS = {
@@ -39,6 +56,11 @@ _IMPORTS = {
 }
 for _k in ("typescript", "tsx"):
     _IMPORTS[_k] = _IMPORTS["javascript"]
+_IMPORTS |= {
+    "c": re.compile(r"^[ \t]*#[ \t]*include\s*[<\"]([^>\"\n]+)[>\"]", re.M), "csharp": re.compile(r"^[ \t]*using\s+(?:static\s+)?(?:\w+\s*=\s*)?([\w.]+)\s*;", re.M), "kotlin": re.compile(r"^[ \t]*import\s+([\w.*]+)", re.M),
+    "swift": re.compile(r"^[ \t]*import[ \t]+(?:\w+[ \t]+)?([\w.]+)", re.M), "php": re.compile(r"^[ \t]*use\s+([\w\\]+)[^;]*;", re.M), "bash": re.compile(r"^[ \t]*(?:source|\.)[ \t]+([^\s;]+)", re.M), "ruby": re.compile(r"^[ \t]*require(?:_relative)?[ \t(]+[\"']([^\"']+)", re.M),
+}
+_IMPORTS["cpp"] = _IMPORTS["c"]
 
 
 @dataclass
@@ -93,7 +115,7 @@ def _python(text: str, rows: list[str]) -> tuple[list[Found], list[tuple[str, in
 
 
 def _braced(language: str, text: str, rows: list[str]) -> tuple[list[Found], list[tuple[str, int, str]]]:
-    blank = _STRINGS.sub(lambda m: re.sub(r"[^\n]", " ", m.group()), text)
+    blank = _BLANKED.get(language, _STRINGS).sub(lambda m: re.sub(r"[^\n]", " ", m.group()), text)
     ends = [m.start() for m in re.finditer("\n", blank)]
     line_of = lambda i: bisect_left(ends, i) + 1
     close: dict[int, int] = {}
@@ -110,7 +132,7 @@ def _braced(language: str, text: str, rows: list[str]) -> tuple[list[Found], lis
         if not name:
             continue
         kind = "arrow_function" if g.get("aname") else "method" if g.get("mname") or g.get("parent") else (g.get("tkind") or g.get("kind") or "function").strip()
-        kind = "function" if kind.startswith(("fn", "func", "async")) else kind
+        kind = "function" if kind.startswith(("fn", "fun", "async")) or language in ("c", "bash") and kind == "method" else kind
         begin = m.start() + len(m.group()) - len(m.group().lstrip())
         brace = blank.find("{", m.end() - 1)
         stop = blank.find(";", m.end())
@@ -136,11 +158,38 @@ def _braced(language: str, text: str, rows: list[str]) -> tuple[list[Found], lis
         heads.setdefault(f.name, []).append((begin, f.body))
     refs = [(m.group(1), line_of(m.start(1)), "call") for m in _CALL.finditer(blank) if m.group(1) not in _NO_CALL and not re.search(r"\b(fn|func|function|def|class)\s+$", blank[max(0, m.start() - 12) : m.start(1)]) and not any(b <= m.start(1) <= b + 200 and line_of(m.start(1)) <= body for b, body in heads.get(m.group(1), ()))]
     for m in _IMPORTS[language].finditer(text):
-        words = re.findall(r"[A-Za-z_$][\w$]*", m.group(1).rsplit("/", 1)[-1] if language == "go" else re.sub(r"^.*[.:](?=[\w*]+$)", "", m.group(1)) if language == "java" else m.group(1))
+        words = re.findall(r"[A-Za-z_$][\w$]*", m.group(1).rsplit("/", 1)[-1].rsplit("\\", 1)[-1] if language in ("go", "php", "bash", "ruby", "c", "cpp") else m.group(1).rsplit(".", 1)[-1] if language in ("csharp", "kotlin", "swift") else re.sub(r"^.*[.:](?=[\w*]+$)", "", m.group(1)) if language == "java" else m.group(1))
         refs += [(w, line_of(m.start(1)), "import") for w in words if w not in ("as", "self", "crate", "super", "type", "static")]
     return out, sorted(refs, key=lambda r: r[1])
 
 
+_RUBY = re.compile(r"^([ \t]*)(class|module|def)\s+(?:self\.)?([\w.:]+[?!=]?)")
+
+
+def _ruby(text: str, rows: list[str]) -> tuple[list[Found], list[tuple[str, int, str]]]:
+    """Methods, classes and modules to the `end` that stands as deep as they do."""
+    code = _BLANKED["ruby"].sub(lambda m: re.sub(r"[^\n]", " ", m.group()), text).split("\n")
+    found: list[Found] = []
+    holders: list[tuple[int, str]] = []
+    for k, row in enumerate(code):
+        m = _RUBY.match(row)
+        if not m:
+            continue
+        deep = re.compile(rf"{m.group(1)}end\b")
+        end = k if re.search(r"\bend\s*$", row) else next((j for j in range(k + 1, len(code)) if deep.match(code[j])), len(code) - 1)
+        holders = [h for h in holders if h[0] >= k]
+        container = m.group(2) != "def"
+        found.append(Found(m.group(3), "method" if holders and not container else m.group(2) if container else "function", holders[-1][1] if holders else None, _above(rows, k + 1), end + 1, min(k + 2, end + 1), container))
+        if container:
+            holders.append((end, m.group(3)))
+    blank = "\n".join(code)
+    ends = [m.start() for m in re.finditer("\n", blank)]
+    refs = [(m.group(1), bisect_left(ends, m.start(1)) + 1, "call") for m in _CALL.finditer(blank) if m.group(1) not in _NO_CALL and not re.search(r"\bdef\s+(self\.)?$", blank[max(0, m.start() - 12) : m.start(1)])]
+    for m in _IMPORTS["ruby"].finditer(text):
+        refs += [(w, text.count("\n", 0, m.start(1)) + 1, "import") for w in re.findall(r"[A-Za-z_]\w*", m.group(1).rsplit("/", 1)[-1])]
+    return found, sorted(refs, key=lambda r: r[1])
+
+
 def _skeleton(f: Found, members: list[Found], rows: list[str], python: bool) -> str:
     """A container's lines with its members' bodies left out."""
     out: list[str] = []
@@ -174,6 +223,8 @@ def parse_source(path: str, content: str) -> tuple[list[tuple], list[tuple]]:
     try:
         if language == "python":
             found, refs = _python(text, rows)
+        elif language == "ruby":
+            found, refs = _ruby(text, rows)
         elif language in _BRACED:
             found, refs = _braced(language, text, rows)
         else:

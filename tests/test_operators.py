@@ -246,6 +246,22 @@ def test_parsing():
     assert len(parsing.parse_source("notes.md", "x\n" * 70)[0]) == 3
 
 
+@pytest.mark.parametrize("path, text, found, calls, imports", [
+    ("a.c", '#include "util/list.h"\n\n/* Adds. */\nstatic int add(int a, int b) {\n    if (a) { return sum(a, b); }\n    return 0;\n}\n\nstruct item {\n    int id;\n};\n', [("add", "function", None), ("item", "struct", None)], ["sum"], ["list", "h"]),
+    ("a.cpp", "namespace shop {\nclass Cart {\npublic:\n    int total() const { return rate(1); }\n};\n}\nint Cart::size() { return 0; }\n", [("shop", "namespace", None), ("Cart", "class", "shop"), ("total", "method", "Cart"), ("size", "method", "Cart")], ["rate"], []),
+    ("A.cs", "using System.Text;\n\npublic class Cart : Base\n{\n    public async Task<int> Total(int a)\n    {\n        return Rate(a);\n    }\n}\n", [("Cart", "class", None), ("Total", "method", "Cart")], ["Rate"], ["Text"]),
+    ("a.kt", "import shop.tax.Rate\n\ndata class Item(val id: Int) {\n    fun total(a: Int): Int {\n        return rate(a)\n    }\n}\n", [("Item", "class", None), ("total", "function", "Item")], ["rate"], ["Rate"]),
+    ("a.swift", "import Foundation\n\nstruct Cart {\n    func total(_ a: Int) -> Int {\n        return rate(a)\n    }\n}\n", [("Cart", "struct", None), ("total", "function", "Cart")], ["rate"], ["Foundation"]),
+    ("a.php", "<?php\nuse Shop\\Tax\\Rate;\n\n# a } in a comment\nclass Cart {\n    public function total($a) {\n        return rate($a);\n    }\n}\n", [("Cart", "class", None), ("total", "function", "Cart")], ["rate"], ["Rate"]),
+    ("a.sh", "source lib/util.sh\n\n# deploys { it\ndeploy() {\n  echo \"}\"\n}\nfunction clean {\n  rm x\n}\n", [("deploy", "function", None), ("clean", "function", None)], [], ["util", "sh"]),
+    ("a.rb", "require 'shop/tax'\n\nmodule Shop\n  # Adds.\n  class Cart\n    def total(a)\n      rate(a)\n    end\n  end\nend\n", [("Shop", "module", None), ("Cart", "class", "Shop"), ("total", "method", "Cart")], ["rate"], ["tax"]),
+])
+def test_parsing_of_other_languages(path, text, found, calls, imports):
+    chunks, refs = parsing.parse_source(path, text)
+    assert [(c[1], c[2], c[3]) for c in chunks[1:]] == found and chunks[0][2] == "module"
+    assert [r[0] for r in refs if r[2] == "call"] == calls and [r[0] for r in refs if r[2] == "import"] == imports
+
+
 def test_bursts(spark):
     ev = spark.createDataFrame([(0.0, "create", "a.rs"), (0.5, "access", "b"), (1.2, "modify", "c.rs"), (5.0, "access", "d"), (9.0, "remove", "e.py")], "t double, kind string, path string").select(F.col("t").cast("timestamp").alias("ts"), "kind", "path")
     from quarry.streaming.watch import relevant
