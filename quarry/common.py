@@ -45,6 +45,10 @@ class Stage:
         self.count += 1
         path = f"{self.base}/{label}-{self.count}"
         df.write.option("compression", "zstd").parquet(path)
+        if self.count == 1:
+            # what is not dropped before goes when the driver ends
+            folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.base)
+            folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._quarry_path = path
         return out
