@@ -372,16 +372,13 @@ def _counted(docs: DataFrame, subjects: list[int], weigh) -> DataFrame:
     return docs.mapInArrow(count, ", ".join(["row long", *(f"n{k} double" for k in range(len(subjects)))]))
 
 
-def train(docs: DataFrame, labels: DataFrame, subjects: DataFrame, stage: Stage) -> tuple[Broadcast, dict[int, float]]:
+def train(docs: DataFrame, labels: DataFrame, ids: list[int], stage: Stage) -> tuple[Broadcast, dict[int, float]]:
     """The final models, broadcast, and the calibrated shares, from tokenised documents.
 
     The labelled sample is MAX_LABELLED documents in the order of a hash of their ids, HELD_OUT tenths of it (by
     another hash) kept for calibration. All counts of the final models and of the background, the first models' too,
     run over all documents.
     """
-    ids = sorted(r.subject_id for r in subjects.where("subject_id is not null").select("subject_id").distinct().limit(MAX_SUBJECTS + 1).collect())
-    if len(ids) > MAX_SUBJECTS:
-        raise ValueError(f"more than {MAX_SUBJECTS} subjects")
     column = {s: k for k, s in enumerate(ids)}
     surveyed = survey(docs, stage)
     sample = _label_sets(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
@@ -442,9 +439,14 @@ def document_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFra
     documents are judged each for itself; repeated labels count once. Without labels or subjects no rows; more
     than MAX_SUBJECTS subjects are an error.
     """
+    ids = sorted(r.subject_id for r in subjects.where("subject_id is not null").select("subject_id").distinct().limit(MAX_SUBJECTS + 1).collect())
+    if len(ids) > MAX_SUBJECTS:
+        raise ValueError(f"more than {MAX_SUBJECTS} subjects")
+    if not ids:
+        return documents.sparkSession.createDataFrame([], "doc_id long, subject_id int, share double")
     stage = stage_of(documents, "subjects")
     docs = stage.write(tokenised(documents.where("doc_id is not null and text is not null")), "words")
-    shared, least = train(docs, labels, subjects, stage)
+    shared, least = train(docs, labels, ids, stage)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value

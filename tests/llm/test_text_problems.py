@@ -243,3 +243,15 @@ def test_tokenised_texts():
     docs = pd.DataFrame({"doc_id": [1, 2, 3], "text_hash": [1, 2, 3], "tongue": [1, 1, 1], "words": [words.tobytes(), b"", words[6:9].tobytes()], "ends": [ends.tobytes(), b"", np.array([3], dtype=np.int32).tobytes()]})
     s = subjects.Slice(docs)
     assert s.length.tolist() == [6, 3, 2, 1, 3] and s.doc.tolist() == [0, 0, 0, 0, 2] and s.said[1] == s.said[4] and len(set(s.said.tolist())) == 4
+
+
+def test_empty_tables(spark):
+    d = spark.createDataFrame([(1, "the judge is in", "x")], "doc_id long, text string, share string")
+    lab = spark.createDataFrame([(1, 1)], "doc_id long, subject_id int")
+    sub = spark.createDataFrame([(1, "law")], "subject_id int, subject_name string")
+    items = spark.createDataFrame([(1, "one two"), (2, "x"), (3, "")], "item_id long, text string")
+    assert subjects.document_subjects(d.limit(0), lab, sub).count() == 0 and subjects.document_subjects(d, lab, sub.limit(0)).count() == 0
+    assert leaks.leaks(d.limit(0), items).count() == 0 and leaks.leaks(d, items.limit(0)).count() == 0
+    assert [tuple(r)[:2] for r in leaks.leaks(spark.createDataFrame([(5, "a one two b"), (6, "y")], "doc_id long, text string"), items).collect()] == [(5, 1)]
+    got = minhash.classes(spark.createDataFrame([(1, []), (2, None), (3, ["a"]), (4, ["a"])], "id long, words array<string>"), stage_of(d, "m"))
+    assert {r.id: r.class_id for r in got.collect()} == {1: 1, 2: 1, 3: 3, 4: 3}
