@@ -26,7 +26,7 @@ _STRINGS = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\
 _BRACED = {
     "rust": re.compile(r"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?(?:(?:async|unsafe|const|extern(?:\s+\"[^\"]*\")?|default)\s+)*(?P<kind>fn|struct|enum|trait|impl|union|mod)\b(?:\s*<[^{;]*?>)?\s*(?:[\w:<>, ]+\s+for\s+)?(?P<name>\w+)", re.M),
     "go": re.compile(r"^(?P<kind>func)\s+(?:\([^)]*?(?P<parent>\w+)\s*\)\s*)?(?P<name>\w+)|^type\s+(?P<tname>\w+)\s+(?P<tkind>struct|interface)", re.M),
-    "java": re.compile(r"^[ \t]*(?:(?:public|private|protected|static|final|abstract|synchronized|default|native|sealed)\s+|@\w+(?:\([^)]*\))?\s+)*(?:(?P<kind>class|interface|enum|record)\s+(?P<name>\w+)|(?!return|new|else|throw|package|import)(?:<[^>]+>\s+)?[\w.<>,\[\]? ]+?\s+(?P<mname>\w+)\s*\([^;{)]*\)\s*(?:throws\s+[\w., ]+)?\{)", re.M),
+    "java": re.compile(r"^[ \t]*(?:(?:public|private|protected|static|final|abstract|synchronized|default|native|sealed)\s+|@\w+(?:\([^)]*\))?\s+)*(?:(?P<kind>class|interface|enum|record)\s+(?P<name>\w+)|(?!return|new|else|throw|package|import)(?:<[^>]+>\s+)?(?:[\w.<>,\[\]?]+\s+)+?(?P<mname>\w+)\s*\([^;{)]*\)\s*(?:throws\s+[\w., ]+)?\{)", re.M),
     "javascript": re.compile(r"^[ \t]*(?:export\s+)?(?:default\s+)?(?:(?P<kind>class|function\*?|async\s+function|interface|enum)\s+(?P<name>[\w$]+)|(?:const|let|var)\s+(?P<aname>[\w$]+)(?:\s*:[^=]+)?\s*=\s*(?:async\s*)?(?:\([^)]*\)(?:\s*:\s*[^=]+)?|[\w$]+)\s*=>|(?!if\b|for\b|while\b|switch\b|catch\b|return\b|function\b)(?:(?:public|private|protected|static|async|get|set|readonly|override)\s+)*(?P<mname>[#\w$]+)\s*\([^;{}]*\)(?:\s*:\s*[^{;=]+)?\s*\{)", re.M),
 }
 for _k in ("typescript", "tsx"):
