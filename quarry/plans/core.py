@@ -142,10 +142,11 @@ def vector_lengths(spark: SparkSession, base: str) -> DataFrame:
     return read_table(spark, base, "embeddings").select("vec_id", F.round(norm(F.col("embedding")), 5).alias("length"))
 
 
-@query(r"""SELECT vec_id, 1.0::DOUBLE AS length FROM embeddings WHERE list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) > 0""")
+@query(r"""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings) SELECT vec_id, unnest(range(1, len(e) + 1)) AS place, round((unnest(e) / sqrt(list_dot_product(e, e)))::FLOAT::DOUBLE, 4) + 0.0::DOUBLE AS component FROM v WHERE list_dot_product(e, e) > 0""")
 def vector_normalised(spark: SparkSession, base: str) -> DataFrame:
     e = read_table(spark, base, "embeddings").where(norm(F.col("embedding")) > 0)
-    return e.select("vec_id", F.round(norm(normalise(F.col("embedding"))), 4).alias("length"))
+    parts = e.select("vec_id", F.posexplode(normalise(F.col("embedding").cast("array<double>"))).alias("place", "component"))
+    return parts.select("vec_id", (F.col("place") + 1).cast("long").alias("place"), (F.round(F.col("component").cast("double"), 4) + F.lit(0.0)).alias("component"))
 
 
 _V = """v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), u AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v WHERE list_dot_product(e, e) > 0)"""
@@ -261,9 +262,14 @@ def hybrid_search(spark: SparkSession, base: str) -> DataFrame:
     return _hybrid(spark, base).select("query_id", "id", F.round("score", 8).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-@query()
+@query(f"""WITH {_HYBRID}, h AS (SELECT query_id, id, score, rank FROM hits WHERE rank <= 10), top AS (SELECT h.query_id, h.rank, c.file_path, c.start_line, c.end_line FROM h JOIN chunks c ON c.id = h.id WHERE h.rank <= 3),
+called AS (SELECT query_id, rank, symbol_name, min(line) AS fl FROM top JOIN main.refs r ON r.file_path = top.file_path AND r.kind = 'call' AND r.line BETWEEN start_line AND end_line GROUP BY 1, 2, 3),
+d AS (SELECT query_id, c.id, min(rank * 1000000::BIGINT + fl) AS pl FROM called JOIN chunks c ON c.name = symbol_name AND c.chunk_type NOT IN ('module', 'general') WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.query_id = called.query_id AND h.id = c.id) GROUP BY 1, 2),
+o AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY pl, id) AS place FROM d), l AS (SELECT query_id, max(rank) AS last FROM h GROUP BY 1)
+SELECT query_id, id, round(score, 8) AS score, rank, false AS found_via_calls FROM h UNION ALL SELECT o.query_id, o.id, 0.0, last + place, true FROM o JOIN l ON l.query_id = o.query_id WHERE place <= 2""")
 def hybrid_search_expanded(spark: SparkSession, base: str) -> DataFrame:
-    return _hybrid(spark, base, read_table(spark, base, "refs"))
+    found = _hybrid(spark, base, read_table(spark, base, "refs"))
+    return found.select("query_id", "id", F.round("score", 8).alias("score"), F.col("rank").cast("long").alias("rank"), "found_via_calls")
 
 
 @query(f"WITH {_CHUNKS}, s AS (SELECT DISTINCT symbol_name AS symbol FROM refs) SELECT symbol, id, file_path, start_line FROM s JOIN chunks ON name = symbol AND chunk_type NOT IN ('module', 'general')")
