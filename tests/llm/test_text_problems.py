@@ -115,6 +115,35 @@ def test_minhash_classes(spark):
         assert (got[i] == got[j]) == same
 
 
+def test_every_similar_pair_is_linked(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 50)  # several blocks a shingle
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(3000)]
+    some = lambda n: [rng.choice(words) for _ in range(n)]
+    middle = some(30)
+    texts = [some(rng.randrange(6)) + middle[rng.randrange(3) : 30 - rng.randrange(3)] + some(rng.randrange(6)) for _ in range(400)]  # each like some of the others
+    crowd = len(texts)
+    for _ in range(800):  # eight of ten shingles shared: just similar enough
+        texts += [b := some(13), [*b[:-1], "changed"]]
+    texts += [list(texts[0]), [], [], ["w1"], ["w1"], middle[:8], middle[:9]]  # four shingles of five
+    ids = rng.sample(range(10 * len(texts)), len(texts))
+    sh = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} or {tuple(t)} for t in texts]
+    near = {k: k for k in range(len(texts))}
+
+    def least(k):
+        while near[k] != k:
+            k = near[k]
+        return k
+
+    near_pairs = [*itertools.combinations([*range(crowd), *range(crowd + 1600, len(texts))], 2), *((k, k + 1) for k in range(crowd, crowd + 1600, 2))]
+    for i, j in near_pairs:
+        if 9 * len(sh[i] & sh[j]) >= 4 * (len(sh[i]) + len(sh[j])):
+            a, b = sorted((least(i), least(j)), key=lambda k: ids[k])
+            near[b] = a
+    got = {r.id: r.class_id for r in minhash.classes(spark.createDataFrame(list(zip(ids, texts)), "id long, words array<string>"), stage_of(spark.range(1), "t")).collect()}
+    assert got == {ids[k]: ids[least(k)] for k in range(len(texts))}
+
+
 def test_differencing_is_balanced():
     rng = random.Random(6)
     for _ in range(30):
